@@ -46,7 +46,8 @@ def records(batches: Iterator[pa.RecordBatch], schema: pa.Schema, rows) -> Itera
 
 
 def to_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+    arrays = [c if isinstance(c := columns[f.name], pa.Array) and c.type == f.type else pa.array(c, type=f.type) for f in schema]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once for each Spark application, so that Python workers can import it anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "_locusweave_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="locusweave-")) / "locusweave_package.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._locusweave_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,6 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, on files that every executor sees."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -104,6 +122,14 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
+    @staticmethod
+    def places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of each word of a text, in code points."""
+        raw = np.frombuffer(text, np.uint8)
+        begin, end = runs(~_WHITE[raw])
+        point = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+        return point[begin], point[end]
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (three rounds of shift, xor and multiply)."""
@@ -134,10 +160,13 @@ class Rolling:
 
     def of(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of ``values[start:end]``; values: bytes (looked up in a table) or 64-bit hashes."""
+        return self.many(values, [(start, end)])[0]
+
+    def many(self, values: np.ndarray, stretches: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         self._powers(len(values) + 1)
         x = self.table[values] if values.dtype == np.uint8 else values
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * self.up[: len(x)], dtype=np.uint64)))
-        return mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+        return [mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64)) for start, end in stretches]
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

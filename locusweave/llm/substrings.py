@@ -12,6 +12,7 @@ found first, and least documents are aggregated before the shuffle.
 Null and empty texts have no words. Rows without a doc_id come back with nothing removed, and remove nothing elsewhere.
 Windows of rows with one doc_id never remove each other. Repeated rows each get the same result. Extra columns are
 ignored. An empty table gives an empty result.
+A document whose whole text an earlier one has is settled by that alone.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import Rolling, Words, groups, materialize, row_key, slices, table,
 
 WINDOW, GRAM, HOT = 50, 8, 500
 _LOW = np.uint64(0xFFFFFF)
+#: The end of a span that is the whole text.
+_END = 2**31 - 1
 
 
 class Chunks:
@@ -247,7 +250,10 @@ def _hot(chunks: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(doc_id, row, low, high): word ranges whose windows also start in a document with a smaller doc_id."""
+    """(doc_id, row, low, high): word ranges whose windows also start in a document with a smaller doc_id.
+
+    A range to _END is a copy's whole text, whether or not it has a window.
+    """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.where("doc_id is not null").select("doc_id", row_key("doc_id", "text").alias("row"), "text")
     anchors = materialize(_anchor_table(docs, window, gram), "anchors")
@@ -255,9 +261,20 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
     known = known.select(F.bitwise_not("key").alias("flipped"), (F.col("n") > hot).alias("hot"))
     candidates = anchors.withColumn("flipped", F.bitwise_not("key")).join(known, "flipped")
     keys = candidates.groupBy("row").agg(F.collect_list("key").alias("keys"), F.collect_list("hot").alias("hots"))
+    copies = _copies(docs)
+    keys = keys.join(copies, "row", "left_anti")
     source = docs.join(keys, "row").select("doc_id", "row", "text", "keys", "hots")
     chunks = materialize(_chunk_table(source, window, gram), "chunks")
-    return _cold(chunks.where("not hot"), window).unionByName(_hot(chunks.where("hot"), window))
+    whole = copies.select("doc_id", "row", F.lit(0).alias("low"), F.lit(_END).alias("high"))
+    return _cold(chunks.where("not hot"), window).unionByName(_hot(chunks.where("hot"), window)).unionByName(whole)
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, row) of documents whose whole text a smaller doc_id has: all their windows go, unseen by the trees."""
+    ids = docs.select("doc_id", "row", F.md5("text").alias("text"))
+    first = ids.groupBy("text").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    first = first.select(F.xxhash64("text").alias("key"), F.col("text").alias("of"), "a")
+    return ids.withColumn("key", F.xxhash64("text")).join(first, "key").where("text = of and doc_id > a").select("doc_id", "row").distinct()
 
 
 def dedup_substrings(documents: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -274,9 +291,10 @@ def dedup_substrings(documents: DataFrame, window: int = WINDOW) -> DataFrame:
                 w = Words(texts[low:high])
                 gone = np.zeros(len(w) + 1, np.int64)
                 for d in range(high - low):
-                    if b.column(2)[low + d].is_valid:
+                    n = w.first[d + 1] - w.first[d]
+                    if b.column(2)[low + d].is_valid and n >= window:
                         np.add.at(gone, w.first[d] + b.column(2)[low + d].values.to_numpy(), 1)
-                        np.add.at(gone, w.first[d] + b.column(3)[low + d].values.to_numpy(), -1)
+                        np.add.at(gone, w.first[d] + np.minimum(n, b.column(3)[low + d].values.to_numpy()), -1)
                 keep = np.cumsum(gone)[:-1] == 0
                 body = w.array[np.repeat(keep, w.end - w.start + 1)].tobytes() if len(w) else b""
                 size = np.where(keep, w.end - w.start + 1, 0)

@@ -141,17 +141,18 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: list[int], length: int, patience: int = 200) -> list[list[int]]:
+def improve(bins: list[list[int]], sizes: list[int], length: int, patience: int = 200, idle: int = 24) -> list[list[int]]:
     """Empty bins by moves and exchanges between underfull ones; each raises the sum of squared fills.
 
     The emptiest bin gives: a document moves to where it fits; or goes in exchange for a smaller one (or two of its own for
-    one) of a bin that is at least as full and that the exchange fills further. ``patience``: exchanges for each bin.
+    one) of a bin that is at least as full and that the exchange fills further. ``patience``: exchanges for each bin; the search ends when ``idle`` bins in a row had none to make.
     """
     fill = [sum(sizes[i] for i in b) for b in bins]
     heap = [(fill[b], b) for b in range(len(bins)) if fill[b] < length]
     heapq.heapify(heap)
     under = {b for _, b in heap}
-    while heap:
+    stale = 0
+    while heap and stale < idle:
         f, a = heapq.heappop(heap)
         if a not in under or f != fill[a]:
             continue
@@ -183,6 +184,7 @@ def improve(bins: list[list[int]], sizes: list[int], length: int, patience: int
                         best = (score, give, int(k), int(home[k]))
             if best is None:
                 break
+            stale = -1
             _, give, k, b = best
             bins[a] = [i for i in mine if i not in give]
             bins[b] += give
@@ -203,6 +205,7 @@ def improve(bins: list[list[int]], sizes: list[int], length: int, patience: int
                 under.discard(b)
                 keep = home != b
                 item, size, home, space = item[keep], size[keep], home[keep], space[keep]
+        stale += 1
         for b in set(home.tolist()):
             heapq.heappush(heap, (fill[b], b))
     return [b for b in bins if b]

@@ -150,11 +150,15 @@ def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 25) -> Model:
         own = np.flatnonzero(toxic == kind)
         part[own] = np.arange(len(own)) % 3 == 2
     learn = np.flatnonzero(part == 0)
-    tokens = [(Tokens([texts[i] for i in learn[low:high]], rolling), toxic[learn[low:high]]) for low, high in slices([texts[i] for i in learn])]
+    # of each slice only what is used again: narrow integers, no texts
+    tokens = []
+    for low, high in slices([texts[i] for i in learn]):
+        t, y = Tokens([texts[i] for i in learn[low:high]], rolling), toxic[learn[low:high]]
+        tokens.append(([f.astype(np.int32) for f in t.features], t.words.doc.astype(np.int32), *[c.astype(np.int32) for c in t.chains()], y))
     seen = [np.zeros(1 << 20), np.zeros(1 << 20)]
-    for t, y in tokens:
-        for f in t.features:
-            pair = np.unique(t.words.doc.astype(np.int64) << 20 | f.astype(np.int64))
+    for features, doc, _, _, y in tokens:
+        for f in features:
+            pair = np.unique(doc.astype(np.int64) << 20 | f)
             for kind in (0, 1):
                 seen[kind] += np.bincount(pair[y[pair >> 20] == kind] & int(_MASK), minlength=1 << 20)
     count = [max(1, int((toxic[learn] == k).sum())) for k in (0, 1)]
@@ -169,21 +173,21 @@ def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 25) -> Model:
     # labelled tokens, as grids of chains; chains without a known feature only teach the bias, so a tenth of them is enough
     rng = np.random.default_rng(3)
     grids = []
-    for t, y in tokens:
-        strength = np.max([odds[f] for f in t.features], axis=0)
-        label = (strength >= 1.5) & (y[t.words.doc] == 1)
+    while tokens:
+        features, doc, row, place, y = tokens.pop(0)
+        strength = np.max([odds[f] for f in features], axis=0)
+        label = (strength >= 1.5) & (y[doc] == 1)
         if not len(label):
             continue
-        row, place = t.chains()
         busy = np.bincount(row, weights=strength > 0.7) > 0
         busy |= rng.random(len(busy)) < 0.1
         keep = busy[row]
         number = np.cumsum(busy) - 1
-        grids.append((number[row[keep]], place[keep], [f[keep] for f in t.features], label[keep], int(busy.sum())))
+        grids.append((number[row[keep]], place[keep], [f[keep] for f in features], label[keep], int(busy.sum())))
     offset = np.cumsum([0] + [g[4] for g in grids])
     row = np.concatenate([g[0] + o for g, o in zip(grids, offset, strict=False)])
     place = np.concatenate([g[1] for g in grids])
-    features = [np.concatenate([g[2][k] for g in grids]).astype(np.int64) for k in range(len(_BEGINNINGS) + 1)]
+    features = [np.concatenate([g[2][k] for g in grids]) for k in range(len(_BEGINNINGS) + 1)]
     label = np.concatenate([g[3] for g in grids]).astype(np.float64)
     live = np.zeros((int(offset[-1]), CHAIN), bool)
     live[row, place] = True

@@ -8,7 +8,7 @@ spans. Chains are stretches of CHAIN words of one document.
 
 Null and empty texts get the score of a document without offending words. Rows without a doc_id are scored, and are not held
 out. Repeated rows each get the same score. Extra columns are ignored. An empty table gives an empty result. With labels of one
-kind only, or none, every score is the (smoothed) share of toxic labels.
+kind only, fewer than three of a kind, or none, every score is the (smoothed) share of toxic labels.
 
 The sample that is fitted: at most SAMPLE labelled documents, by a hash of doc_id. Their whole texts are used.
 """
@@ -150,6 +150,8 @@ def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 25) -> Model:
         own = np.flatnonzero(toxic == kind)
         part[own] = np.arange(len(own)) % 3 == 2
     learn = np.flatnonzero(part == 0)
+    if toxic[part == 1].sum() in (0, (part == 1).sum()):  # too few labels to fit the unit
+        return model
     # of each slice only what is used again: narrow integers, no texts
     tokens = []
     for low, high in slices([texts[i] for i in learn]):
@@ -184,6 +186,8 @@ def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 25) -> Model:
         keep = busy[row]
         number = np.cumsum(busy) - 1
         grids.append((number[row[keep]], place[keep], [f[keep] for f in features], label[keep], int(busy.sum())))
+    if not grids:
+        return model
     offset = np.cumsum([0] + [g[4] for g in grids])
     row = np.concatenate([g[0] + o for g, o in zip(grids, offset, strict=False)])
     place = np.concatenate([g[1] for g in grids])

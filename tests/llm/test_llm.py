@@ -285,10 +285,10 @@ def test_tensors():
 
 def test_pages(spark):
     side = "<div class='x'><p>Same on every page</p><ul><li>One</li></ul></div>"
-    rows = [(i, f"http://h.example/{i}", f"<html><head><title>T</title><style>p{{}}</style></head><body><nav><a>Menu</a></nav>{side}<div><p>Text {i} &amp; &eacute;<br>more<p>Second <b>bold</b> part</div><form>Send</form><div class='comments'><p>Nice</p></div><script>var x='<p>'</script></body></html>") for i in range(8)]
+    rows = [(i, f"http://h.example/{i}", f"<html><head><title>T</title><style>p{{}}</style></head><body><nav><a>Menu</a></nav>{side}<div><p>Text {i} &amp; &eacute;<br>more<p>Second <b>bold</b> part {i}</div><form>Send</form><div class='comments'><p>Nice</p></div><script>var x='<p>'</script></body></html>") for i in range(8)]
     rows += [(8, None, None), (9, "http://o.example/", ""), (10, "http://o.example/a", "<nav>M</nav><article><header><h1>Head</h1></header><p>A\n  b<p>C</article><footer>F"), (10, "http://o.example/a", "plain &lt; text")]
     got = Counter((r.page_id, r.text) for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
-    want = Counter({(i, f"Text {i} & é more\nSecond bold part"): 1 for i in range(8)})
+    want = Counter({(i, f"Text {i} & é more\nSecond bold part {i}"): 1 for i in range(8)})
     want += Counter({(8, ""): 1, (9, ""): 1, (10, "Head\nA b\nC"): 1, (10, "plain < text"): 1})
     assert got == want
 

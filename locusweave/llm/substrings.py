@@ -7,7 +7,7 @@ The gram is the prefix that partitions the work. Grams in at most ``hot`` docume
 suffixes of its chunks are ranked by doubled prefix lengths (1, 2, 4 ... words), which gives the nodes of their suffix
 tree at each of those depths; nodes at depth ``window`` with several documents below are the repeats. More frequent grams
 get a longer prefix, the whole window, at which a node's suffixes need only be counted, not compared: distinct chunks are
-found first, and least documents are aggregated before the shuffle.
+found first, and least documents are aggregated before the shuffle. Neighbouring chunks of such grams form one stretch.
 
 Null and empty texts have no words. Rows without a doc_id come back with nothing removed, and remove nothing elsewhere.
 Windows of rows with one doc_id never remove each other. Repeated rows each get the same result. Extra columns are
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import Rolling, Words, groups, materialize, row_key, slices, table, texts_of, to_batch
 
 WINDOW, GRAM, HOT = 50, 8, 500
+#: Bits of a gram's hash that are zero where a stretch of hot chunks ends: one in four.
+STRETCH = 3
 _LOW = np.uint64(0xFFFFFF)
 #: The end of a span that is the whole text.
 _END = 2**31 - 1
@@ -122,20 +124,33 @@ def _chunk_table(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     take = np.flatnonzero(known[place] == c.key[i:j])
                     hot = hots[low + d].values.to_numpy(zero_copy_only=False)[place[take]]
                     take += i
-                    first, last = c.first[take], c.last[take]
+                    first, last, key, hot = _stretches(c.first[take], c.last[take], c.key[take], hot)
                     out["content"] += [w.text[x:y] for x, y in zip(w.start[first].tolist(), w.end[last + window - 1].tolist(), strict=True)]
                     out["at"] += (first - w.first[d]).tolist()
                     out["windows"] += (last - first + 1).tolist()
-                    out["key"] += c.key[take].tolist()
+                    out["key"] += key.tolist()
                     out["hot"] += hot.tolist()
-                    out["doc_id"] += [b.column(0)[low + d].as_py()] * len(take)
-                    out["row"] += [b.column(1)[low + d].as_py()] * len(take)
+                    out["doc_id"] += [b.column(0)[low + d].as_py()] * len(key)
+                    out["row"] += [b.column(1)[low + d].as_py()] * len(key)
                 if out["key"]:
                     yield to_batch(out, schema)
 
     return docs.mapInArrow(run, _CHUNK)
 
 
+def _stretches(first: np.ndarray, last: np.ndarray, key: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks of one document, neighbouring hot ones joined up to a chunk whose gram's hash ends in zero bits.
+
+    The ends depend on the words alone, so near copies share most stretches; each is one row where it was four.
+    """
+    if not len(key):
+        return first, last, key, hot
+    joined = hot[1:] & hot[:-1] & (first[1:] == last[:-1] + 1) & ((key[1:] & STRETCH) != 0)
+    begin = np.flatnonzero(np.r_[True, ~joined])
+    end = np.r_[begin[1:], len(key)] - 1
+    return first[begin], last[end], key[begin], hot[begin]
+
+
 def node_ranks(hashes: np.ndarray, depth: int) -> np.ndarray:
     """For each suffix the number of its suffix-tree node at ``depth`` words: equal numbers, equal prefixes.
 

@@ -253,14 +253,17 @@ def _hot(chunks: DataFrame, window: int) -> DataFrame:
     best = best.select(F.xxhash64("n1", "n2").alias("node"), F.col("n1").alias("b1"), F.col("n2").alias("b2"), "best")
     later = window_rows.withColumn("node", F.xxhash64("n1", "n2")).join(best, "node").where("n1 = b1 and n2 = b2 and best < least")
     # a chunk's first document loses the windows that start earlier elsewhere; its other documents lose the chunk
-    lost = later.groupBy("content").agg(F.sort_array(F.collect_set("i")).alias("lost"))
+    # that loss as runs of windows: where the window before, or the one after, isn't lost
+    lost = later.groupBy("content").agg(F.sort_array(F.collect_set("i")).alias("i"))
+    opens, closes = F.array_except("i", F.transform("i", lambda x: x + 1)), F.array_except("i", F.transform("i", lambda x: x - 1))
+    lost = lost.select("content", F.arrays_zip(opens.alias("a"), closes.alias("b")).alias("lost"))
     facts = distinct.select("id", "least", "most").join(lost, F.col("id") == F.col("content"), "left").where("most > least or lost is not null")
     facts = facts.select(F.bitwise_not("id").alias("flipped"), "least", "lost")
     occurrences = chunks.select("doc_id", "row", "at", "windows", F.bitwise_not(F.xxhash64("content")).alias("flipped"))
     joined = occurrences.join(facts, "flipped")
     others = joined.where("doc_id > least").select("doc_id", "row", F.col("at").alias("low"), (F.col("at") + F.col("windows") - 1 + window).alias("high"))
-    own = joined.where("doc_id = least and lost is not null").select("doc_id", "row", "at", F.explode("lost").alias("i"))
-    own = own.select("doc_id", "row", (F.col("at") + F.col("i")).cast("int").alias("low"), (F.col("at") + F.col("i") + window).cast("int").alias("high"))
+    own = joined.where("doc_id = least and lost is not null").select("doc_id", "row", "at", F.explode("lost").alias("r"))
+    own = own.select("doc_id", "row", (F.col("at") + F.col("r.a")).cast("int").alias("low"), (F.col("at") + F.col("r.b") + window).cast("int").alias("high"))
     return others.select("doc_id", "row", F.col("low").cast("int"), F.col("high").cast("int")).unionByName(own)
 
 

@@ -230,10 +230,25 @@ def _runs_in(flags: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return begin, stop
 
 
-def _hot(chunks: DataFrame, window: int) -> DataFrame:
-    """Spans to remove where a gram is too frequent for one tree: nodes at the full depth, aggregated."""
+def _hot(chunks: DataFrame, window: int, gram: int) -> DataFrame:
+    """Spans to remove where a gram is too frequent for one tree: nodes at the full depth, aggregated.
+
+    Three lengths of prefix, each looked up only by what is distinct at the longer one: stretches, their chunks, windows. A
+    stretch's first document loses chunks that start earlier elsewhere whole, and windows of the others.
+    """
+    part_schema = pa.schema([("id", pa.int64()), ("least", pa.int64()), ("at", pa.int32()), ("windows", pa.int32()), ("part", pa.binary())])
     schema = pa.schema([("content", pa.int64()), ("i", pa.int32()), ("n1", pa.int64()), ("n2", pa.int64()), ("least", pa.int64())])
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader(window, gram)
+        for b in batches:
+            content = b.column(1).to_pylist()
+            for low, high in slices(content):
+                w, _, c = reader.chunks(content[low:high])
+                mine = pa.array(c.doc + low)
+                body = [w.text[x:y] for x, y in zip(w.start[c.first].tolist(), w.end[c.last + window - 1].tolist(), strict=True)]
+                yield to_batch({"id": b.column(0).take(mine), "least": b.column(2).take(mine), "at": c.first - w.first[c.doc], "windows": c.last - c.first + 1, "part": body}, part_schema)
+
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(window, 1)
         for b in batches:
@@ -248,15 +263,23 @@ def _hot(chunks: DataFrame, window: int) -> DataFrame:
                 yield to_batch({"content": b.column(0).take(mine), "i": at - w.first[w.doc[at]], "n1": pair[0], "n2": pair[1], "least": b.column(2).take(mine)}, schema)
 
     distinct = chunks.groupBy(F.xxhash64("content").alias("id"), "content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    window_rows = distinct.select("id", "content", "least").mapInArrow(nodes, "content long, i int, n1 long, n2 long, least long")
+    parts = distinct.select("id", "content", "least").mapInArrow(split, "id long, least long, at int, windows int, part binary")
+    single = parts.groupBy(F.xxhash64("part").alias("pid"), "part").agg(F.min("least").alias("first"))
+    window_rows = single.select("pid", "part", "first").mapInArrow(nodes, "content long, i int, n1 long, n2 long, least long")
     best = window_rows.groupBy("n1", "n2").agg(F.min("least").alias("best"), F.count("*").alias("n")).where("n > 1")
     best = best.select(F.xxhash64("n1", "n2").alias("node"), F.col("n1").alias("b1"), F.col("n2").alias("b2"), "best")
     later = window_rows.withColumn("node", F.xxhash64("n1", "n2")).join(best, "node").where("n1 = b1 and n2 = b2 and best < least")
-    # a chunk's first document loses the windows that start earlier elsewhere; its other documents lose the chunk
-    # that loss as runs of windows: where the window before, or the one after, isn't lost
-    lost = later.groupBy("content").agg(F.sort_array(F.collect_set("i")).alias("i"))
+    # lost windows as runs: where the window before, or the one after, isn't lost
+    runs = later.groupBy("content").agg(F.sort_array(F.collect_set("i")).alias("i"))
     opens, closes = F.array_except("i", F.transform("i", lambda x: x + 1)), F.array_except("i", F.transform("i", lambda x: x - 1))
-    lost = lost.select("content", F.arrays_zip(opens.alias("a"), closes.alias("b")).alias("lost"))
+    runs = runs.select("content", F.arrays_zip(opens.alias("a"), closes.alias("b")).alias("runs"))
+    # a chunk's first stretch loses those runs; its other stretches' first documents lose the chunk
+    known = single.select("pid", "first").join(runs, F.col("pid") == F.col("content"), "left").select(F.bitwise_not("pid").alias("flipped"), "first", "runs")
+    places = parts.select("id", "least", "at", (F.col("windows") - 1).alias("b"), F.bitwise_not(F.xxhash64("part")).alias("flipped")).join(known, "flipped")
+    places = places.where("first < least or runs is not null")
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("b")))
+    gone = F.transform(F.when(F.col("first") < F.col("least"), whole).otherwise(F.col("runs")), lambda r: F.struct((F.col("at") + r["a"]).alias("a"), (F.col("at") + r["b"]).alias("b")))
+    lost = places.select(F.col("id").alias("content"), gone.alias("gone")).groupBy("content").agg(F.flatten(F.collect_list("gone")).alias("lost"))
     facts = distinct.select("id", "least", "most").join(lost, F.col("id") == F.col("content"), "left").where("most > least or lost is not null")
     facts = facts.select(F.bitwise_not("id").alias("flipped"), "least", "lost")
     occurrences = chunks.select("doc_id", "row", "at", "windows", F.bitwise_not(F.xxhash64("content")).alias("flipped"))
@@ -284,7 +307,7 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
     source = docs.join(keys, "row").select("doc_id", "row", "text", "keys", "hots")
     chunks = materialize(_chunk_table(source, window, gram), "chunks")
     whole = copies.select("doc_id", "row", F.lit(0).alias("low"), F.lit(_END).alias("high"))
-    return _cold(chunks.where("not hot"), window).unionByName(_hot(chunks.where("hot"), window)).unionByName(whole)
+    return _cold(chunks.where("not hot"), window).unionByName(_hot(chunks.where("hot"), window, gram)).unionByName(whole)
 
 
 def _copies(docs: DataFrame) -> DataFrame:

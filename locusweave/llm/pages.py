@@ -25,6 +25,8 @@ from .common import table, to_batch
 
 #: A subtree is template if it is on so many pages of a host, and on such a share of them.
 PAGES, SHARE = 5, 0.2
+#: A host's pages are dealt into so many groups, each of which meets a copy of the host's templates.
+SALTS = 32
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -189,8 +191,10 @@ def host_templates(pages: DataFrame, pages_least: int = PAGES, share: float = SH
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
-    # keyed by a hash of the host, so that both exchanges are plain and a host of many pages is split among tasks
-    templates = host_templates(pages).where("size(template) > 0").select(F.xxhash64("host").alias("key"), F.col("host").alias("of"), "template")
+    # keyed by a hash of the host and a salt: a host of many pages is spread over tasks even where no template is found and
+    # the join is planned away, so that nothing would split it
+    templates = host_templates(pages).where("size(template) > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    templates = templates.select(F.xxhash64("host", "salt").alias("key"), F.col("host").alias("of"), "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,7 +210,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield to_batch({"page_id": b.column(0), "url": b.column(1), "text": texts}, schema)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), _host().alias("host"))
-    joined = rows.withColumn("key", F.xxhash64("host")).join(templates, "key", "left")
+    salt = F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(SALTS)).cast("int")
+    joined = rows.withColumn("key", F.xxhash64("host", salt)).join(templates, "key", "left")
     joined = joined.select("page_id", "url", "html", F.when(F.col("host") == F.col("of"), F.col("template")).alias("template"))
     return joined.mapInArrow(run, "page_id long, url string, text string")
 

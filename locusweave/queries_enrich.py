@@ -1,13 +1,13 @@
-"""Queries of the stratified enrichments, registered beside those of the tracks, each with SQL that gives the same rows."""
+"""Queries of the enrichments and sweeps, registered beside those of the tracks, each with SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from . import queries as base
-from .operators import enrich, profiles, ranges
+from .operators import enrich, profiles, ranges, sweeps
 from .plans.adapters import LABELS, genes, intervals, paired, tss
-from .queries import W, query, r6
+from .queries import TO, W, query, r6
 
 _LG = ", lg AS (SELECT t.idx, l.k, t.p1[la + 1] AS p, t.m1 FROM t, l)"
 _GB = base._GE + _LG + ", ch AS (SELECT idx, arg_max(tpm, gene_id) AS tpm FROM t JOIN ge ON t.chr = ge.chr AND ((t.s BETWEEN ge.s AND ge.e) OR (t.e BETWEEN ge.s AND ge.e)) GROUP BY idx)"
@@ -69,3 +69,28 @@ def _(spark, d):
     p = paired(spark, d)
     bases = p.groupBy(F.col("m1").alias("label")).agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
     return r6(enrich.feature_enrichment(enrich.around_points(p, tss(spark, d), 200, 5), bases, LABELS), "enrichment")
+
+
+_TH = [i / 10 for i in range(10)]
+_SHARES = ", th AS (SELECT unnest(range(0, 10)) / 10.0::DOUBLE AS t), lb AS (SELECT w, m1 AS label, best FROM bs UNION ALL SELECT w, 'all', best FROM bs) SELECT w, t, label, round(avg(CASE WHEN best {op} t THEN 1.0 ELSE 0.0 END), 6) AS share FROM lb, th GROUP BY ALL"
+
+
+@query("overlap_contour", f", bs AS (SELECT 0 AS w, t.idx, t.m1, iou AS best FROM t JOIN i0 ON k = m1 AND j = m2 UNION ALL SELECT {W}, t.idx, t.m1, max(iou) FROM t LEFT JOIN v ON v.idx = t.idx LEFT JOIN i5 ON i5.k = t.m1 AND i5.j = v.j GROUP BY t.idx, t.m1)" + _SHARES.format(op=">"))
+def _(spark, d):
+    return r6(sweeps.overlap_contour(paired(spark, d), LABELS, _TH, [0, W]), "share")
+
+
+@query("r_contour", base._CURVE + f", bs AS (SELECT {W} AS w, idx, map AS m1, round(r, 9) AS best FROM rv)" + _SHARES.format(op=">="))
+def _(spark, d):
+    return r6(sweeps.r_contour(paired(spark, d), LABELS, _TH, [W]), "share")
+
+
+_BACK = f", vb AS (SELECT t.idx, t.m2, u.m1 AS j FROM t JOIN t u ON u.idx BETWEEN t.idx - {W} AND t.idx + {W - 1} AND u.idx < (SELECT n - 1 FROM n) GROUP BY ALL), hb AS (SELECT m2 AS k, j, count(*) / (SELECT CAST(n AS DOUBLE) FROM n) AS o FROM vb GROUP BY ALL), ib AS (SELECT kj.k, kj.j, ja, coalesce(o, 0) / nullif(c2 + c1 - coalesce(o, 0), 0) AS iou FROM kj LEFT JOIN hb USING (k, j) JOIN c2 ON c2.j = kj.k JOIN c1 ON c1.k = kj.j), qb AS (SELECT k, j FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY iou DESC NULLS LAST, ja) AS rn, max(iou) OVER (PARTITION BY k) AS best FROM ib) WHERE iou > {TO} OR (rn = 1 AND NOT coalesce(best > {TO}, false)))"
+#: As windows of the flags show the table's last row, too.
+_FLAGS = f", fa AS (SELECT DISTINCT t.idx FROM t JOIN q ON q.k = t.m1 JOIN t u ON u.m2 = q.j AND u.idx BETWEEN t.idx - {W} AND t.idx + {W - 1}), fb AS (SELECT DISTINCT t.idx FROM t JOIN qb ON qb.k = t.m2 JOIN t u ON u.m1 = qb.j AND u.idx BETWEEN t.idx - {W} AND t.idx + {W - 1}), kp AS (SELECT * FROM t JOIN fa USING (idx) JOIN fb USING (idx))"
+_NMI = "(SELECT mi / hc FROM (SELECT sum(o * log2(o / (r * c))) AS mi FROM (SELECT o, sum(o) OVER (PARTITION BY k) AS r, sum(o) OVER (PARTITION BY j) AS c FROM {h})), (SELECT -sum(c * log2(c)) AS hc FROM (SELECT sum(o) AS c FROM {h} GROUP BY j)))"
+
+
+@query("nmi_after", _BACK + _FLAGS + ", ha AS (SELECT k, j, o FROM h0 WHERE o > 0), hk AS (SELECT m1 AS k, m2 AS j, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM kp) AS o FROM kp GROUP BY ALL) SELECT round((SELECT count(*) FROM kp) / CAST(n AS DOUBLE), 6) AS kept, round(" + _NMI.format(h="ha") + ", 6) AS before, round(" + _NMI.format(h="hk") + ", 6) AS after FROM n")
+def _(spark, d):
+    return r6(sweeps.nmi_after(paired(spark, d), LABELS, W, TO), "kept", "before", "after")

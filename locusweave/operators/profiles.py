@@ -209,3 +209,14 @@ def bins_after(bins: DataFrame, points: DataFrame, resolution: int) -> DataFrame
     starts = bins.withColumn("_end", F.col("end")).withColumn("end", F.col("start") + 1)
     after = points.select("chr", (F.col("coord") + 1).alias("start"), (F.col("coord") + resolution).alias("end"))
     return overlap_join(starts, after, "left_semi").withColumn("end", F.col("_end")).drop("_end")
+
+
+def genes_by_r(bins: DataFrame, genes: DataFrame, width: float, sure: float = 0.9) -> DataFrame:
+    """(bin, map, genes, confident, mean_r): per gene and label the share of its bins with r-values of ``sure`` or more and
+    their mean, then the means over genes in cells of ``width`` of expression.
+
+    ``bins``: (chr, start, end, map, r_value). A gene of many bins is summed before the shuffle.
+    """
+    met = overlap_join(bins, genes.select("chr", "start", "end", "gene_id", "tpm"))
+    each = met.groupBy("b_gene_id", "b_tpm", "map").agg(F.avg((F.round("r_value", 9) >= sure).cast("double")).alias("c"), F.avg("r_value").alias("r"))
+    return each.groupBy(F.floor(F.col("b_tpm") / width).alias("bin"), "map").agg(F.count("*").alias("genes"), F.avg("c").alias("confident"), F.avg("r").alias("mean_r"))

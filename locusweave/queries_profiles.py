@@ -193,3 +193,9 @@ def _(spark, d):
 @query("bins_after_tss", base._TS + " SELECT DISTINCT idx, m1 FROM t JOIN ts ON t.chr = ts.chr AND t.s - coord > 0 AND t.s - coord < 200")
 def _(spark, d):
     return profiles.bins_after(paired(spark, d).select("idx", "chr", "start", "end", "m1"), tss(spark, d), 200).select("idx", "m1")
+
+
+@query("genes_by_r", base._CURVE + base._GE + ", ea AS (SELECT gene_id, tpm, map, avg(CASE WHEN round(r, 9) >= 0.9 THEN 1.0 ELSE 0.0 END) AS c, avg(r) AS r FROM rv JOIN t USING (idx) JOIN ge ON t.chr = ge.chr AND t.s < ge.e AND ge.s < t.e GROUP BY ALL) SELECT CAST(floor(tpm / 100.0) AS BIGINT) AS bin, map, count(*) AS genes, round(avg(c), 6) AS confident, round(avg(r), 6) AS mean_r FROM ea GROUP BY ALL")
+def _(spark, d):
+    r = calibrate.r_values(paired(spark, d), LABELS, W, TO, BINS)
+    return r6(profiles.genes_by_r(r, genes(spark, d), 100.0), "confident", "mean_r")

@@ -16,7 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, groups, materialize, mix, slices, table, texts_of, to_batch
+from .common import Words, components, groups, materialize, mix, slices, table, texts_of, to_batch
+from .jaccard import similar_documents
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _LANE = (np.arange(8) * 256)[None, :]
@@ -164,24 +165,6 @@ def near_links(distinct: DataFrame, bits: int, radius: int, blocks: int, equal:
     return dealt.mapInArrow(compare, "u long, v long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that links reach, of every node with a link.
-
-    Rounds of neighbours' least labels and pointer jumping; every round's labels are written, none come to the driver.
-    """
-    both = materialize(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))), "links")
-    labels = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l")), "labels")
-    while True:
-        seen = both.join(labels.select(F.col("u").alias("v"), "l"), "v").select("u", "l")
-        step = materialize(seen.unionByName(labels).groupBy("u").agg(F.min("l").alias("l")), "labels")
-        jumped = step.join(step.select(F.col("u").alias("l"), F.col("l").alias("l2")), "l").select("u", F.col("l2").alias("l"))
-        jumped = materialize(jumped, "labels")
-        moved = jumped.join(labels.withColumnRenamed("l", "old"), "u").where("l <> old").limit(1).count()
-        labels = jumped
-        if not moved:
-            return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))
-
-
 def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 3, lanes: int = 1, blocks: int = 5, equal: int = 2, sets: bool = False) -> DataFrame:
     """(doc_id, fp, component_id) of every document; fingerprints within ``radius`` bits are linked.
 
@@ -200,23 +183,8 @@ def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 3, lanes
     return prints.join(materialize(classes, "classes"), "fp").select("doc_id", "fp", "component_id")
 
 
-def radius_for(similarity: float, bits: int) -> int:
-    """Differing bits to expect of two sets of equal size with this Jaccard similarity."""
-    return round(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def similar_documents(documents: DataFrame, similarity: float = 0.8, words: int = 5, lanes: int = 6, blocks: int = 24) -> DataFrame:
-    """(doc_id, fp, component_id) by a similarity of sets of shingles, beyond what few differing bits of 64 can tell.
-
-    At a similarity of 0.8 about 15 % of bits differ, so no choice of blocks makes a pair sure to share one. With 24 blocks of
-    16 bits a pair at 0.8 shares one with a chance of 0.83, at 0.85 of 0.93, at 0.9 of 0.99; wider fingerprints tell such pairs
-    from others more sharply.
-    """
-    return near_duplicates(documents, words, radius_for(similarity, 64 * lanes), lanes, blocks, 1, sets=True)
-
-
 def drop_near_duplicates(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The rows, with all their columns, of one document (the smallest doc_id) of each group; rows without doc_id stay."""
+    """The rows, with all their columns, of one document (the smallest doc_id) of each group of similar sets of shingles; rows without doc_id stay."""
     names = documents.columns
     classes = similar_documents(documents, similarity)
     gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
-from locusweave.llm import audio, lines, mixing, packing, pages, secrets, simhash, substrings, topk, toxicity
+from locusweave.llm import audio, jaccard, lines, mixing, packing, pages, secrets, simhash, substrings, topk, toxicity
 from locusweave.llm.common import Rolling, Words
 from pyspark.sql import functions as F
 
@@ -324,3 +324,39 @@ def test_pipeline_returns_documents(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= docs.count()
+
+
+def test_similar_documents_are_exact(spark, monkeypatch):
+    """Every pair at a Jaccard similarity of 0.8 or more is linked, no pair below; with small tiles and in larger groups too."""
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    texts, passage = [], [r.choice(vocabulary) for _ in range(80)]
+    for _ in range(60):  # pairs around the threshold: one stretch of words differs
+        base = [r.choice(vocabulary) for _ in range(r.choice([30, 105, 300]))]
+        cut = r.randint(0, len(base) // 6)
+        texts += [" ".join(base), " ".join(base[: len(base) - cut] + [r.choice(vocabulary) for _ in range(cut)])]
+    texts += [" ".join(passage + [r.choice(vocabulary) for _ in range(r.randint(0, 40))]) for _ in range(60)] + ["", None, "one", "One", "one two"]
+    sets = []
+    for t in texts:
+        w = words((t or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3]), (None, texts[0])], "doc_id long, text string")
+    for tile, sampled in ((2048, 5000), (8, 20)):
+        monkeypatch.setattr(jaccard.across_components, "__defaults__", (tile,))
+        monkeypatch.setattr(jaccard, "SAMPLED", sampled)
+        got = {x.doc_id: x.component_id for x in jaccard.similar_documents(docs).collect()}
+        assert got == {d: find(d) for d in range(len(texts))}
+    kept = Counter(x.doc_id for x in simhash.drop_near_duplicates(docs).collect())
+    assert set(kept) == {None} | {d for d in range(len(texts)) if find(d) == d}

@@ -1,6 +1,10 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by pairs of adjacent lines, or by content-defined chunks of lines.
 
-A text is cut at line feeds. A rolling hash over the hashes of the last ``reach`` lines decides whether a chunk ends behind
+``dedup_passages`` compares every two adjacent lines with anything but white space across all documents, so a passage of two
+lines or more that stood earlier goes whole, wherever it begins and ends: candidates by a 128-bit hash, then byte for byte.
+White lines between removed lines go with them.
+
+``dedup_lines`` does the same with chunks, and keeps what a passage has before its first and behind its last boundary. A text is cut at line feeds. A rolling hash over the hashes of the last ``reach`` lines decides whether a chunk ends behind
 a line (``1 / every`` of lines), so the same passage is cut alike wherever it stands. Chunks of two or more lines with
 anything but white space are compared across all documents: candidates by a 128-bit hash, then byte for byte. The first
 occurrence, by doc_id and place, stays; others are removed with their line feeds.
@@ -12,7 +16,7 @@ is kept, whatever its name. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -57,6 +61,34 @@ def _body(chunk: bytes) -> bytes | None:
     return body if b"\n" in body and not body.isspace() else None
 
 
+def chunk_bodies(text: bytes) -> list[bytes | None]:
+    return [_body(c) for c in chunks_of(text)]
+
+
+def without_chunks(text: bytes, gone: set[int]) -> bytes:
+    return b"".join(c for i, c in enumerate(chunks_of(text)) if i not in gone)
+
+
+def pair_bodies(text: bytes) -> list[bytes | None]:
+    """Every two adjacent lines, without the second's line feed; nothing for two white ones."""
+    lines = text.split(b"\n")
+    if not lines[-1]:
+        lines.pop()
+    return [None if not (a.strip() or b.strip()) else a + b"\n" + b for a, b in zip(lines, lines[1:])]
+
+
+def without_pairs(text: bytes, gone: set[int]) -> bytes:
+    """The text without both lines of each pair in ``gone``, and without white lines that lie between removed ones."""
+    lines = text.split(b"\n")
+    lines = [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+    out = {i + k for i in gone for k in (0, 1)}
+    at = sorted(out)
+    for a, b in zip(at, at[1:]):
+        if b - a > 1 and not any(x.strip() for x in lines[a + 1 : b]):
+            out.update(range(a + 1, b))
+    return b"".join(x for i, x in enumerate(lines) if i not in out)
+
+
 _HASHES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("i", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 _CANDIDATES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("i", pa.int32()), ("h1", pa.int64()), ("first", pa.bool_()), ("body", pa.binary())])
 
@@ -66,8 +98,11 @@ def _digest(body: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-def repeated_chunks(documents: DataFrame) -> DataFrame:
-    """(row, gone): numbers of the chunks that each document loses."""
+def repeated_chunks(documents: DataFrame, bodies: Callable[[bytes], list[bytes | None]] = chunk_bodies, apart: int = 1) -> DataFrame:
+    """(row, gone): numbers of the pieces (see ``bodies``) that each document loses.
+
+    ``apart``: least distance of a piece from its first occurrence in the same text, so that none is removed that overlaps it.
+    """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
     docs = docs.where("doc_id is not null and contains(text, '\n')")
 
@@ -75,8 +110,8 @@ def repeated_chunks(documents: DataFrame) -> DataFrame:
         for b in batches:
             at, number, pairs = [], [], []
             for n, text in enumerate(texts_of(b.column(2))):
-                for i, chunk in enumerate(chunks_of(text)):
-                    if (body := _body(chunk)) is not None:
+                for i, body in enumerate(bodies(text)):
+                    if body is not None:
                         at.append(n)
                         number.append(i)
                         pairs.append(_digest(body))
@@ -96,22 +131,31 @@ def repeated_chunks(documents: DataFrame) -> DataFrame:
             out: dict[str, list] = {f.name: [] for f in _CANDIDATES}
             ids, rows, wants = b.column(0), b.column(1), b.column(3).to_pylist()
             for n, text in enumerate(texts_of(b.column(2))):
-                chunks = chunks_of(text)
+                own = bodies(text)
                 for w in wants[n]:
-                    for name, value in zip(out, (ids[n].as_py(), rows[n].as_py(), w["i"], w["key"], w["first"], _body(chunks[w["i"]])), strict=True):
+                    for name, value in zip(out, (ids[n].as_py(), rows[n].as_py(), w["i"], w["key"], w["first"], own[w["i"]]), strict=True):
                         out[name].append(value)
             yield to_batch(out, _CANDIDATES)
 
     found = docs.join(wanted, "row").select("doc_id", "row", "text", "wanted")
     found = materialize(found.mapInArrow(candidates, "doc_id long, row long, i int, h1 long, first boolean, body binary").distinct(), "line-candidates")
-    firsts = found.where("first").select("h1", F.col("body").alias("kept"))
-    same = found.where("not first").select("row", "i", "h1", "body").join(firsts, "h1").where("body = kept")
+    firsts = found.where("first").select("h1", F.col("body").alias("kept"), F.col("row").alias("at"), F.col("i").alias("from"))
+    same = found.where("not first").select("row", "i", "h1", "body").join(firsts, "h1").where(f"body = kept and (row <> at or i - from >= {apart})")
     return same.groupBy("row").agg(F.collect_set("i").alias("gone"))
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """``documents`` with repeated chunks of lines cut out of ``text``; n_chars, if there, follows."""
-    gone = repeated_chunks(documents).select(F.col("row").alias("__row"), F.col("gone").alias("__gone"))
+    return _cut(documents, repeated_chunks(documents), without_chunks)
+
+
+def dedup_passages(documents: DataFrame) -> DataFrame:
+    """``documents`` with every run of two or more lines that stood earlier cut out of ``text``; n_chars, if there, follows."""
+    return _cut(documents, repeated_chunks(documents, pair_bodies, 2), without_pairs)
+
+
+def _cut(documents: DataFrame, repeated: DataFrame, rest: Callable[[bytes, set[int]], bytes]) -> DataFrame:
+    gone = repeated.select(F.col("row").alias("__row"), F.col("gone").alias("__gone"))
     names = documents.columns
     whole = documents.select(F.struct(*[documents[f"`{c}`"] for c in names]).alias("__doc"))
     whole = whole.withColumn("__row", F.when(F.col("__doc.doc_id").isNotNull(), row_key("__doc.doc_id", "__doc.text")))
@@ -121,8 +165,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
         out = texts.cast(pa.string()).to_pylist()
         for n, g in enumerate(gone_.to_pylist()):
             if g:
-                g = set(g)
-                out[n] = b"".join(c for i, c in enumerate(chunks_of(out[n].encode())) if i not in g).decode()
+                out[n] = rest(out[n].encode(), set(g)).decode()
         return out
 
     @F.pandas_udf("string")
@@ -147,5 +190,5 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    kept = dedup_lines(documents.select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).alias("before")))
+    kept = dedup_passages(documents.select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).alias("before")))
     return kept.select("doc_id", F.col("before").cast("long").alias("n_chars"), (F.col("before") - F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

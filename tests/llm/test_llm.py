@@ -360,3 +360,34 @@ def test_similar_documents_are_exact(spark, monkeypatch):
         assert got == {d: find(d) for d in range(len(texts))}
     kept = Counter(x.doc_id for x in simhash.drop_near_duplicates(docs).collect())
     assert set(kept) == {None} | {d for d in range(len(texts)) if find(d) == d}
+
+
+def test_repeated_passages_go_whole(spark, documents, corpus, empty):
+    """Passages of two to twelve lines go whole, wherever they stand; and all documents against a plain version."""
+    r, rows, passages = random.Random(6), [], []
+    for n in (2, 3, 5, 8, 12):
+        for _ in range(10):
+            new = lambda k: [" ".join(str(r.random()) for _ in range(6)) for _ in range(k)]
+            passage = new(n)
+            passages.append(passage)
+            rows += [(len(rows), "\n".join(new(r.randint(1, 9)) + passage + new(r.randint(1, 9)))), (len(rows) + 1, "\n".join(new(r.randint(1, 9)) + passage + new(r.randint(1, 9))))]
+    kept = {x.doc_id: x.text for x in lines.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n, passage in enumerate(passages):
+        assert kept[2 * n] == rows[2 * n][1] and kept[2 * n + 1].split("\n") == [x for x in rows[2 * n + 1][1].split("\n") if x not in passage]
+
+    rows = [(0, "a\na\na"), (1, "x\ny\n\n\n\nz\nw"), (2, "v\nx\ny\n\n\n\nz\nw"), (3, "a\nq"), (4, "x\nu\ny"), (5, "k\nl\nk\nl\nk\nl\n"), (6, "m\n \n\t\nn"), (7, "o\n \n\t\np"), (8, None), (8, ""), (None, "x\ny")]
+    kept = Counter((x.doc_id, x.text) for x in lines.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == Counter(rows) - Counter([rows[2], rows[5]]) + Counter([(2, "v\n"), (5, "k\nl\n")])
+
+    place, texts = {}, sorted({(d, t) for d, t, *_ in corpus if d is not None and t})
+    for d, t in texts:
+        for i, body in enumerate(lines.pair_bodies(t.encode())):
+            if body is not None:
+                place.setdefault(body, (d, i))
+    want = {}
+    for d, t in texts:
+        gone = {i for i, x in enumerate(lines.pair_bodies(t.encode())) if x is not None and (place[x][0] < d or place[x][1] < i - 1)}
+        want[d] = lines.without_pairs(t.encode(), gone).decode()
+    got = lines.dedup_passages(documents)
+    assert got.columns == documents.columns and got.count() == len(corpus) and lines.dedup_passages(empty).count() == 0
+    assert all(x["text"] == want[x["doc_id"]] and x["n_chars"] == len(x["text"]) for x in got.collect() if x["doc_id"] in want)

@@ -391,3 +391,14 @@ def test_repeated_passages_go_whole(spark, documents, corpus, empty):
     got = lines.dedup_passages(documents)
     assert got.columns == documents.columns and got.count() == len(corpus) and lines.dedup_passages(empty).count() == 0
     assert all(x["text"] == want[x["doc_id"]] and x["n_chars"] == len(x["text"]) for x in got.collect() if x["doc_id"] in want)
+
+
+def test_bitmaps_never_exceed_the_difference():
+    r = np.random.default_rng(9)
+    for n in (5, 900, 1100, 2000, 2100, 9000):
+        for share in (0.1, 0.8, 1.0):
+            both, one, two = (np.unique(r.integers(0, 2**64, int(k), dtype=np.uint64)) for k in (n * share, n * (1 - share), 1.2 * n * (1 - share)))
+            a, b = np.union1d(both, one), np.union1d(both, two)
+            assert jaccard.differing(jaccard.wide(a), jaccard.wide(b)) <= len(np.setxor1d(a, b))
+            if share < 0.5 and min(len(a), len(b)) > jaccard.BITS:
+                assert jaccard.differing(jaccard.wide(a), jaccard.wide(b)) * 9 > len(a) + len(b)

@@ -39,11 +39,11 @@ def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annotation intervals (rid, chr, start, end) from orders."""
+def intervals(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Annotation intervals (rid, chr, start, end) from orders: from all (``whole``), or from each tenth key."""
     key = F.col("o_orderkey")
     start = (key * 7919) % 780000
-    return read(spark, sf_dir, "orders").where(key % 10 == 0).select(key.alias("rid"), F.concat(F.lit("chr"), (1 + key % 3).cast("string")).alias("chr"), start.alias("start"), (start + 100 + (key % 17) * 90).alias("end"))
+    return read(spark, sf_dir, "orders").where(F.lit(True) if whole else key % 10 == 0).select(key.alias("rid"), F.concat(F.lit("chr"), (1 + key % 3).cast("string")).alias("chr"), start.alias("start"), (start + 100 + (key % 17) * 90).alias("end"))
 
 
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -288,6 +288,8 @@ def _(spark, d):
 
 
 _IV = ", iv AS (SELECT o_orderkey AS rid, 'chr' || (1 + o_orderkey % 3) AS chr, (o_orderkey * 7919) % 780000 AS s, (o_orderkey * 7919) % 780000 + 100 + (o_orderkey % 17) * 90 AS e FROM orders WHERE o_orderkey % 10 = 0)"
+#: The same of every order.
+_IA = _IV.replace(" WHERE o_orderkey % 10 = 0", "")
 _GE = ", ge AS (SELECT p_partkey AS gene_id, 'chr' || (1 + p_partkey % 3) AS chr, (p_partkey * 3571) % 790000 AS s, (p_partkey * 3571) % 790000 + p_size * 60 AS e, p_retailprice AS tpm, 't' || (p_partkey % 3) AS gene_type FROM part)"
 _TS = ", ts AS (SELECT s_suppkey AS tss_id, 'chr' || (1 + s_suppkey % 3) AS chr, (s_suppkey * 7877 + 57) % 790000 AS coord FROM supplier)"
 
@@ -302,6 +304,16 @@ def _(spark, d):
     return ranges.overlap_join(paired(spark, d).select("idx", "chr", "start", "end"), intervals(spark, d), "left_anti").select("idx")
 
 
+@query("interval_overlap_all", _IA + " SELECT t.idx, iv.rid FROM t JOIN iv ON t.chr = iv.chr AND t.s < iv.e AND iv.s < t.e")
+def _(spark, d):
+    return ranges.overlap_join(paired(spark, d).select("idx", "chr", "start", "end"), intervals(spark, d, True)).select("idx", F.col("b_rid").alias("rid"))
+
+
+@query("interval_anti_all", _IA + " SELECT t.idx FROM t WHERE NOT EXISTS (SELECT 1 FROM iv WHERE t.chr = iv.chr AND t.s < iv.e AND iv.s < t.e)")
+def _(spark, d):
+    return ranges.overlap_join(paired(spark, d).select("idx", "chr", "start", "end"), intervals(spark, d, True), "left_anti").select("idx")
+
+
 @query("bin_gene_endpoint", _GE + " SELECT idx, m1, round(arg_max(tpm, gene_id), 6) AS tpm FROM t JOIN ge ON t.chr = ge.chr AND ((t.s BETWEEN ge.s AND ge.e) OR (t.e BETWEEN ge.s AND ge.e)) GROUP BY idx, m1")
 def _(spark, d):
     return r6(ranges.endpoint_join(paired(spark, d), genes(spark, d)).select("idx", "m1", "tpm"), "tpm")

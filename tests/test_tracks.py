@@ -153,3 +153,11 @@ def test_readers(spark, tmp_path):
     assert [(r.start, r.end) for r in tracks.bins_of_sizes(sizes, 200).orderBy("start").collect()] == [(0, 200), (200, 400), (400, 450)]
     (tmp_path / "m.txt").write_text("old\tnew\n1\tPromoter_flanking\n2\tQuiescent\n")
     assert tracks.read_mnemonics(spark, str(tmp_path / "m.txt")) == {0: "Promoter_flanking", 1: "Quiescent"}
+
+
+def test_every_order_is_an_interval(spark, tmp_path):
+    from locusweave.plans.adapters import intervals
+
+    spark.range(1, 41).withColumnRenamed("id", "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {(x.rid, x.chr, x.start, x.end) for x in intervals(spark, str(tmp_path), True).collect()}
+    assert got == {(k, f"chr{1 + k % 3}", k * 7919 % 780000, k * 7919 % 780000 + 100 + k % 17 * 90) for k in range(1, 41)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +66,12 @@ def _(spark, d):
     return paired(spark, d).select("idx", F.round(core.logit("p1")[0], 6).alias("logit0"), F.round(F.array_max("p1"), 6).alias("top"))
 
 
+@query("logit_posterior_labels", "SELECT idx, k, round(CASE WHEN p1[la + 1] < 1e-16 THEN -36.84136 WHEN p1[la + 1] > 1 - 1e-16 THEN 36.84136 ELSE ln(p1[la + 1] / nullif(1 - p1[la + 1], 0)) END, 6) AS logit FROM t, l")
+def _(spark, d):
+    p = paired(spark, d).withColumn("l", core.logit("p1"))
+    return r6(p.select("idx", F.explode(F.array(*[F.struct(F.lit(x).alias("k"), F.col("l")[i].alias("logit")) for i, x in enumerate(LABELS)])).alias("c")).select("idx", "c.*"), "logit")
+
+
 @query("coverage", "SELECT k, round(c1, 6) AS coverage1, round(c2, 6) AS coverage2 FROM c1 JOIN c2 ON k = j")
 def _(spark, d):
     p = paired(spark, d)
@@ -276,6 +283,13 @@ def _(spark, d):
     return r6(spatial.correspondence_curve(paired(spark, d), 0), "psi")
 
 
+@query("corr_curve_labels", ", rk AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY p1[la + 1] DESC, idx) - 1 AS r1, row_number() OVER (PARTITION BY k ORDER BY p2[la + 1] DESC, idx) - 1 AS r2 FROM t, l) SELECT k, g / 100.0::DOUBLE AS t, round(count(*) FILTER (greatest(r1, r2) <= g * (SELECT n FROM n) // 100) / (SELECT CAST(n AS DOUBLE) FROM n), 6) AS psi FROM rk, range(0, 101) r(g) GROUP BY k, g")
+def _(spark, d):
+    p = paired(spark, d)
+    curves = [spatial.correspondence_curve(p, i).select(F.lit(x).alias("k"), "t", "psi") for i, x in enumerate(LABELS)]
+    return r6(reduce(DataFrame.unionByName, curves), "psi")
+
+
 _STRATA = ", sj AS (SELECT l.k, (row_number() OVER (PARTITION BY l.k ORDER BY p1[la + 1], idx) - 1) // greatest(1, (SELECT n // 50 FROM n)) AS b, m2 FROM t, l) "
 
 

@@ -161,3 +161,16 @@ def test_every_order_is_an_interval(spark, tmp_path):
     spark.range(1, 41).withColumnRenamed("id", "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
     got = {(x.rid, x.chr, x.start, x.end) for x in intervals(spark, str(tmp_path), True).collect()}
     assert got == {(k, f"chr{1 + k % 3}", k * 7919 % 780000, k * 7919 % 780000 + 100 + k % 17 * 90) for k in range(1, 41)}
+
+
+@pytest.mark.parametrize("name", ["logit_posterior_labels", "corr_curve_labels"])
+def test_every_label_as_in_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from locusweave import queries
+
+    d = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet'")
+    want = sorted(db.execute(queries.SQL[name]).fetchall())
+    got = sorted(map(tuple, queries.Q[name](spark, d).collect()))
+    assert len({k for row in got for k in row if isinstance(k, str)}) == 5 and got == want

@@ -285,12 +285,54 @@ def test_tensors():
 
 def test_pages(spark):
     side = "<div class='x'><p>Same on every page</p><ul><li>One</li></ul></div>"
-    rows = [(i, f"http://h.example/{i}", f"<html><head><title>T</title><style>p{{}}</style></head><body><nav><a>Menu</a></nav>{side}<div><p>Text {i} &amp; &eacute;<br>more<p>Second <b>bold</b> part {i}</div><form>Send</form><div class='comments'><p>Nice</p></div><script>var x='<p>'</script></body></html>") for i in range(8)]
+    rows = [(i, f"http://h.example/{i}", f"<html><head><title>T</title><style>p{{}}</style></head><body><nav><a>Menu</a></nav>{side}<div><p>Text {chr(97 + i)} &amp; &eacute;<br>more<p>Second <b>bold</b> part {chr(97 + i)}</div><form>Send</form><div class='comments'><p>Nice</p></div><script>var x='<p>'</script></body></html>") for i in range(8)]
     rows += [(8, None, None), (9, "http://o.example/", ""), (10, "http://o.example/a", "<nav>M</nav><article><header><h1>Head</h1></header><p>A\n  b<p>C</article><footer>F"), (10, "http://o.example/a", "plain &lt; text")]
-    got = Counter((r.page_id, r.text) for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
-    want = Counter({(i, f"Text {i} & é more\nSecond bold part {i}"): 1 for i in range(8)})
+    # adverts of any words inside an article go where their shape recurs; the same class on one page alone deletes nothing
+    rows += [(20 + i, f"https://ads.example/{i}", f"<article><p>Story {'x' * i}</p><div class='promo box'><b>Buy {'y' * i}</b></div><p>End</p></article>") for i in range(6)]
+    rows += [(30, "http://one.example/", "<article><h1>T</h1><div class='related-work'><p>Body one</p></div><p class='social'>Body two</p><p>Body three</p></article>"), (31, "http://one.example/", "<main><div id='alert-system'><p>Kept</p></div></main>")]
+    rows += [(32, "http://one.example/", "<article><p>Body</p></article><article class='comment'><p>Nice post!</p></article>"), (33, "http://one.example/", "<article><p>Body</p><p style='display: none'>no</p><aside>no</aside></article>")]
+    schema = "page_id long, url string, html string, host string, part int, pages long"
+    df = spark.createDataFrame([(*r, "clash", 1, 2) for r in rows], schema)
+    got = Counter((r.page_id, r.text) for r in pages.extract_pages(df).collect())
+    want = Counter({(i, f"Text {chr(97 + i)} & é more\nSecond bold part {chr(97 + i)}"): 1 for i in range(8)})
     want += Counter({(8, ""): 1, (9, ""): 1, (10, "Head\nA b\nC"): 1, (10, "plain < text"): 1})
+    want += Counter({(20 + i, f"Story {'x' * i}".strip() + "\nEnd"): 1 for i in range(6)})
+    want += Counter({(30, "T\nBody one\nBody two\nBody three"): 1, (31, "Kept"): 1, (32, "Body"): 1, (33, "Body"): 1})
     assert got == want
+    assert pages.extract_pages(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "http://l.example/", "<p>" + "word " * 400_000 + "</p>" + "<div>" * 3000 + "deep")], "page_id long, url string, html string")
+    assert len(pages.extract_pages(long).first()["text"]) == 5 * 400_000 + 4
+
+
+@pytest.mark.parametrize("lot", [5_000, 3])
+def test_templates_against_plain_counts(spark, tmp_path, lot, monkeypatch):
+    """The registered query against counts of every subtree in plain Python; small parts deal a host over several."""
+    monkeypatch.setattr(pages, "LOT", lot)
+    r = random.Random(12)
+    rows = []
+    for i in range(120):
+        host = r.choice(["a.example", "a.example", "B.example", "c.example", f"few{i}.example"])
+        menu = "".join(f"<li><a href='/{r.random()}'>{r.choice('pqrs')}</a></li>" for _ in range(r.randint(2, 5)))
+        body = "".join(f"<p>{r.random()} {' '.join(r.choice('abcdefgh') * 3 for _ in range(9))}</p>" for _ in range(3))
+        notice = f"<div class='cookie-{i}'>We use {host} {r.randint(0, 9)}</div>" if r.random() < 0.5 else ""
+        wrap = r.choice(["<article>{}</article>", "<div>{}</div>"]).format(body + notice)
+        rows.append((i, f"http://{host}/{i}", f"<body><div class=menu><ul>{menu}</ul></div><div>Visit {host} today</div>{wrap}<div>Unique {r.choice('ab') * 9}</div></body>"))
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    parsed = [(url.split("/")[2].lower(), pages.Page(h)) for _, url, h in rows]
+    sizes, content, shape, common = Counter(h for h, _ in parsed), Counter(), Counter(), Counter()
+    for h, p in parsed:
+        content.update({(h, c) for _, c, _ in p.subtrees()} - {(h, 0)})
+        shape.update({(h, s) for _, _, s in p.subtrees()} - {(h, 0)})
+        common.update({s for _, _, s in p.subtrees()} - {0})
+    want = {}
+    for (h, p), (i, url, _) in zip(parsed, rows, strict=True):
+        contents = {c for (x, c), n in content.items() if x == h and n >= max(5, 0.2 * sizes[h])}
+        shapes = {s for (x, s), n in shape.items() if x == h and n >= max(3, 0.01 * sizes[h])} | {s for s, n in common.items() if n >= 5 and sizes[h] < 5}
+        text, took = p.main_text(contents, shapes)
+        want[i] = (i, url, text, len(text), took)
+    got = pages.op9_html_extraction(spark, str(tmp_path))
+    assert got.columns == ["page_id", "url", "text", "n_chars", "n_template"]
+    assert {x.page_id: tuple(x) for x in got.collect()} == want and sum(x[4] > 0 for x in want.values()) == 120
 
 
 def test_secrets(documents, corpus):

@@ -1,13 +1,18 @@
 """Secret scans: rules for well-known forms, and a character convolutional network over every other candidate.
 
-Base findings are regular expressions. A candidate is every maximal run of 16 or more characters of ``[A-Za-z0-9+/_=-]``; the
-network reads its characters and those around it, and adds it if its calibrated probability passes a threshold chosen on
-held-out findings for a recall of RECALL. It is trained in numpy on labelled findings: credentials of common shapes, and what
-resembles them (words, numbers, identifiers, paths, dates ...), drawn from a seed, so training needs no corpus and is the same
-everywhere. A candidate that meets a base finding adds nothing.
-
-Null texts are empty. Null ids and repeated rows are kept, each as it is. Extra columns are ignored. An empty table gives an
-empty result.
+Base findings are regular expressions. What they leave of every maximal run of ``[A-Za-z0-9+/_=-]`` is a candidate if it has
+SHORTEST characters or more, one of them behind the first not a lower-case letter, or LETTERS characters of any kind: shorter runs
+of lower-case letters are words, which nothing in their characters could tell from a password. The network reads a candidate and
+the characters around it, in overlapping windows of INNER characters where it is longer, so all of it is seen; the windows whose
+calibrated probability passes a threshold are findings, neighbours as one. The threshold is the highest that keeps a recall of
+RECALL on held-out findings.
+
+The network is trained in numpy on labelled findings: credentials of common shapes, alone and inside paths, assignments and
+addresses, and what resembles them (words of several languages in any case, numbers, identifiers, paths, dates ...), drawn from a
+seed, so training needs no corpus and is the same everywhere.
+
+Null texts are empty. Null ids and repeated rows are kept, each as it is. Extra columns are ignored, whatever their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ ASSIGN = re.compile(rf"({_WORD})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS, HEX = re.compile(rb"AKIA[A-Z0-9]+"), re.compile(rb"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "network")
 
-SHORTEST, AROUND, INNER, RECALL = 16, 20, 56, 0.99
+SHORTEST, LETTERS, AROUND, INNER, RECALL = 10, 16, 12, 44, 0.99
 _SIZE = 2 * AROUND + INNER
 
 _CHARS = np.zeros(256, bool)
@@ -44,20 +49,22 @@ _SYMBOL[10] = 96
 
 
 def encode(before: list[bytes], inner: list[bytes], after: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols (candidates, _SIZE) and the mask of the candidate's own places.
-
-    A candidate longer than INNER shows its first and last halves.
-    """
-    half = INNER // 2
-    body = [x if len(x) <= INNER else x[:half] + x[-half:] for x in inner]
-    raw = b"".join(b[-AROUND:].rjust(AROUND, b"\0") + i.ljust(INNER, b"\0") + a[:AROUND].ljust(AROUND, b"\0") for b, i, a in zip(before, body, after, strict=True))
+    """Symbols (windows, _SIZE) and the mask of the window's own places; no window is longer than INNER."""
+    raw = b"".join(b[-AROUND:].rjust(AROUND, b"\0") + i.ljust(INNER, b"\0") + a[:AROUND].ljust(AROUND, b"\0") for b, i, a in zip(before, inner, after, strict=True))
     grid = np.frombuffer(raw, np.uint8).reshape(-1, _SIZE)
     symbols = np.where(grid == 0, 0, _SYMBOL[grid])
-    sizes = np.fromiter(map(len, body), np.int64, len(body))
+    sizes = np.fromiter(map(len, inner), np.int64, len(inner))
     place = np.arange(_SIZE)[None, :]
     return symbols, (place >= AROUND) & (place < AROUND + sizes[:, None])
 
 
+def windows(begin: int, end: int) -> list[tuple[int, int]]:
+    """Stretches of at most INNER characters that cover a candidate, each by half over the next."""
+    if end - begin <= INNER:
+        return [(begin, end)]
+    return [(i, i + INNER) for i in [*range(begin, end - INNER, INNER // 2), end - INNER]]
+
+
 class Network:
     """Embedding, one convolution, maxima and means over the candidate, means around it, one hidden layer."""
 
@@ -70,6 +77,9 @@ class Network:
             "embed": r.normal(0, 0.5, (99, e)), "conv": r.normal(0, (w * e) ** -0.5, (w * e, f)), "cb": np.zeros(f),
             "w1": r.normal(0, (3 * f) ** -0.5, (3 * f, h)), "b1": np.zeros(h), "w2": r.normal(0, h**-0.5, h), "b2": np.zeros(1),
         }
+        # characters of a kind begin alike: lower case, upper case, digits, all else
+        kind = np.array([0 if chr(c).islower() else 1 if chr(c).isupper() else 2 if chr(c).isdigit() else 3 for c in range(32, 127)])
+        self.p["embed"][1:96, :4] = np.eye(4)[kind] + 0.1 * self.p["embed"][1:96, :4]
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
 
@@ -96,7 +106,7 @@ class Network:
         logits = np.concatenate([self._forward(symbols[i : i + 512], mask[i : i + 512])[0] for i in range(0, len(symbols), 512)]) if len(symbols) else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(logits * self.scale + self.shift, -30, 30)))
 
-    def train(self, symbols: np.ndarray, mask: np.ndarray, label: np.ndarray, epochs: int = 8, batch: int = 128, seed: int = 6) -> None:
+    def train(self, symbols: np.ndarray, mask: np.ndarray, label: np.ndarray, epochs: int = 8, batch: int = 192, seed: int = 6) -> None:
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
@@ -131,17 +141,19 @@ class Network:
         padded = np.zeros((n, size + w - 1, e), np.float32)
         for k in range(w):
             padded[:, k : k + size] += dx[:, :, k]
-        de = np.zeros_like(p["embed"])
-        np.add.at(de, symbols.ravel(), (padded[:, w // 2 : w // 2 + size] * (symbols > 0)[:, :, None]).reshape(-1, e))
+        live = (padded[:, w // 2 : w // 2 + size] * (symbols > 0)[:, :, None]).reshape(-1, e)
+        at = symbols.ravel()
+        de = np.stack([np.bincount(at, weights=live[:, k], minlength=len(p["embed"])) for k in range(e)], axis=1).astype(np.float32)
         g["embed"] = de
         return g
 
 
 def labelled_findings(count: int, seed: int) -> tuple[list[tuple[bytes, bytes, bytes]], np.ndarray]:
-    """(before, candidate, after) and whether it is a credential: random ones of common shapes, and look-alikes."""
+    """(before, window, after) and whether it holds a credential: random ones of common shapes, and look-alikes."""
     r = np.random.default_rng(seed)
     low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    parts = "an the ing tion re ent ou is men ver ich de la que on ti er st ra lo ka mi su to be ge".split()
+    parts = "an the ing tion re ent ou is men ver ich de la que on ti er st ra lo ka mi su to be ge sch ein heit keit ung eau oi ai os ar ción do pre com str".replace("ó", "o").split()
+    accents = "äöüßéèêçñóíáà"
 
     def pick(chars: str, n: int) -> str:
         return "".join(chars[i] for i in r.integers(0, len(chars), n))
@@ -149,40 +161,64 @@ def labelled_findings(count: int, seed: int) -> tuple[list[tuple[bytes, bytes, b
     def word(least: int = 2, most: int = 5) -> str:
         return "".join(parts[i] for i in r.integers(0, len(parts), r.integers(least, most)))
 
+    def letters(n: int) -> str:
+        return "".join("etaoinshrdlucmfgypwbvkxjzq"[i] for i in np.minimum(25, r.exponential(7, n).astype(int)))
+
     def prose(n: int) -> str:
-        return " ".join(word() for _ in range(n))
+        return " ".join(word() + (pick(accents, 1) + word(1, 3) if r.random() < 0.2 else "") for _ in range(n))
 
     def secret() -> str:
         return [
             lambda: pick("0123456789abcdef", int(r.choice([32, 40, 48, 64]))), lambda: pick("0123456789ABCDEF", int(r.choice([32, 40, 64]))), lambda: "AKIA" + pick(up + num, 16),
             lambda: pick(low + up + num + "+/", int(r.integers(24, 64))) + "=" * int(r.integers(0, 3)), lambda: "gh" + pick("pousr", 1) + "_" + pick(low + up + num, 36),
             lambda: "sk-" + pick(low + up + num, int(r.integers(24, 48))), lambda: "xox" + pick("bp", 1) + "-" + pick(num, 11) + "-" + pick(low + up + num, 24),
-            lambda: "eyJ" + pick(low + up + num + "-_", int(r.integers(30, 60))), lambda: pick(low + up + num, int(r.integers(20, 44))), lambda: "AIza" + pick(low + up + num + "-_", 35),
+            lambda: "eyJ" + pick(low + up + num + "-_", int(r.integers(30, 60))), lambda: pick(low + up + num, int(r.integers(12, 44))), lambda: "AIza" + pick(low + up + num + "-_", 35),
         ][r.integers(0, 10)]()
 
+    def inside() -> tuple[str, str]:
+        """What a path, an assignment or an identifier puts before and behind a credential; mostly nothing."""
+        k = r.integers(0, 8)
+        return ("", "") if k < 5 else [(word() + "/" + word() + "/", ""), (word() + "=", ""), ("/".join(word() for _ in range(3)) + "/", "/" + word())][k - 5]
+
     def other() -> str:
-        x = [
-            lambda: word(6, 10), lambda: word(5, 8).capitalize(), lambda: word(6, 9).upper(), lambda: pick(num, int(r.integers(16, 20))), lambda: "_".join(word() for _ in range(r.integers(3, 6))),
-            lambda: "-".join(word() for _ in range(r.integers(3, 6))), lambda: "/".join(word() for _ in range(r.integers(3, 6))), lambda: "".join(word().capitalize() for _ in range(r.integers(3, 5))),
-            lambda: pick("=-_", 1) * int(r.integers(16, 60)), lambda: f"20{pick(num, 2)}-{pick(num, 2)}-{pick(num, 2)}_{pick(num, 6)}", lambda: word(4, 7) + pick(num, int(r.integers(1, 4))),
-            lambda: pick(low, 1) * int(r.integers(16, 40)), lambda: "-".join(pick(num, 4) for _ in range(4)), lambda: "/".join([word(), pick(num, 4), pick(num, 2), word(3, 6)]),
-            lambda: (word(2, 3) * 9)[: int(r.integers(16, 40))], lambda: word(3, 5) + "=" + word(3, 5),
-        ][r.integers(0, 16)]()
-        return x if len(x) >= SHORTEST else x + "_" + word(7, 10)
+        return [
+            lambda: word(5, 10), lambda: word(4, 8).capitalize(), lambda: word(3, 9).upper(), lambda: pick(num, int(r.integers(10, 20))), lambda: "_".join(word() for _ in range(r.integers(2, 6))),
+            lambda: "-".join(word() for _ in range(r.integers(2, 6))), lambda: "/".join(word() for _ in range(r.integers(2, 14))), lambda: "".join(word().capitalize() for _ in range(r.integers(2, 5))),
+            lambda: pick("=-_", 1) * int(r.integers(10, 60)), lambda: f"20{pick(num, 2)}-{pick(num, 2)}-{pick(num, 2)}_{pick(num, 6)}", lambda: word(3, 7) + pick(num, int(r.integers(1, 5))),
+            lambda: pick(low + up, 1) * int(r.integers(12, 40)), lambda: "-".join(pick(num, int(r.integers(2, 5))) for _ in range(r.integers(3, 5))), lambda: "/".join([word(), pick(num, 4), pick(num, 2), word(3, 6)]),
+            lambda: (word(2, 3) * 9)[: int(r.integers(12, 40))], lambda: word(3, 5) + "=" + word(3, 5), lambda: "-".join(word().upper() for _ in range(r.integers(2, 4))),
+            lambda: "+" + pick(num, 2) + "-" + pick(num, int(r.integers(7, 11))), lambda: word().upper() + "-" + pick(num, int(r.integers(4, 7))), lambda: "/".join([pick(num, 2), pick(num, 2), pick(num, 4)]),
+            lambda: word(1, 3).upper() + "_" + word().upper() + "_" + word().upper(), lambda: "-".join([word(), pick(num, 1), pick(num, 1), pick(num, 1)]), lambda: word(2, 4).capitalize() + word(2, 4).upper(),
+            lambda: letters(int(r.integers(10, 20))).upper(), lambda: letters(int(r.integers(10, 20))).upper(), lambda: letters(int(r.integers(16, 24))), lambda: letters(int(r.integers(15, 20))).capitalize(),
+            lambda: (word() + letters(int(r.integers(2, 8))) + word()).upper(), lambda: (letters(int(r.integers(2, 5))) + word(3, 5)).upper(), lambda: pick(num, int(r.integers(13, 20))),
+        ][r.integers(0, 30)]()
 
     found, label = [], []
     lead = ["token = \"", "password: ", "secret=", "api_key=", "key ", "Authorization: Bearer ", "export KEY=", "\n", " ", " (", "\"", "id: ", "see ", "http://x/", "= ", ": "]
-    for i in range(count):
+    i = 0
+    while len(found) < count:
         good = i % 2 == 0
-        text = secret() if good else other()
-        before = prose(3) + " " + lead[r.integers(0, len(lead))]
-        found.append((before.encode(), text.encode(), (["\" ", " ", "\n", ". ", ", ", "\"\n"][r.integers(0, 6)] + prose(3)).encode()))
+        i += 1
+        lead_in, lead_out = inside() if good else ("", "")
+        body = secret() if good else other()
+        text = lead_in + body + lead_out
+        while not good and (len(text) < SHORTEST or len(text) < LETTERS and text[1:].islower()):
+            text = other()
+        # words go on in letters beyond ASCII, which end a run
+        close = not good and r.random() < 0.3
+        before = prose(3) + (pick(accents + accents.upper(), 1) if close else " " + lead[r.integers(0, len(lead))])
+        after = (pick(accents + accents.upper(), 1) + word(1, 3) + " " if close and r.random() < 0.5 else ["\" ", " ", "\n", ". ", ", ", "\"\n"][r.integers(0, 6)]) + prose(3)
+        spans = windows(0, len(text))
+        # of a long one, the window that holds most of the credential
+        own = (len(lead_in), len(lead_in) + len(body))
+        low_, high = max(spans, key=lambda s: min(s[1], own[1]) - max(s[0], own[0])) if good else spans[r.integers(0, len(spans))]
+        found.append(((before + text[:low_]).encode(), text[low_:high].encode(), (text[high:] + after).encode()))
         label.append(good)
     return found, np.asarray(label, np.float32)
 
 
 @lru_cache(maxsize=2)
-def trained(count: int = 6000, seed: int = 29) -> Network:
+def trained(count: int = 8000, seed: int = 29) -> Network:
     """The network, fitted on 4 of 6 parts, calibrated (by a logistic scale) on one, its threshold set on the last."""
     found, label = labelled_findings(count, seed)
     symbols, mask = encode([x[0] for x in found], [x[1] for x in found], [x[2] for x in found])
@@ -200,8 +236,7 @@ def trained(count: int = 6000, seed: int = 29) -> Network:
         scale, shift = scale - step[0], shift - step[1]
     net.scale, net.shift = float(scale), float(shift)
     good = np.sort(net.scores(symbols[part == 5], mask[part == 5])[y[part == 5] == 1])
-    # the highest threshold at which the recall holds, though never below an even chance
-    net.threshold = float(max(0.5, min(0.95, good[int((1 - RECALL) * len(good))])))
+    net.threshold = float(good[int((1 - RECALL) * len(good))])  # the highest at which the recall holds
     return net
 
 
@@ -218,7 +253,8 @@ def scan(texts: list[bytes], net: Network) -> list[list[tuple[int, int, int]]]:
         raw = np.frombuffer(joined, np.uint8)
         begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in lot])))
         begin, end = runs(_CHARS[raw])
-        keep = end - begin >= SHORTEST
+        odd = np.concatenate(([0], np.cumsum((raw < 97) | (raw > 122))))  # up to each place: bytes that aren't lower-case letters
+        keep = (end - begin >= LETTERS) | (end - begin >= SHORTEST) & (odd[end] > odd[begin + 1])
         begin, end = begin[keep], end[keep]
         owner = np.searchsorted(begins, begin, "right") - 1
         points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80))) if len(begin) else None
@@ -226,22 +262,34 @@ def scan(texts: list[bytes], net: Network) -> list[list[tuple[int, int, int]]]:
         for d, t in enumerate(lot):
             if b"=" in t or b":" in t:
                 found[d] = _assigned(t.decode())
-        cands = []
+        assigned = [len(f) for f in found]
+        cands = []  # text, first byte, end, start in code points
         for b, e, d in zip(begin.tolist(), end.tolist(), owner.tolist(), strict=True):
-            base = int(points[begins[d]])
-            start = int(points[b]) - base
-            piece = joined[b:e]
-            hit = [(start + m.start(), 1, start + m.end()) for m in ACCESS.finditer(piece) if m.end() - m.start() >= 20]
-            if e - b >= 24:
+            start = int(points[b]) - int(points[begins[d]])
+            hit = []
+            if e - b >= 20:
+                piece = joined[b:e]
+                hit = [(start + m.start(), 1, start + m.end()) for m in ACCESS.finditer(piece) if m.end() - m.start() >= 20]
                 hit += [(start + m.start(), 2, start + m.end()) for m in HEX.finditer(piece) if m.end() - m.start() >= 24]
             found[d] += hit
-            if not any(s < start + e - b and z > start for s, _, z in found[d]):
-                cands.append((d, start, b, e, int(begins[d]), int(begins[d + 1]) - 1))
+            at = b
+            taken = sorted([(s - start + b, z - start + b) for s, _, z in (*found[d][: assigned[d]], *hit) if s < start + e - b and z > start])
+            for s, z in [*taken, (e, e)]:
+                s = min(s, e)
+                if s - at >= LETTERS or s - at >= SHORTEST and odd[s] > odd[at + 1]:
+                    cands += [(d, x, y, start + x - b) for x, y in windows(at, s)]
+                at = max(at, z)
         if cands:
-            symbols, mask = encode([joined[max(x[4], x[2] - AROUND) : x[2]] for x in cands], [joined[x[2] : x[3]] for x in cands], [joined[x[3] : min(x[5], x[3] + AROUND)] for x in cands])
-            for (d, start, b, e, _, _), score in zip(cands, net.scores(symbols, mask).tolist(), strict=True):
-                if score >= net.threshold:
-                    found[d].append((start, 3, start + e - b))
+            first, last = begins[:-1].tolist(), (begins[1:] - 1).tolist()
+            symbols, mask = encode([joined[max(first[d], x - AROUND) : x] for d, x, _, _ in cands], [joined[x:y] for _, x, y, _ in cands], [joined[y : min(last[d], y + AROUND)] for d, _, y, _ in cands])
+            good = net.scores(symbols, mask) >= net.threshold
+            for n in np.flatnonzero(good).tolist():
+                d, x, y, start = cands[n]
+                own = found[d]
+                if own and own[-1][1] == 3 and own[-1][2] >= start:  # windows of one candidate that overlap
+                    own[-1] = (own[-1][0], 3, start + y - x)
+                else:
+                    own.append((start, 3, start + y - x))
         out += [sorted(f) for f in found]
     return out
 

@@ -345,10 +345,45 @@ def test_secrets(documents, corpus):
         assert sorted(want) == [f for f in found if f[1] != 3]
     sample, label = secrets.labelled_findings(1000, 77)
     p = net.scores(*secrets.encode(*[[x[i] for x in sample] for i in range(3)]))
-    assert (p[label == 1] >= net.threshold).mean() > 0.97 and (p[label == 0] >= net.threshold).mean() < 0.02
+    assert (p[label == 1] >= net.threshold).mean() > 0.97 and (p[label == 0] >= net.threshold).mean() < 0.01
     assert secrets.find_secrets(documents).count() == len(corpus)
 
 
+def test_every_character_of_a_candidate_is_seen():
+    for n in (1, 44, 45, 66, 67, 500):
+        spans = secrets.windows(7, 7 + n)
+        assert spans[0][0] == 7 and spans[-1][1] == 7 + n and all(y - x <= secrets.INNER for x, y in spans)
+        assert all(b[0] < a[1] for a, b in zip(spans[:-1], spans[1:], strict=True))
+    net = secrets.trained()
+    key = "q8Zr2LmX0vT7bNcY5kHs9WdF3gJp6RtA"
+    for text, low in (("see " + "folder/" * 30 + key + "/name" * 30, 214), ("tok.en é " + key, 9), ("token=abcdef." + "path/" * 12 + " x", None), ("VERSCHIEDENHEITEN und Überzeugungskraft 2024-01-15 http-error-codes", None)):
+        found = [f for f in secrets.scan([text.encode()], net)[0] if f[1] == 3]
+        assert all(f[0] <= low and f[2] >= low + len(key) for f in found) if low else not found
+        assert len(found) == (low is not None)
+    # what a base finding leaves of a run is a candidate of its own
+    both = "AKIA" + "A1" * 8 + "/x/" + key
+    assert [f[1] for f in secrets.scan([both.encode()], net)[0]] == [1, 3]
+
+
+def test_secret_query_columns(spark, tmp_path):
+    """Every column of the registered query, base findings by plain regular expressions."""
+    texts = ['é token = "abcdef" ' + "f" * 24, "password: abc AKIA" + "Z9" * 10, None, "", "x " * 50_000 + "secret=" + "Ab1" * 9, "API_KEY=abcdef" * 3, "API_KEY=abcdef" * 3]
+    rows = [(i, t, "clash", 1) for i, t in enumerate(texts)] + [(None, "passwd=hidden1", "c", 2), (5, texts[5], "clash", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, findings string, kind int").write.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter()
+    for d, t, *_ in rows:
+        t = t or ""
+        found = [(m.start(), 0, m.end()) for m in re.finditer(r"((?a:(?i:password|passwd|secret|token|api_?key)))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t) if len(m[2]) >= 6]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        line = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(found))
+        want[(d, *[sum(f[1] == k for f in found) for k in range(3)], hashlib.sha256(line.encode()).hexdigest(), line)] += 1
+    got = secrets.op10_secret_scan(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    base = lambda spans: ",".join(s for s in spans.split(",") if not s.startswith("network"))
+    assert Counter((*r[:5], base(r.spans)) for r in got.collect()) == want
+    assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_words_and_hashes():
     w = Words([b" a\x0bbb ", b"", b"\xc2\xa0x  bb"])
     assert w.text == b"a bb \xc2\xa0x bb " and w.first.tolist() == [0, 2, 2, 4]

@@ -1,17 +1,21 @@
 """Exact top-k search by distributed histogram selection.
 
-Vectors are turned into integers, ``floor(256 * component)`` in double precision; the score is their inner product. For a
-bounded block of queries at a time, all rows are scored again and again: each pass histograms the scores within the range
-that holds a query's k-th value, and the global histograms narrow that range by 256 until it is one value. A last pass
-keeps what lies above the value, and the smallest ids at it.
+Vectors are turned into integers, ``floor(256 * component)`` in double precision; the score is their inner product. Queries are
+dealt into blocks of about ``block``, and for a block all rows are scored again in each pass: a task counts every score within a
+query's range in BINS bins, the counts are summed over all tasks, and the bin that holds the k-th largest score is the next pass's
+range. The first range is what the norms allow. A query is done when its range is one value, or when no more than FEW scores lie
+in it and above it. A last pass keeps the scores from the range's lower end up; ties go to smaller ids.
 
 Vectors that are null, or hold null or non-finite components, take no part; those shorter than others count as filled up
-with zeros. Rows without an id take no part. A row never answers its own id. Repeated rows are candidates of their own.
-An empty table gives an empty result. Extra columns are ignored.
+with zeros. Rows without an id take no part. A row never answers its own id. Repeated rows are candidates of their own; as
+queries, equal rows are one, and rows with one id and different vectors are queries of their own, each with its ranks under that
+id. An empty table gives an empty result. Extra columns are ignored. Vectors whose inner products could exceed 62 bits
+raise ValueError, as no score could hold them.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, to_batch
+from .common import shared_dir, table, to_batch
 
+BINS, FEW, BLOCK = 1024, 64, 2048
 _EXACT = 2**53
+_LEAST = np.iinfo(np.int64).min
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -35,99 +41,113 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _best(batches: Iterator[pa.RecordBatch], queries: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None, exact: bool):
-    """Each query's k largest scores below which nothing of this task matters; with ids if ``floor`` is given.
+class Queries:
+    """One block of queries: ids, vectors, and whether double precision holds every score."""
 
-    Ties at the k-th score go to smaller ids. Returns (scores, ids) with a column for each query; absent scores are the
-    least integer.
-    """
-    least = np.iinfo(np.int64).min
-    n = len(ids)
-    top, who = np.full((k, n), least), np.full((k, n), np.iinfo(np.int64).max)
-    kind = np.float64 if exact else np.int64
-    q = queries.astype(kind).T
-    for batch in batches:
-        width = queries.shape[1]
-        vectors, names = _matrix(batch.column(1), width), batch.column(0).to_numpy()
-        for low in range(0, len(names), 1024):
-            v, own = vectors[low : low + 1024].astype(kind), names[low : low + 1024]
-            scores = (v @ q).astype(np.int64)
-            scores[own[:, None] == ids[None, :]] = least
-            if floor is None:
-                if len(own) > k:
-                    scores = np.partition(scores, len(own) - k, axis=0)[-k:]
-                top = np.sort(np.concatenate((top, scores)), axis=0)[-k:]
-                continue
-            scores[scores < floor[None, :]] = least
-            row, col = np.nonzero(scores > least)
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, exact: bool):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.vectors, self.exact = ids[order], vectors[order], exact
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def take(self, at: np.ndarray) -> Queries:
+        return Queries(self.ids[at], self.vectors[at], self.exact)
+
+    def scores(self, batches: Iterator[pa.RecordBatch], own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of rows, scores of those rows and all queries), a lot at a time; ``own``: what a query's own id scores."""
+        kind = np.float64 if self.exact else np.int64
+        q, width = self.vectors.astype(kind).T, self.vectors.shape[1]
+        lot = max(16, (1 << 21) // max(1, len(self)))
+        for batch in batches:
+            vectors, names = _matrix(batch.column(1), width), batch.column(0).to_numpy()
+            for low in range(0, len(names), lot):
+                part = names[low : low + lot]
+                s = (vectors[low : low + lot].astype(kind) @ q).astype(np.int64)
+                first, last = np.searchsorted(self.ids, part), np.searchsorted(self.ids, part, "right")
+                for r in np.flatnonzero(last > first):
+                    s[r, first[r] : last[r]] = own[first[r] : last[r]]
+                yield part, s
+
+
+def histograms(rows: DataFrame, queries: Queries, base: np.ndarray, shift: np.ndarray) -> DataFrame:
+    """(q, bin, n): how many rows' scores lie in each bin of ``2 ** shift`` values from a query's ``base`` up."""
+    schema = pa.schema([("q", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])
+    n = len(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(n * (BINS + 2), np.int64)
+        offset = np.arange(n) * (BINS + 2) + 1
+        for _, s in queries.scores(batches, base - 1):
+            s -= base
+            s >>= shift
+            np.clip(s, -1, BINS, out=s)
+            s += offset
+            count += np.bincount(s.ravel(), minlength=len(count))
+        inside = count.reshape(n, BINS + 2)[:, 1:-1]
+        q, bin_ = np.nonzero(inside)
+        yield to_batch({"q": q, "bin": bin_, "n": inside[q, bin_]}, schema)
+
+    return rows.mapInArrow(run, "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+
+
+def locate(counts: DataFrame, need: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(query, bin, scores above the bin, scores in it) where the ``need``-th largest score lies; one row a query."""
+    down = Window.partitionBy("q").orderBy(F.col("bin").desc())
+    needs = counts.sparkSession.createDataFrame(list(zip(range(len(need)), need.tolist())), "q int, need long")
+    ranked = counts.withColumn("upto", F.sum("n").over(down)).join(F.broadcast(needs), "q")
+    reached = ranked.where("upto >= need").groupBy("q").agg(F.max(F.struct("bin", (F.col("upto") - F.col("n")).alias("above"), "n")).alias("b"))
+    return [(r["q"], r["b"]["bin"], r["b"]["above"], r["b"]["n"]) for r in reached.collect()]
+
+
+def floors(rows: DataFrame, queries: Queries, k: int, norm: float) -> np.ndarray:
+    """Of each query a score that at least k rows reach (if there are so many), and no more than FEW but for ties."""
+    reach = (np.sqrt((queries.vectors.astype(np.float64) ** 2).sum(axis=1)) * norm * (1 + 1e-9)).astype(np.int64) + 1
+    base, need = -reach, np.full(len(queries), k, np.int64)
+    shift = np.asarray([max(0, int(2 * r).bit_length() - 10) for r in reach], np.int64)
+    active = np.arange(len(queries))
+    while len(active):
+        found = locate(histograms(rows, queries.take(active), base[active], shift[active]), need[active])
+        more = []
+        for q, bin_, above, inside in found:  # where there are fewer than k rows, all are kept
+            at = active[q]
+            base[at] += bin_ << shift[at]
+            need[at] -= above
+            if shift[at] and (k - need[at]) + inside > max(FEW, k):
+                shift[at] = max(0, shift[at] - 10)
+                more.append(at)
+        active = np.asarray(sorted(more), np.int64)
+    return base
+
+
+def kept(rows: DataFrame, queries: Queries, floor: np.ndarray, k: int) -> DataFrame:
+    """(q, query_id, vec_id, score) from each query's floor up; of what ties in a task, the k smallest ids."""
+    schema = pa.schema([("q", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    n = len(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, who = np.full((n, k), _LEAST), np.full((n, k), np.iinfo(np.int64).max)
+        for names, s in queries.scores(batches, floor - 1):
+            row, col = np.nonzero(s >= np.maximum(floor, top[:, -1]))
             if len(row):
-                pool_s = np.concatenate((top.T.ravel(), scores[row, col]))
-                pool_i = np.concatenate((who.T.ravel(), own[row]))
+                pool_s = np.concatenate((top.ravel(), s[row, col]))
+                pool_i = np.concatenate((who.ravel(), names[row]))
                 pool_q = np.concatenate((np.repeat(np.arange(n), k), col))
                 order = np.lexsort((pool_i, ~pool_s, pool_q))
                 place = np.arange(len(order)) - np.searchsorted(pool_q[order], np.arange(n))[pool_q[order]]
                 keep = order[place < k]
-                top, who = pool_s[keep].reshape(n, k).T, pool_i[keep].reshape(n, k).T
-    return top, who
-
-
-def _block(rows: DataFrame, queries: np.ndarray, ids: np.ndarray, k: int, bound: int) -> DataFrame:
-    """The results of one block of queries: (query_id, vec_id, score)."""
-    exact = bound < _EXACT
-    n, bits = len(ids), bound.bit_length() + 1
-    need = np.full(n, k, np.int64)
-    base = np.full(n, -(1 << (bits - 1)) if bits < 64 else np.iinfo(np.int64).min, np.int64)
-    shift = bits
-    while shift > 0:
-        step = min(8, shift)
-        shift -= step
-        count = _histogram(rows, queries, ids, k, exact, base, shift, step, need)
-        best = np.zeros(n, np.int64)
-        for q, bin_, above in count:
-            best[q] = bin_
-            need[q] -= above
-        base = base + (best << shift)
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, who = _best(batches, queries, ids, k, base, exact)
-        q = np.repeat(np.arange(n), k)
-        s, i = top.T.ravel(), who.T.ravel()
-        real = s > np.iinfo(np.int64).min
-        yield to_batch({"query_id": ids[q[real]], "vec_id": i[real], "score": s[real]}, schema)
-
-    return rows.mapInArrow(keep, "query_id long, vec_id long, score long")
-
-
-def _histogram(rows, queries, ids, k, exact, base, shift, step, need):
-    """Of each query: the bin that holds the k-th score, and how many scores of this range lie above the bin.
-
-    A task sends the bins of its k largest scores only: lower ones can't hold the k-th. Scores above the range count in
-    the bin past the last, so that every pass sees all that is above.
-    """
-    schema = pa.schema([("q", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])
-    n = len(ids)
+                top, who = pool_s[keep].reshape(n, k), pool_i[keep].reshape(n, k)
+        q, at = np.nonzero(top > _LEAST)
+        yield to_batch({"q": q, "query_id": queries.ids[q], "vec_id": who[q, at], "score": top[q, at]}, schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, _ = _best(batches, queries, ids, k, None, exact)
-        real = top > np.iinfo(np.int64).min
-        bins = np.where(top < base, -1, np.minimum((np.maximum(top, base) - base) >> shift, 1 << step))
-        q = np.broadcast_to(np.arange(n), top.shape)[real]
-        pair, count = np.unique(q.astype(np.int64) * 1024 + bins[real] + 1, return_counts=True)
-        yield to_batch({"q": pair // 1024, "bin": pair % 1024 - 1, "n": count}, schema)
-
-    total = rows.mapInArrow(run, "q int, bin int, n long").where(f"bin >= 0 and bin < {1 << step}").groupBy("q", "bin").agg(F.sum("n").alias("n"))
-    down = Window.partitionBy("q").orderBy(F.col("bin").desc())
-    ranked = total.withColumn("upto", F.sum("n").over(down))
-    needs = rows.sparkSession.createDataFrame(list(zip(range(n), need.tolist())), "q int, need long")
-    reached = ranked.join(needs, "q").where("upto >= need").groupBy("q").agg(F.max(F.struct("bin", (F.col("upto") - F.col("n")).alias("above"))).alias("b"))
-    return [(r["q"], r["b"]["bin"], r["b"]["above"]) for r in reached.collect()]
+    return rows.mapInArrow(run, "q int, query_id long, vec_id long, score long")
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, block: int = 2048) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k best rows; both tables have vec_id and embedding.
 
-    A block of queries goes to every task; its size is the bound on what the driver and a broadcast hold.
+    Queries are dealt by hash into blocks of about ``block``: one block's vectors are what the driver and a task hold at a time.
+    A block's results are written before the next begins.
     """
     spark = rows.sparkSession
 
@@ -135,38 +155,31 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, block: int = 2048) ->
         df = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
         return df.where("vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
 
-    rows, queries = usable(rows), usable(queries)
-    facts = rows.unionByName(queries).agg(F.max(F.size("embedding")).alias("width"), F.max(F.expr("aggregate(embedding, 0D, (a, x) -> greatest(a, abs(floor(256 * x))))")).alias("most")).first()
-    if facts["width"] is None:
+    rows, queries = usable(rows), usable(queries).distinct()
+    square = F.expr("aggregate(embedding, 0D, (a, x) -> a + pow(floor(256 * x), 2))")
+    facts = rows.agg(F.max(F.size("embedding")).alias("width"), F.max(square).alias("square")).first()
+    asked = queries.agg(F.max(F.size("embedding")).alias("width"), F.max(square).alias("square"), F.count("*").alias("n")).first()
+    if facts["width"] is None or not asked["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    width = max(1, facts["width"])
-    bound = int(width * int(facts["most"]) ** 2)
-    if bound >= 2**62:
+    width = max(1, facts["width"], asked["width"])
+    bound = (facts["square"] * asked["square"]) ** 0.5 * (1 + 1e-9)
+    if not bound < 2**61:
         raise ValueError("inner products of these vectors exceed 62 bits")
-    found, after = [], -(2**63)
-    while True:
-        part = queries.where(F.col("vec_id") >= after).orderBy("vec_id").limit(block + 1).toPandas()
-        last = len(part) <= block
-        ids = part["vec_id"].to_numpy()
-        if not last:
-            after = int(ids[-1])
-            keep = ids < after
-            if not keep.any():
-                raise ValueError(f"over {block} queries share one vec_id")
-            part, ids = part[keep], ids[keep]
-        if len(ids):
-            unique, at = np.unique(ids, return_index=True)
-            vectors = _matrix(pa.array(part["embedding"].iloc[at], pa.list_(pa.float64())), width)
-            found.append(_block(rows, vectors, unique, k, bound))
-        if last:
-            break
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    folder = f"{shared_dir(spark).rstrip('/')}/topk-{uuid.uuid4().hex}"
+    blocks = -(-asked["n"] // block)
+    queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int")).write.partitionBy("block").parquet(f"{folder}/queries")
+    best = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
+    written = spark.read.schema("vec_id long, embedding array<double>, block int").parquet(f"{folder}/queries")
+    for number in range(blocks):
+        part = written.where(F.col("block") == number).select("vec_id", "embedding").toArrow().combine_chunks()
+        if not part.num_rows:
+            continue
+        vectors = _matrix(part["embedding"].combine_chunks(), width)
+        own = Queries(part["vec_id"].to_numpy(), vectors, bound < _EXACT)
+        found = kept(rows, own, floors(rows, own, k, facts["square"] ** 0.5), k)
+        ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        ranked.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(f"{folder}/found")
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(f"{folder}/found")
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

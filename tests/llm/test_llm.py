@@ -78,23 +78,39 @@ def test_node_ranks():
     assert len(set(seen.values())) == len(seen)
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("few", [64, 0])
+def test_top_k(spark, few, monkeypatch):
+    """Against all scores, in one block and in many; with FEW at 0 every range is refined to one value."""
+    monkeypatch.setattr(topk, "FEW", few)
     r = np.random.default_rng(2)
     vectors = [r.integers(-3, 3, 4) / 4 for _ in range(300)]
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
-    rows += [(300, None), (350, [1.0, None, 0.0, 0.0]), (351, [float("nan")] * 4), (352, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 4), (7, rows[7][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    ok = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows if i is not None and i not in (300, 350, 351, 352)]
-    for block in (2, 100):
-        got = {}
-        for x in topk.top_k(df, df.where("vec_id % 50 = 0"), 5, block).collect():
-            got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
-        for q, v in ok:
-            if q % 50 == 0:
-                best = sorted((-int(v @ u), i) for i, u in ok if i != q)[:5]
-                assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    rows += [(300, None), (350, [1.0, None, 0.0, 0.0]), (351, [float("nan")] * 4), (352, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 4), (7, rows[7][1]), (50, rows[50][1]), (250, [2000.0, -3.25]), (360, [])]
+    df = spark.createDataFrame([(*x, "clash", 1, 2) for x in rows], "vec_id long, embedding array<double>, q string, rank int, block int")
+    ok = [(i, np.floor(256 * np.array((v + [0.0] * 4)[:4])).astype(int)) for i, v in rows if i is not None and i not in (300, 350, 351, 352)]
+    for block in (4, 100) if few else (100,):
+        got = Counter(tuple(x) for x in topk.top_k(df, df.where("vec_id % 50 = 0"), 5, block).collect())
+        want = Counter()
+        for q, v in {(q, tuple(v)) for q, v in ok if q % 50 == 0}:
+            for n, (s, i) in enumerate(sorted((-int(np.array(v) @ u), i) for i, u in ok if i != q)[:5]):
+                want[q, n + 1, i, -s] += 1
+        assert got == want
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
     assert topk.top_k(df.where("vec_id < 3"), df.where("vec_id = 0")).count() == 2
+    with pytest.raises(ValueError, match="62 bits"):
+        topk.top_k(spark.createDataFrame([(0, [1e30])], "vec_id long, embedding array<double>"), spark.createDataFrame([(50, [1e30])], "vec_id long, embedding array<double>"))
+
+
+def test_histograms_count_every_score(spark):
+    """Not only the best: the counts of all bins are those of all rows."""
+    r = np.random.default_rng(3)
+    data = r.integers(-400, 400, (500, 3))
+    df = spark.createDataFrame([(i, [float(x) / 256 for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<double>").repartition(4)
+    queries = topk.Queries(np.array([0, 1000]), data[[0, 1]].astype(float), True)
+    scores = data @ data[[0, 1]].T
+    base, shift = np.array([-600_000, -600_000]), np.array([11, 11])
+    want = Counter((q, int((scores[i, q] + 600_000) >> 11)) for q in (0, 1) for i in range(500) if not (q == 0 and i == 0))
+    assert Counter({(x.q, x.bin): x.n for x in topk.histograms(df, queries, base, shift).collect()}) == want
 
 
 def test_lines(documents, corpus, empty):

@@ -12,7 +12,6 @@ are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
 import os
 import zlib
 from array import array
@@ -141,74 +140,112 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: list[int], length: int, patience: int = 200, idle: int = 24) -> list[list[int]]:
-    """Empty bins by moves and exchanges between underfull ones; each raises the sum of squared fills.
+def _bits(x: int) -> list[int]:
+    out = []
+    while x:
+        out.append((x & -x).bit_length() - 1)
+        x &= x - 1
+    return out
 
-    The emptiest bin gives: a document moves to where it fits; or goes in exchange for a smaller one (or two of its own for
-    one) of a bin that is at least as full and that the exchange fills further. ``patience``: exchanges for each bin; the search ends when ``idle`` bins in a row had none to make.
+
+class Bin:
+    """Documents by size, with the sums that one and two of them make, as bits of an integer."""
+
+    def __init__(self, items: list[int], sizes: list[int]):
+        self.sizes, self.of, self.fill, self.changed = sizes, {}, 0, 0
+        for i in items:
+            self.of.setdefault(sizes[i], []).append(i)
+            self.fill += sizes[i]
+        self.count()
+
+    def count(self) -> None:
+        self.one = sum(1 << s for s in self.of)
+        self.two = 0
+        for s, own in self.of.items():
+            self.two |= (self.one if len(own) > 1 else self.one & ~(1 << s)) << s
+        self.sums = [(s, s in self.of) for s in [0, *_bits(self.one | self.two)]]  # and whether one document alone makes it
+
+    def pair(self, total: int) -> tuple[int, int]:
+        return next((s, total - s) for s in self.of if total - s in self.of and (2 * s != total or len(self.of[s]) > 1))
+
+    def out(self, size: int) -> int:
+        own = self.of[size]
+        i = own.pop()
+        if not own:
+            del self.of[size]
+        return i
+
+    def put(self, items: list[int]) -> None:
+        for i in items:
+            self.of.setdefault(self.sizes[i], []).append(i)
+
+    def items(self) -> list[int]:
+        return [i for own in self.of.values() for i in own]
+
+
+def exchange(a: Bin, b: Bin, length: int) -> bool:
+    """Let ``a`` give ``b`` as many tokens as fit by one exchange that raises the sum of squared fills, if there is one.
+
+    One document, or two for one, or one for one or two: d tokens more in b than in a raise the sum if b then holds more than a did.
+    Exchanges exist for d where the sums of a, shifted by d, and those of b have a bit in common.
     """
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    heap = [(fill[b], b) for b in range(len(bins)) if fill[b] < length]
-    heapq.heapify(heap)
-    under = {b for _, b in heap}
-    stale = 0
-    while heap and stale < idle:
-        f, a = heapq.heappop(heap)
-        if a not in under or f != fill[a]:
-            continue
-        under.discard(a)
-        others = np.fromiter(sorted(under), np.int64, len(under))
-        if not len(others):
-            break
-        item = np.asarray([i for b in others for i in bins[b]])
-        home = np.repeat(others, [len(bins[b]) for b in others])
-        size = np.asarray([sizes[i] for i in item])
-        space = np.asarray([length - fill[b] for b in home])
-        for _ in range(patience):
-            mine = bins[a]
-            if not mine:
+    space, least = length - b.fill, max(0, a.fill - b.fill)
+    if space <= least:
+        return False
+    best = least
+    if space - least <= len(b.sums):
+        sums = 1 | b.one | b.two
+        for d in range(space, least, -1):
+            if found := (a.one >> d) & sums:
+                best, back, two = d, (found & -found).bit_length() - 1, False
                 break
-            options = [((i,), sizes[i]) for i in mine] + [((i, j), sizes[i] + sizes[j]) for x, i in enumerate(mine[:12]) for j in mine[x + 1 : 12]]
-            best = None
-            for give, s in options:
-                if len(give) == 1 and (fits := np.flatnonzero(space >= s)).size:
-                    k = fits[np.argmin(space[fits])]
-                    best = (10**9 + s, give, None, int(home[k]))
-                    break
-                gain = s - size
-                good = np.flatnonzero((gain > 0) & (gain <= space))
-                if good.size:
-                    k = good[np.argmax(gain[good] * 4 + (gain[good] == space[good]) * 100_000)]
-                    score = int(gain[k]) + (int(gain[k]) == int(space[k])) * 100_000
-                    if best is None or score > best[0]:
-                        best = (score, give, int(k), int(home[k]))
-            if best is None:
+            if found := (a.two >> d) & b.one:
+                best, back, two = d, (found & -found).bit_length() - 1, True
                 break
-            stale = -1
-            _, give, k, b = best
-            bins[a] = [i for i in mine if i not in give]
-            bins[b] += give
-            moved = sum(sizes[i] for i in give)
-            if k is not None:
-                taken = int(item[k])
-                bins[b].remove(taken)
-                bins[a].append(taken)
-                moved -= sizes[taken]
-            fill[a] -= moved
-            fill[b] += moved
-            keep = home != b
-            item = np.r_[item[keep], bins[b]].astype(np.int64)
-            size = np.r_[size[keep], [sizes[i] for i in bins[b]]].astype(np.int64)
-            home = np.r_[home[keep], [b] * len(bins[b])].astype(np.int64)
-            space = np.r_[space[keep], [length - fill[b]] * len(bins[b])].astype(np.int64)
-            if fill[b] == length:
-                under.discard(b)
-                keep = home != b
-                item, size, home, space = item[keep], size[keep], home[keep], space[keep]
-        stale += 1
-        for b in set(home.tolist()):
-            heapq.heappush(heap, (fill[b], b))
-    return [b for b in bins if b]
+    else:
+        for t, single in b.sums:  # the largest sum of a that fits in exchange for t
+            mask = (1 << (t + space + 1)) - 1
+            d = (a.one & mask).bit_length() - 1 - t
+            if d > best:
+                best, back, two = d, t, False
+            if single and (d := (a.two & mask).bit_length() - 1 - t) > best:
+                best, back, two = d, t, True
+    if best == least:
+        return False
+    give = a.pair(back + best) if two else (back + best,)
+    take = () if back == 0 else (back,) if b.one >> back & 1 else b.pair(back)
+    given, taken = [a.out(s) for s in give], [b.out(s) for s in take]
+    a.put(taken)
+    b.put(given)
+    a.fill, b.fill = a.fill - best, b.fill + best
+    a.count()
+    b.count()
+    return True
+
+
+def improve(bins: list[list[int]], sizes: list[int], length: int) -> list[list[int]]:
+    """Bins after exchanges between every two underfull ones, the emptiest giving first, until none raises the sum of squares.
+
+    The sum is bounded and grows by integers, so the search ends.
+    """
+    every = [Bin(b, sizes) for b in bins]
+    full = [b for b in every if b.fill == length]
+    under = [b for b in every if b.fill < length]
+    turn, moved = 0, True
+    while moved:  # two bins that haven't changed since they last met have nothing to exchange
+        moved, turn = False, turn + 1
+        under.sort(key=lambda b: b.fill)
+        for a in under:
+            for b in reversed(under):
+                if a is b or b.fill == length or a.changed < turn - 1 and b.changed < turn - 1:
+                    continue
+                while 0 < b.fill < length and exchange(a, b, length):
+                    moved, a.changed, b.changed = True, turn, turn
+                if not a.fill:
+                    break
+        full += [b for b in under if b.fill == length]
+        under = [b for b in under if 0 < b.fill < length]
+    return [b.items() for b in full + under]
 
 
 _PLACED = pa.schema([*_PIECE, ("sequence_id", pa.int64()), ("offset", pa.int64()), ("full", pa.bool_())])
@@ -236,31 +273,31 @@ def _pack_groups(items: DataFrame, count: int, length: int, size: int, salt: int
                         offset.append(at)
                         at += sizes[i]
                     full += [at == length] * len(b)
-                number = [((salt << 40) | (int(g[low]) << 16) | k) for k, b in enumerate(bins) for _ in b]
+                name = [((salt << 56) | (int(g[low]) << 16) | k) for k, b in enumerate(bins) for _ in b]
                 taken = part.take(pa.array(order, pa.int64())).combine_chunks()
                 columns = {f.name: taken[f.name].combine_chunks() for f in _PIECE}
-                yield to_batch(columns | {"sequence_id": number, "offset": offset, "full": full}, _PLACED)
+                yield to_batch(columns | {"sequence_id": name, "offset": offset, "full": full}, _PLACED)
 
-    return dealt.repartition(number, "g").sortWithinPartitions("g", "doc_id", "copy", "piece").mapInArrow(run, _PLACES)
+    return dealt.repartitionById(number, "g").sortWithinPartitions("g", "doc_id", "copy", "piece").mapInArrow(run, _PLACES)
 
 
-def pack(documents: DataFrame, length: int = LENGTH, size: int = GROUP, rounds: int = 3, path: str | None = None) -> DataFrame:
+def pack(documents: DataFrame, length: int = LENGTH, size: int = GROUP, path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     every = materialize(pieces(documents, length, path), "pieces")
     full = every.where(F.col("length") == length)
     # full pieces are sequences of their own: numbered by task and row, below zero
     done = [full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))]
-    rest, count = every.where(F.col("length") < length), None
-    for r in range(1, rounds + 1):
-        count = rest.count() if count is None else count
-        placed = materialize(_pack_groups(rest, count, length, size, r), "packed")
+    rest = every.where(F.col("length") < length)
+    count, salt = rest.count(), 1
+    while count:
+        placed = materialize(_pack_groups(rest, count, length, size, salt), "packed")
         open_ = placed.where("not full").drop("sequence_id", "offset", "full")
-        left = open_.count()
-        if r == rounds or left == 0 or count <= size:
+        left = 0 if count <= size else open_.count()
+        if not left or left == count:
             done.append(placed.drop("full"))
             break
         done.append(placed.where("full").drop("full"))
-        rest, count = open_, left
+        rest, count, salt = open_, left, salt + 1
     out = done[0].select(*_PIECE.names, "sequence_id", "offset")
     for more in done[1:]:
         out = out.unionByName(more.select(*_PIECE.names, "sequence_id", "offset"))

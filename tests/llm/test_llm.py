@@ -1,6 +1,7 @@
 """Operators against brute force, on tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -156,6 +157,63 @@ def test_packing(documents, corpus, empty):
     assert packing.pack(empty).count() == 0
 
 
+@pytest.mark.parametrize("largest", [12, 40, 60])
+def test_exchanges_reach_a_local_optimum(largest):
+    """Every exchange raises the sum of squared fills; in the end no move or exchange of up to two for one would."""
+    from itertools import combinations
+
+    squares = lambda bins, sizes: sum(sum(sizes[i] for i in b) ** 2 for b in bins)
+    r, fewer = random.Random(largest), 0
+    for _ in range(30):
+        sizes = [r.randint(1, largest) for _ in range(40)]
+        start = [[i] for i in range(40)] if r.random() < 0.5 else packing.best_fit(sizes, 100)
+        a, b = packing.Bin(start[0], sizes), packing.Bin(start[1], sizes)
+        before = a.fill**2 + b.fill**2
+        if packing.exchange(a, b, 100):
+            assert a.fill**2 + b.fill**2 > before and b.fill <= 100 and sorted(a.items() + b.items()) == sorted(start[0] + start[1])
+            assert a.fill == sum(sizes[i] for i in a.items()) and b.fill == sum(sizes[i] for i in b.items())
+        end = packing.improve(start, sizes, 100)
+        assert sorted(i for b in end for i in b) == list(range(40)) and squares(end, sizes) >= squares(start, sizes)
+        fewer += len(end) < len(start)
+        for a in end:
+            for b in end:
+                fa, fb = (sum(sizes[i] for i in y) for y in (a, b))
+                if a is b or max(fa, fb) == 100:
+                    continue
+                gives, takes = [[c for n in (0, 1, 2) for c in combinations(y, n)] for y in (a, b)]
+                for g in gives:
+                    for k in takes:
+                        d = sum(sizes[i] for i in g) - sum(sizes[i] for i in k)
+                        allowed = len(g) == 1 or (len(g), len(k)) == (2, 1)
+                        assert not allowed or d <= 0 or fb + d > 100 or fb + d <= fa
+    assert fewer
+
+
+def test_packing_of_many_groups(spark):
+    """Repeated rows over many small groups: every piece placed once, gapless, close to the bound."""
+    r = random.Random(9)
+    rows = [(i % 90, "word " * r.randint(0, 300), 1) for i in range(600)]
+    rows += [rows[0]] * 40 + [(None, None, 1)] * 3
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, copy int"), size=64).collect()
+    sequences = {}
+    for x in found:
+        sequences.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for own in sequences.values():
+        assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 1024
+    assert len(found) == len(rows) and len(sequences) <= 1.03 * sum(x.length for x in found) / 1024 + 1
+
+
+def test_encoder_on_a_whole_table():
+    """Ids are those of the tokenizers library on every document of a test table."""
+    pq = pytest.importorskip("pyarrow.parquet")
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test table")
+    texts = [t or "" for t in pq.read_table(path, columns=["text"])["text"].to_pylist()]
+    encoder = packing.Encoder()
+    assert encoder.encode(texts) == encoder._raw(texts)
+
+
 def test_encoder_on_odd_texts():
     encoder, r = packing.Encoder(), random.Random(3)
     parts = ["a", "b", " ", "  ", "\n", "\t", "'s", "é", "12", "!", " ", "　", "<|endoftext|>", " x", "\r\n", "日本", "\x00", "\x85"]

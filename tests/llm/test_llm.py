@@ -48,35 +48,74 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-@pytest.mark.parametrize("hot", [1, 500])
-def test_substrings(spark, corpus, documents, hot, monkeypatch):
-    monkeypatch.setattr(substrings.repeated_spans, "__defaults__", (50, 8, hot))
+@pytest.mark.parametrize("limit", [substrings.LIMIT, 2000, 1])
+def test_substrings(spark, corpus, documents, limit):
+    """Against all windows; with small limits groups are halved, down to single windows."""
+    rows = list(corpus)
+    if limit < substrings.LIMIT:
+        r = random.Random(3)
+        shared = [str(r.random()) for _ in range(30)]  # a passage shorter than a window in many surroundings, some of them shared
+        other = [[str(r.random()) for _ in range(40)] for _ in range(6)]
+        for i in range(60):
+            rows.append((1000 + i, " ".join(r.choice(other)[r.randint(0, 9) :] + shared + r.choice(other)[: r.randint(5, 40)]), "en", "s", 1, i, "clash", 7))
+        documents = spark.createDataFrame(rows, SCHEMA)
     first = {}
-    for d, t, *_ in corpus:
+    for d, t, *_ in rows:
         w = words(t)
         for i in range(len(w) - 49):
             if d is not None:
                 first[tuple(w[i : i + 50])] = min(d, first.get(tuple(w[i : i + 50]), d))
     want = []
-    for d, t, *_ in corpus:
+    for d, t, *_ in rows:
         w, gone = words(t), set()
         for i in range(len(w) - 49):
             if d is not None and first[tuple(w[i : i + 50])] < d:
                 gone |= set(range(i, i + 50))
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         want.append((-1 if d is None else d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
-    got = [(-1 if r[0] is None else r[0], *r[1:]) for r in substrings.dedup_substrings(documents).collect()]
+    got = [(-1 if r[0] is None else r[0], *r[1:]) for r in substrings.dedup_substrings(documents, limit=limit).collect()]
     assert sorted(got) == sorted(want) and any(x[2] for x in want)
 
 
-def test_node_ranks():
-    r = np.random.default_rng(1)
-    h = r.integers(0, 3, 400).astype(np.uint64)
-    rank = substrings.node_ranks(h, 7)
-    seen = {}
-    for i in range(394):
-        assert seen.setdefault(tuple(h[i : i + 7]), rank[i]) == rank[i]
-    assert len(set(seen.values())) == len(seen)
+def test_substrings_of_one_passage_many_times(spark, empty):
+    """A document that repeats a passage 10^5 times is one small group; what it shares with an earlier document goes."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, passage), (2, (passage + " ") * 100_000), (3, "x " + passage)], "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in substrings.dedup_substrings(df).collect()} == {1: (60, 0), 2: (6_000_000, 6_000_000), 3: (61, 60)}
+    assert substrings.dedup_substrings(empty).count() == 0
+
+
+def test_suffix_tree():
+    """Order, common prefixes and nodes against sorted suffixes."""
+    r = random.Random(1)
+    for window, letters in ((3, "ab"), (5, "abc"), (2, "a")):
+        texts = [" ".join(r.choice(letters) for _ in range(r.randint(0, 25))) for _ in range(12)]
+        w = Words([t.encode() for t in texts])
+        tree = substrings.Tree(w, Rolling(1).of(w.array, w.start, w.end), window)
+        parts = [t.split() for t in texts]
+        suffix = {w.first[d] + i: p[i:] for d, p in enumerate(parts) for i in range(len(p) - window + 1)}
+        common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905, E731
+        assert sorted(tree.leaves.tolist()) == sorted(suffix)
+        assert tree.lcp.tolist() == [common(suffix[a], suffix[b]) for a, b in zip(tree.leaves[:-1], tree.leaves[1:], strict=True)]
+        groups = {}
+        for i, s in suffix.items():
+            groups.setdefault(tuple(s[:window]), set()).add(i)
+        begin, end, depth = tree.nodes(window)
+        assert {frozenset(tree.leaves[x:y].tolist()) for x, y in zip(begin, end, strict=True)} == {frozenset(g) for g in groups.values() if len(g) > 1}
+        for x, y, d in zip(begin, end, depth, strict=True):
+            leaves = [suffix[i] for i in tree.leaves[x:y]]
+            assert d == min(common(leaves[0], s) for s in leaves[1:]) >= window
+
+
+def test_groups_beyond_the_limit_pass_unheld():
+    r = np.random.default_rng(4)
+    key = np.sort(np.r_[r.integers(0, 50, 400), np.full(3000, 25)])
+    batches = [pa.record_batch({"key": key[i : i + 70], "content": pa.array([b"x" * 50] * len(key[i : i + 70]), pa.binary())}) for i in range(0, len(key), 70)]
+    seen = [(t["key"].to_numpy(), over) for t, over in substrings.sized(iter(batches), 20_000)]
+    assert np.array_equal(np.concatenate([k for k, _ in seen]), key)
+    assert {int(x) for k, over in seen if over for x in k} == {25} and all(len(k) * 58 < 40_000 for k, _ in seen)
+    whole = [set(k.tolist()) for k, over in seen if not over]
+    assert sum(map(len, whole)) == len(set().union(*whole)) and 25 not in set().union(*whole)
 
 
 @pytest.mark.parametrize("few", [64, 0])

@@ -2,15 +2,17 @@
 
 Labelled documents give labelled tokens: a token counts as toxic if its document is and one of the token's features (its word,
 its beginnings) is far more frequent among toxic documents than among others. A two-state CRF is fitted to those by its exact
-gradient; forward-backward gives every word's marginal probability in any text; a logistic unit over the document's marginals,
-fitted on labelled documents that the CRF has not seen, gives the score. Words of a marginal over a half are the offending
-spans. Chains are stretches of CHAIN words of one document.
+gradient; only features that are more frequent in toxic documents than chance explains can get a weight, all others leave a word to
+the bias and its neighbours. Forward-backward gives every word's marginal probability in any text, over the whole document as one
+chain; a logistic unit over the document's marginals, fitted on labelled documents that the CRF has not seen, gives the score. Words
+of a marginal over a half are the offending spans.
 
 Null and empty texts get the score of a document without offending words. Rows without a doc_id are scored, and are not held
-out. Repeated rows each get the same score. Extra columns are ignored. An empty table gives an empty result. With labels of one
-kind only, fewer than three of a kind, or none, every score is the (smoothed) share of toxic labels.
+out. Repeated rows each get the same score. Extra columns are ignored, whatever their names. An empty table gives an empty result.
+With labels of one kind only, fewer than three of a kind, or none, every score is the (smoothed) share of toxic labels.
 
-The sample that is fitted: at most SAMPLE labelled documents, by a hash of doc_id. Their whole texts are used.
+The sample that is fitted: at most SAMPLE labelled documents of at most BYTES in all, in the order of a hash of doc_id. Their whole
+texts are used. Of sampled documents without any such feature a tenth is kept, with ten times the weight.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import Rolling, Words, slices, table, texts_of, to_batch
 
-SAMPLE, CHAIN, FOLDS, EVIDENCE = 6000, 64, 5, 8.0
+SAMPLE, BYTES, FOLDS, EVIDENCE = 6000, 64 << 20, 5, 8.0
+#: Words of a row of the grid in which chains are laid out; a longer document goes on in the next row.
+ROW = 64
 _MASK = np.uint64((1 << 20) - 1)
 _BEGINNINGS = (3, 4, 5, 6, 8)
 _PUNCTUATION = np.zeros(256, bool)
@@ -56,13 +60,14 @@ class Tokens:
         for k, length in enumerate(_BEGINNINGS, 1):  # too short: no feature of this kind
             self.features[k] = np.where(size > length, self.features[k], 0)
 
-    def chains(self) -> tuple[np.ndarray, np.ndarray]:
-        """Row and place of each word in a grid of chains of at most CHAIN words."""
+    def chains(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row and place of each word in a grid, a document on as many rows as it takes; and each row's number in its document."""
         counts = np.diff(self.words.first)
-        rows = -(-counts // CHAIN)
-        first = np.concatenate(([0], np.cumsum(rows)))[:-1]
+        rows = -(-counts // ROW)
+        first = np.cumsum(rows) - rows
         place = np.arange(len(self.words)) - np.repeat(self.words.first[:-1], counts)
-        return np.repeat(first, counts) + place // CHAIN, place % CHAIN
+        turn = np.arange(rows.sum()) - np.repeat(first, rows)
+        return np.repeat(first, counts) + place // ROW, place % ROW, turn
 
 
 @dataclass
@@ -82,22 +87,70 @@ class Model:
         return x
 
 
-def forward_backward(x: np.ndarray, live: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each chain (row): the odds of state 1 by what comes before (with its own emission) and by what comes after.
+def _enter(products: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """What each row starts from, if the row before it maps what it starts from by ``(p x + q) / (u x + v)``."""
+    into = np.zeros(len(turn))
+    order = np.argsort(turn, kind="stable")
+    cuts = np.searchsorted(turn[order], np.arange(1, turn.max() + 2)) if len(turn) else [0]
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        own = order[low:high]
+        p, q, u, v = products[:, own - 1]
+        into[own] = (p * into[own - 1] + q) / (u * into[own - 1] + v)
+    return into
 
-    x: log odds of state 1 by the word itself; live: places that hold words. Third: those emissions' odds.
+
+def forward_backward(x: np.ndarray, live: np.ndarray, moves: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word: the odds of state 1 by what comes before (with its own emission) and by what comes after.
+
+    x: log odds of state 1 by the word itself; live: places that hold words; turn: each row's number in its document. A document
+    of several rows is one chain: a step maps odds x to (p x + q) / (u x + v), so a row is the product of its steps' matrices, and
+    what a row starts from is known before its words are gone through. Third: the emissions' odds.
     """
     a = np.exp(moves)
     e = np.exp(np.clip(x, -30, 30)).astype(np.float64)
     n, t = x.shape
     before, after = np.ones((n, t)), np.ones((n, t))
-    before[:, 0] = e[:, 0]
+    head = turn == 0
+    tail = np.r_[head[1:], True][:n]
+
+    def products(own: np.ndarray, places: range, c: np.ndarray) -> np.ndarray:
+        """Of rows that are full: the product of [[c11 e, c01 e], [c10, c00]] over their places, in that order."""
+        out = np.zeros((4, n))
+        p, q, u, v = np.ones(len(own)), np.zeros(len(own)), np.zeros(len(own)), np.ones(len(own))
+        for i in places:
+            w = e[own, i]
+            p, q, u, v = w * (c[1, 1] * p + c[0, 1] * u), w * (c[1, 1] * q + c[0, 1] * v), c[1, 0] * p + c[0, 0] * u, c[1, 0] * q + c[0, 0] * v
+            if i == 0 and places.step == 1:  # a document's first word has no step into it
+                first = head[own]
+                p, q, u, v = np.where(first, 0, p), np.where(first, w, q), np.where(first, 0, u), np.where(first, 1, v)
+            scale = p + q + u + v
+            p, q, u, v = p / scale, q / scale, u / scale, v / scale
+        out[:, own] = p, q, u, v
+        return out
+
+    into = _enter(products(np.flatnonzero(~tail), range(t), a), turn) if turn.any() else np.zeros(n)
+    before[:, 0] = np.where(head, e[:, 0], e[:, 0] * (a[0, 1] + a[1, 1] * into) / (a[0, 0] + a[1, 0] * into))
     for i in range(1, t):
         r = before[:, i - 1]
         before[:, i] = e[:, i] * (a[0, 1] + a[1, 1] * r) / (a[0, 0] + a[1, 0] * r)
-    for i in range(t - 2, -1, -1):
-        y = e[:, i + 1] * after[:, i + 1]
-        after[:, i] = np.where(live[:, i + 1], (a[1, 0] + a[1, 1] * y) / (a[0, 0] + a[0, 1] * y), 1.0)
+
+    def back(own: np.ndarray, last: np.ndarray) -> None:
+        after[own, t - 1] = last
+        for i in range(t - 2, -1, -1):
+            y = e[own, i + 1] * after[own, i + 1]
+            after[own, i] = np.where(live[own, i + 1], (a[1, 0] + a[1, 1] * y) / (a[0, 0] + a[0, 1] * y), 1.0)
+
+    ends = np.flatnonzero(tail)
+    back(ends, np.ones(len(ends)))
+    if turn.any():
+        # from the last row to the first; an end's result doesn't depend on what comes into it
+        others = np.flatnonzero(~tail)
+        step = products(others, range(t - 1, -1, -1), a.T)
+        step[:, ends] = np.stack([np.zeros(len(ends)), e[ends, 0] * after[ends, 0], np.zeros(len(ends)), np.ones(len(ends))])
+        length = np.maximum.reduceat(turn, np.flatnonzero(head))
+        backwards = (np.repeat(length, length + 1) - turn)[::-1]
+        y = _enter(step[:, ::-1], backwards)[::-1][others]
+        back(others, (a[1, 0] + a[1, 1] * y) / (a[0, 0] + a[0, 1] * y))
     return before, after, e
 
 
@@ -105,12 +158,12 @@ def marginals(model: Model, tokens: Tokens) -> np.ndarray:
     """Each word's probability of state 1."""
     if not len(tokens.words):
         return np.zeros(0)
-    row, place = tokens.chains()
-    x = np.zeros((row[-1] + 1, CHAIN), np.float32)
+    row, place, turn = tokens.chains()
+    x = np.zeros((len(turn), ROW), np.float32)
     live = np.zeros(x.shape, bool)
     x[row, place] = model.emissions(tokens)
     live[row, place] = True
-    before, after, _ = forward_backward(x, live, model.moves)
+    before, after, _ = forward_backward(x, live, model.moves, turn)
     odds = (before * after)[row, place]
     return odds / (1 + odds)
 
@@ -118,11 +171,11 @@ def marginals(model: Model, tokens: Tokens) -> np.ndarray:
 def summary(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Of each document: largest marginal, expected toxic words (logarithm), their share, their logarithmic rate, one."""
     n = np.diff(first)
-    sums = np.diff(np.concatenate(([0], np.cumsum(p)))[first])
-    most = np.zeros(len(n))
+    sums, most = np.zeros(len(n)), np.zeros(len(n))
     if len(p):
         full = np.flatnonzero(n)
         most[full] = np.maximum.reduceat(p, first[:-1][full])
+        sums[full] = np.add.reduceat(p, first[:-1][full])  # of equal texts equal, wherever they stand
     share = sums / np.maximum(1, n)
     return np.stack([most, np.log1p(sums), share * 20, np.log(share + 1e-4) + 4, np.ones(len(n))], axis=1)
 
@@ -156,9 +209,9 @@ def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 25) -> Model:
     tokens = []
     for low, high in slices([texts[i] for i in learn]):
         t, y = Tokens([texts[i] for i in learn[low:high]], rolling), toxic[learn[low:high]]
-        tokens.append(([f.astype(np.int32) for f in t.features], t.words.doc.astype(np.int32), *[c.astype(np.int32) for c in t.chains()], y))
+        tokens.append(([f.astype(np.int32) for f in t.features], t.words.doc.astype(np.int32), t.words.first, y))
     seen = [np.zeros(1 << 20), np.zeros(1 << 20)]
-    for features, doc, _, _, y in tokens:
+    for features, doc, _, y in tokens:
         for f in features:
             pair = np.unique(doc.astype(np.int64) << 20 | f)
             for kind in (0, 1):
@@ -172,56 +225,65 @@ def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 25) -> Model:
     ratio = seen[1] * np.log(rate / share) + seen[0] * np.log((1 - rate) / (1 - share))
     odds[(ratio < EVIDENCE) | (odds < 0)] = 0
     odds[0] = 0
-    # labelled tokens, as grids of chains; chains without a known feature only teach the bias, so a tenth of them is enough
+    # labelled tokens; documents without a known feature only teach the bias and the transitions, so a tenth of them, weighted, does
     rng = np.random.default_rng(3)
-    grids = []
-    while tokens:
-        features, doc, row, place, y = tokens.pop(0)
-        strength = np.max([odds[f] for f in features], axis=0)
-        label = (strength >= 1.5) & (y[doc] == 1)
-        if not len(label):
-            continue
-        busy = np.bincount(row, weights=strength > 0.7) > 0
-        busy |= rng.random(len(busy)) < 0.1
-        keep = busy[row]
-        number = np.cumsum(busy) - 1
-        grids.append((number[row[keep]], place[keep], [f[keep] for f in features], label[keep], int(busy.sum())))
-    if not grids:
-        return model
-    offset = np.cumsum([0] + [g[4] for g in grids])
-    row = np.concatenate([g[0] + o for g, o in zip(grids, offset, strict=False)])
-    place = np.concatenate([g[1] for g in grids])
-    features = [np.concatenate([g[2][k] for g in grids]) for k in range(len(_BEGINNINGS) + 1)]
-    label = np.concatenate([g[3] for g in grids]).astype(np.float64)
-    live = np.zeros((int(offset[-1]), CHAIN), bool)
-    live[row, place] = True
     known = odds != 0
+    sizes, weight, label, at, feature, offset = [], [], [], [], [], 0
+    for features, doc, first, y in tokens:
+        strength = np.max([odds[f] for f in features], axis=0) if len(doc) else np.zeros(0)
+        busy = np.bincount(doc, weights=strength > 0.7, minlength=len(y)) > 0
+        kept = (busy | (rng.random(len(y)) < 0.1)) & (np.diff(first) > 0)
+        mine = np.flatnonzero(kept[doc])
+        for f in features:
+            own = np.flatnonzero(known[f[mine]])
+            at.append(own + offset)
+            feature.append(f[mine][own])
+        label.append((strength >= 1.5)[mine] & (y[doc[mine]] == 1))
+        sizes.append(np.diff(first)[kept])
+        weight.append(np.where(busy, 1.0, 10.0)[kept])
+        offset += len(mine)
+    tokens.clear()
+    if not offset:
+        return model
+    sizes, at, feature = np.concatenate(sizes), np.concatenate(at), np.concatenate(feature)
+    label = np.concatenate(label).astype(np.float64)
+    rows = -(-sizes // ROW)
+    place = np.arange(offset) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    row = np.repeat(np.cumsum(rows) - rows, sizes) + place // ROW
+    place %= ROW
+    turn = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
+    heavy = np.repeat(np.concatenate(weight), rows)
+    own_weight = heavy[row]
+    live, truth = np.zeros((len(turn), ROW), bool), np.zeros((len(turn), ROW))
+    live[row, place], truth[row, place] = True, label
+    # neighbours: within a row, and from a row's last word to the first of the document's next row
+    both = (live[:, :-1] & live[:, 1:]) * heavy[:, None]
+    over = np.flatnonzero(turn > 0)
+
+    def across(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([first[:, :-1].ravel(), first[over - 1, -1]]), np.concatenate([second[:, 1:].ravel(), second[over, 0]])
+
+    pairs = np.concatenate([both.ravel(), heavy[over]])
+    used = np.flatnonzero(pairs)
+    pairs = pairs[used]
+    y0, y1 = (z[used] for z in across(truth, truth))
+    real = np.array([[pairs[(y0 == i) & (y1 == j)].sum() for j in (0, 1)] for i in (0, 1)])
+    total = own_weight.sum()
+    model.bias = float(np.log((label @ own_weight + 1) / (total - label @ own_weight + 1)))
     slow = [np.zeros(1 << 20), 0.0, np.zeros((2, 2))]
-    truth = np.zeros(live.shape)
-    truth[row, place] = label
-    both = live[:, :-1] & live[:, 1:]
-    real = np.array([[((truth[:, :-1] == i) & (truth[:, 1:] == j) & both).sum() for j in (0, 1)] for i in (0, 1)], float)
-    model.bias = float(np.log((label.sum() + 1) / (len(label) - label.sum() + 1)))
     x = np.zeros(live.shape, np.float32)
     for _ in range(rounds):
-        e = np.full(len(row), model.bias, np.float32)
-        for f in features:
-            e += model.weights[f]
-        x[row, place] = e
-        before, after, own = forward_backward(x, live, model.moves)
-        odds_here = before * after
-        p = (odds_here / (1 + odds_here))[row, place]
-        error = label - p
-        g = np.zeros(1 << 20)
-        for f in features:
-            g += np.bincount(f, weights=error, minlength=1 << 20)
-        g = np.where(known, g - 0.02 * model.weights, 0)
+        x[row, place] = model.bias + np.bincount(at, weights=model.weights[feature], minlength=offset)
+        before, after, own = forward_backward(x, live, model.moves, turn)
+        odds_here = (before * after)[row, place]
+        error = (label - odds_here / (1 + odds_here)) * own_weight
+        g = np.where(known, np.bincount(feature, weights=error[at], minlength=1 << 20) - 0.02 * model.weights, 0)
         a = np.exp(model.moves)
-        r, later = before[:, :-1], own[:, 1:] * after[:, 1:]
-        joint = np.stack([a[0, 0] + 0 * r, a[0, 1] * later, a[1, 0] * r, a[1, 1] * r * later])
-        joint /= joint.sum(0)
-        move = (real - (joint * both).sum(axis=(1, 2)).reshape(2, 2)) / max(1, both.sum()) - 0.001 * model.moves
-        for k, (step, rate) in enumerate(((g, 0.5), (error.sum() / len(row), 0.2), (move, 0.2))):
+        r, later = (z[used] for z in across(before, own * after))
+        joint = np.stack([np.full(len(r), a[0, 0]), a[0, 1] * later, a[1, 0] * r, a[1, 1] * r * later])
+        joint *= pairs / joint.sum(0)
+        move = (real - joint.sum(axis=1).reshape(2, 2)) / max(1.0, pairs.sum()) - 0.001 * model.moves
+        for k, (step, rate) in enumerate(((g, 0.5), (error.sum() / total, 0.2), (move, 0.2))):
             slow[k] = slow[k] + step**2
             step = rate * step / (np.sqrt(slow[k]) + 1e-8)
             if k == 0:
@@ -244,17 +306,28 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on labelled documents that are not held out, at most ``sample``, taken by a hash of their doc_id."""
+def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = BYTES) -> Model:
+    """Fit on labelled documents that are not held out: at most ``sample`` of them, of ``most`` bytes in all, by a hash of doc_id.
+
+    Ids and sizes are chosen first, from about three times as many as needed; only the chosen documents' texts are gathered.
+    """
     marked = labels.where("toxic is not null and doc_id is not null").where(~held_out())
-    marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64(F.lit(7), "doc_id")
-    # more labels than needed: some may lack a document
-    marked = marked.orderBy(order, "doc_id").limit(4 * sample).select(F.col("doc_id").alias("id"), "toxic")
-    rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marked), "id")
-    chosen = rows.orderBy(F.xxhash64(F.lit(7), "id"), "id", F.xxhash64("text")).limit(sample).select("text", "toxic").toArrow()
-    texts = texts_of(chosen.column("text").combine_chunks()) if chosen.num_rows else []
-    return fit(texts, np.asarray(chosen.column("toxic").to_pylist(), np.int64).clip(0, 1))
+    marked = marked.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
+    order = F.xxhash64(F.lit(7), "id")
+    share = min(1.0, 3 * sample / max(1, marked.count()))
+    # some labels may lack a document
+    marked = marked.where(F.pmod(order, F.lit(1 << 32)) < int(share * (1 << 32))).orderBy(order, "id").limit(4 * sample)
+    source = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = source.join(F.broadcast(marked), "id").select("id", "toxic", F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).distinct()
+    chosen, held = [], 0
+    for r in texts.orderBy(order, "id", "h").limit(sample).collect():
+        if held + r["size"] <= most:
+            held += r["size"]
+            chosen.append((r["id"], r["h"], r["toxic"]))
+    wanted = documents.sparkSession.createDataFrame(chosen, "id long, h long, toxic int")
+    found = source.withColumn("h", F.xxhash64("text")).join(F.broadcast(wanted), ["id", "h"]).dropDuplicates(["id", "h"]).orderBy(order, "id", "h").select("text", "toxic").toArrow()
+    raw = texts_of(found.column("text").combine_chunks()) if found.num_rows else []
+    return fit(raw, np.asarray(found.column("toxic").to_pylist(), np.int64).clip(0, 1))
 
 
 _SPAN = pa.struct([("begin", pa.int64()), ("stop", pa.int64()), ("probability", pa.float64())])
@@ -282,7 +355,7 @@ def score_texts(texts: list[bytes], model: Model, rolling: Rolling) -> tuple[np.
     t = Tokens(texts, rolling)
     w = t.words
     p = marginals(model, t)
-    score = 1 / (1 + np.exp(-np.clip(summary(p, w.first) @ model.unit, -30, 30)))
+    score = 1 / (1 + np.exp(-np.clip((summary(p, w.first) * model.unit).sum(axis=1), -30, 30)))
     spans: list[list[dict]] = [[] for _ in texts]
     hits = np.flatnonzero(p > 0.5)
     for d in np.unique(w.doc[hits]).tolist():

@@ -333,19 +333,78 @@ def test_near_documents_keep_one(documents, corpus):
     assert base in ids and len(group & set(ids)) == 1 and kept.columns == documents.columns
 
 
-def test_chains_sum_to_one():
-    """Marginals of a short chain against the sum over all labellings."""
+def test_marginals_are_those_of_whole_documents(monkeypatch):
+    """Documents over several rows of the grid against the sum over all labellings."""
     from itertools import product
 
-    x, moves = np.array([[0.3, -1.0, 2.0, 0.1]]), np.array([[0.2, -0.5], [0.1, 0.7]])
-    before, after, _ = toxicity.forward_backward(x, np.ones((1, 4), bool), moves)
-    p, total = np.zeros(4), 0.0
-    for y in product((0, 1), repeat=4):
-        v = np.exp(sum(x[0, i] * y[i] for i in range(4)) + sum(moves[y[i], y[i + 1]] for i in range(3)))
-        total += v
-        p += v * np.array(y)
-    odds = (before * after)[0]
-    assert np.allclose(odds / (1 + odds), p / total)
+    monkeypatch.setattr(toxicity, "ROW", 3)
+    r = np.random.default_rng(7)
+    texts = [b"a b c d e f g h", b"", b"a b c", b"a b c d", b"x", b"q r s t u v w x y"]
+    tokens, moves = toxicity.Tokens(texts, Rolling(31)), np.array([[0.2, -0.5], [0.1, 0.7]])
+    x = r.normal(size=len(tokens.words)).astype(np.float32)
+    monkeypatch.setattr(toxicity.Model, "emissions", lambda self, t: x)
+    got = toxicity.marginals(toxicity.Model(np.zeros(1), moves=moves), tokens)
+    for d in range(len(texts)):
+        own = x[tokens.words.first[d] : tokens.words.first[d + 1]].astype(float)
+        p, total = np.zeros(len(own)), 0.0
+        for y in product((0, 1), repeat=len(own)):
+            v = np.exp(own @ np.array(y, float) + sum(moves[y[i], y[i + 1]] for i in range(len(own) - 1)))
+            total += v
+            p += v * np.array(y)
+        assert np.allclose(got[tokens.words.first[d] : tokens.words.first[d + 1]], p / total)
+
+
+def test_long_chains_keep_odds_finite():
+    text = b"word " * 50_000
+    p = toxicity.marginals(toxicity.Model(np.zeros(1 << 20, np.float32), bias=-9.0, moves=np.array([[1.0, -1.0], [-1.0, 1.0]])), toxicity.Tokens([text], Rolling(31)))
+    assert np.isfinite(p).all() and p.max() < 0.5 and np.allclose(p[100:200], p[30_000:30_100])
+
+
+def test_toxicity_on_tables(spark, tmp_path, empty):
+    """The registered query and the stage's operator on nulls, empties, repeats, clashing columns and an empty table."""
+    r = random.Random(14)
+    plain = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    rows, labels, toxic = [], [], {}
+    for i in range(500):
+        w = [r.choice(plain) for _ in range(r.randint(20, 150))]
+        toxic[i] = i % 4 == 0
+        if toxic[i]:
+            for _ in range(5):
+                w[r.randrange(len(w))] = "zug" + r.choice(["hal", "mor", "tik"])
+        rows.append((i, " ".join(w), "clash", 1.5, 7))
+        labels.append((i, None if i % 50 == 1 else int(toxic[i]), 3))
+    rows += [(1000, None, "c", 0.0, 1), (1001, "", "c", 0.0, 1), (None, rows[0][1], "c", 0.0, 1), rows[4], rows[4]]
+    labels += [(9999, 1, 3), (None, 1, 3), labels[8]]
+    spark.createDataFrame(rows, "doc_id long, text string, spans string, score double, id int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, toxic int, id int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = toxicity.op7_toxicity(spark, str(tmp_path))
+    assert got.columns[:4] == ["doc_id", "held_out", "score", "predicted"] and got.count() == len(rows)
+    scores = {}
+    for x in got.collect():
+        assert x.held_out == (x.doc_id is not None and zlib.crc32(str(x.doc_id).encode()) % 5 == 0) and x.predicted == (x.score >= 0.5) and 0 <= x.score <= 1
+        scores.setdefault(x.doc_id, set()).add(x.score)
+    assert all(len(s) == 1 for s in scores.values()) and scores[1000] == scores[1001] and scores[None] == scores[0]
+    held = [d for d in toxic if zlib.crc32(str(d).encode()) % 5 == 0]
+    assert np.mean([(min(scores[d]) >= 0.5) == toxic[d] for d in held]) > 0.95
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = toxicity.train(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    kept = toxicity.clean_documents(docs, model)
+    bad = {d for d, s in scores.items() if min(s) >= 0.5}
+    assert kept.columns == docs.columns and Counter(x.doc_id for x in kept.collect()) == Counter(x[0] for x in rows if x[0] not in bad) and len(bad) > 90
+    assert toxicity.score_documents(empty, model).count() == 0 and toxicity.clean_documents(empty, model).count() == 0
+    none = toxicity.train(empty, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert {x.score for x in toxicity.score_documents(docs, none).collect()} == {0.5}
+    # the sample is bounded in documents and in bytes
+    assert toxicity.train(docs, spark.read.parquet(str(tmp_path / "labels.parquet")), sample=50, most=3000) is not None
+
+
+def test_toxicity_held_out_accuracy(spark):
+    """On labelled rows that the model never saw."""
+    path = "/root/testdata/sf0.01"
+    if not os.path.exists(path):
+        pytest.skip("no test table")
+    scored = toxicity.op7_toxicity(spark, path).where("held_out").join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").collect()
+    assert len(scored) > 40 and np.mean([x.predicted == x.toxic for x in scored]) > 0.95
 
 
 def test_toxicity_learns_and_marks_spans():

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import neighbours, ranked, size
+from .core import ranked, shown, size
 from .match import match_static
 from .overlap import overlap
 
@@ -32,19 +32,17 @@ def strata_count(n: int, bins: int) -> int:
     return max(1, n // bins)
 
 
-def seen_labels(pairs: DataFrame, w: int, n: int | None = None) -> DataFrame:
-    """(idx, seen): labels of the other track that each row's window shows."""
-    return neighbours(pairs, "m2", w, n=n).groupBy("idx").agg(F.collect_set("m2").alias("seen"))
-
-
 def strata(pairs: DataFrame, labels: Sequence[str], matches: dict[str, list[str]], w: int, bins: int) -> DataFrame:
     """(k, b, x, y, n): of each label's strata by posterior, the middle and the share of rows that show a match."""
     n = size(pairs)
-    rows = pairs.select("idx", "p1").join(seen_labels(pairs, w, n), "idx", "left")
-    empty = F.array().cast("array<string>")
-    cells = [F.struct(F.lit(k).alias("k"), F.col("p1")[i].alias("p"), F.coalesce(F.arrays_overlap("seen", F.array(*[F.lit(x) for x in matches[k]])) if matches.get(k) else F.lit(False), F.lit(False)).alias("hit")) for i, k in enumerate(labels)]
-    long = rows.withColumn("seen", F.coalesce("seen", empty)).select("idx", F.explode(F.array(*cells)).alias("c")).select("idx", "c.*")
-    placed = ranked(long, "k", "p", "idx").withColumn("b", F.floor(F.col("pos") / strata_count(n, bins)))
+
+    def cells(hit) -> Column:
+        return F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("p1")[i].alias("p"), *hit(k)) for i, k in enumerate(labels)])).alias("c")
+
+    shows = lambda k: [F.coalesce(F.arrays_overlap("seen", F.array(*[F.lit(x) for x in matches[k]])), F.lit(False)).alias("hit") if matches.get(k) else F.lit(False).alias("hit")]
+    long = shown(pairs, "m2", w, "p1").select("idx", cells(shows)).select("idx", "c.*")
+    basis = pairs.select("idx", cells(lambda k: [])).select("idx", "c.*")
+    placed = ranked(long, "k", "p", "idx", basis=basis).withColumn("b", F.floor(F.col("pos") / strata_count(n, bins)))
     return placed.groupBy("k", "b").agg(((F.min("p") + F.max("p")) / 2).alias("x"), F.avg(F.col("hit").cast("double")).alias("y"), F.count("*").alias("n"))
 
 

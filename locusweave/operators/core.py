@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 EPS = 36.84136
+#: Positions of a block, rows of a part of a rank, and cells of a key's range.
+BLOCK, PART, CELLS = 8192, 1 << 16, 4096
 
 
 def map_label(p: str | Column, labels: Sequence[str]) -> Column:
@@ -48,15 +51,16 @@ def merge_labels(p: str | Column, labels: Sequence[str], a: str, b: str) -> tupl
     return F.array(*[p[r] for r in rest], p[i] + p[j]), [labels[r] for r in rest] + [f"{a}+{b}"]
 
 
-def position_index(loci: DataFrame) -> DataFrame:
+def position_index(loci: DataFrame, block: int = 1 << 24) -> DataFrame:
     """Add ``idx``: the row's place by chromosome name and start, over the whole table.
 
-    Counts of each chromosome (a few hundred rows) give its offset; ranks are within chromosomes.
+    Rows are ranked within stretches of ``block`` base pairs; the stretches' counts give their offsets.
     """
-    counts = loci.groupBy("chr").agg(F.count("*").alias("n"))
-    offsets = counts.select("chr", (F.sum("n").over(Window.orderBy("chr")) - F.col("n")).alias("offset"))
-    ranked = loci.withColumn("rn", F.row_number().over(Window.partitionBy("chr").orderBy("start", "end")) - 1)
-    return ranked.join(offsets, "chr").withColumn("idx", F.col("offset") + F.col("rn")).drop("rn", "offset")
+    blocks = loci.withColumn("_block", F.floor(F.col("start") / block))
+    counts = blocks.groupBy("chr", "_block").agg(F.count("*").alias("_n"))
+    offsets = counts.select("chr", "_block", (F.sum("_n").over(Window.orderBy("chr", "_block")) - F.col("_n")).alias("_offset"))
+    inner = F.row_number().over(Window.partitionBy("chr", "_block").orderBy("start", "end")) - 1
+    return blocks.withColumn("_in", inner).join(F.broadcast(offsets), ["chr", "_block"]).withColumn("idx", F.col("_offset") + F.col("_in")).drop("_block", "_in", "_offset")
 
 
 def pair(base: DataFrame, verification: DataFrame) -> DataFrame:
@@ -65,36 +69,100 @@ def pair(base: DataFrame, verification: DataFrame) -> DataFrame:
     return position_index(both)
 
 
+_SIZES: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
+
+
 def size(pairs: DataFrame) -> int:
-    return int(pairs.agg(F.max("idx")).first()[0]) + 1
+    """The number of positions; one job for each frame, however many operators ask."""
+    if pairs not in _SIZES:
+        _SIZES[pairs] = int(pairs.agg(F.max("idx")).first()[0]) + 1
+    return _SIZES[pairs]
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The same rows, held by the driver: for frames of label pairs, which are used several times."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def neighbours(pairs: DataFrame, value: str, w: int, hide_last: bool = True, n: int | None = None) -> DataFrame:
-    """(idx, value) of every position that a row's window shows: offsets -w to w - 1, clipped to the table.
+def halo(rows: DataFrame, reach: int, block: int = BLOCK) -> DataFrame:
+    """Rows dealt to blocks of positions (``_b``), with those of up to ``reach`` positions around each block.
 
-    With ``hide_last`` the table's last position is never shown. Each value is sent to the rows that see it, so this is a
-    projection; no shuffle, no window over all rows.
+    A window over a block then sees what a row's neighbourhood holds, and one copy of the table moves, but for the edges. Results
+    are those of rows with ``_own``.
+    """
+    at = F.col("idx")
+    spread = rows.withColumn("_b", F.explode(F.sequence(F.floor((at - reach) / block), F.floor((at + reach) / block))))
+    return spread.withColumn("_own", F.col("_b") == F.floor(at / block))
+
+
+def by_block() -> WindowSpec:
+    return Window.partitionBy("_b").orderBy("idx")
+
+
+def shown(pairs: DataFrame, value: str, w: int, *keep: str, hide_last: bool = True, n: int | None = None) -> DataFrame:
+    """(idx, keep, seen): the distinct values that each row's window shows, offsets -w to w - 1, clipped to the table.
+
+    With ``hide_last`` the table's last position is never shown by a window of any width but 0.
     """
-    n = size(pairs) if n is None else n
     if w == 0:
-        return pairs.select("idx", value)
-    seen = pairs.where(F.col("idx") < n - 1) if hide_last else pairs
-    spread = seen.select(F.col("idx").alias("at"), value).withColumn("idx", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - (w - 1)), F.least(F.lit(n - 1), F.col("at") + w))))
-    return spread.select("idx", value)
+        return pairs.select("idx", *keep, F.array_compact(F.array(value)).alias("seen"))
+    n = size(pairs) if n is None else n
+    dealt = halo(pairs.select("idx", *dict.fromkeys([*keep, value])), w)
+    seen = F.when(F.col("idx") < n - 1, F.col(value)) if hide_last else F.col(value)
+    found = dealt.withColumn("seen", F.collect_set(seen).over(by_block().rowsBetween(-w, w - 1)))
+    return found.where("_own").select("idx", *keep, "seen")
 
 
-def ranked(rows: DataFrame, key: str, by: str, tie: str, cells: int = 4096) -> DataFrame:
-    """Add ``pos``: the 0-based rank by (by, tie) within ``key``, without one task for each key.
+def celled(basis: DataFrame, key: str, by: str, tie: str | None, part: int = PART, cells: int = CELLS) -> tuple[Callable[[DataFrame], DataFrame], list[str]]:
+    """A function that adds cells, in order of ``by`` within ``key``, none of them with much more than ``part`` rows; and their names.
 
-    Cells of the key's range of ``by`` are counted first (at most ``cells`` rows for each key); a row's rank is its cell's
-    offset and its rank within the cell.
+    Each key's range is cut into cells of equal width; cells with more rows are cut again by their own range, as often as it takes;
+    and a cell of one value is cut into ``part`` positions of ``tie`` each, where there is one. Only facts of cells with more than
+    ``part`` rows come to the driver.
+    """
+    spark = basis.sparkSession
+    steps = [basis.groupBy(key).agg(F.min(by).alias("_low"), F.max(by).alias("_high"))]
+    steps[0] = spark.createDataFrame(steps[0].collect(), steps[0].schema)
+    points: DataFrame | None = None
+
+    def names() -> list[str]:
+        return [f"_c{i}" for i in range(len(steps))]
+
+    def place(df: DataFrame) -> DataFrame:
+        for i, edges in enumerate(steps):
+            df = df.join(F.broadcast(edges), [key, *names()[:i]], "left")
+            low, high = F.col("_low").cast("double"), F.col("_high").cast("double")
+            at = F.floor(F.try_divide((F.col(by).cast("double") - low) * cells, high - low))
+            df = df.withColumn(f"_c{i}", F.when(F.col(by).isNull(), -1).otherwise(F.coalesce(F.least(F.lit(cells - 1), at), F.lit(0))).cast("int")).drop("_low", "_high")
+        if points is None:
+            return df.withColumn("_sub", F.lit(0).cast("long"))
+        return df.join(F.broadcast(points), [key, *names()], "left").withColumn("_sub", F.when(F.col("_point"), F.floor(F.col(tie) / part)).otherwise(0)).drop("_point")
+
+    while True:
+        counts = place(basis).groupBy(key, *names()).agg(F.count("*").alias("_n"), F.min(by).alias("_low"), F.max(by).alias("_high"))
+        heavy = counts.where(F.col("_n") > part).drop("_n").collect()
+        wide = [r for r in heavy if r["_low"] is not None and r["_low"] < r["_high"]]
+        if not wide or len(steps) == 12:
+            break
+        steps.append(spark.createDataFrame(wide, counts.drop("_n").schema))
+    single = [r for r in heavy if r["_low"] is None or r["_low"] == r["_high"]]
+    if single and tie is not None:
+        points = spark.createDataFrame(single, counts.drop("_n").schema).select(key, *names(), F.lit(True).alias("_point"))
+    return place, [*names(), "_sub"]
+
+
+def ranked(rows: DataFrame, key: str, by: str, tie: str, part: int = PART, basis: DataFrame | None = None) -> DataFrame:
+    """Add ``pos``: the 0-based rank by (by, tie) within ``key``, without one task for each key, or for each value.
+
+    A row's rank is its cell's offset and its rank within the cell (see ``celled``). ``basis``: the same keys, values and positions
+    where they are cheaper to have than ``rows``.
     """
-    edges = rows.groupBy(key).agg(F.min(by).alias("_low"), F.max(by).alias("_high"))
-    celled = rows.join(F.broadcast(edges), key).withColumn("_cell", F.least(F.lit(cells - 1), F.floor(F.coalesce(F.try_divide((F.col(by) - F.col("_low")) * cells, F.col("_high") - F.col("_low")), F.lit(0.0)))).cast("int"))
-    counts = celled.groupBy(key, "_cell").agg(F.count("*").alias("_n"))
-    offsets = counts.select(key, "_cell", (F.sum("_n").over(Window.partitionBy(key).orderBy("_cell")) - F.col("_n")).alias("_offset"))
-    inner = F.row_number().over(Window.partitionBy(key, "_cell").orderBy(by, tie)) - 1
-    return celled.withColumn("_in", inner).join(offsets, [key, "_cell"]).withColumn("pos", F.col("_offset") + F.col("_in")).drop("_low", "_high", "_cell", "_in", "_offset")
+    basis = (rows if basis is None else basis).select(*dict.fromkeys([key, by, tie]))
+    place, names = celled(basis, key, by, tie, part)
+    counts = place(basis).groupBy(key, *names).agg(F.count("*").alias("_n"))
+    offsets = counts.select(key, *names, (F.sum("_n").over(Window.partitionBy(key).orderBy(*names)) - F.col("_n")).alias("_offset"))
+    inner = F.row_number().over(Window.partitionBy(key, *names).orderBy(by, tie)) - 1
+    return place(rows).withColumn("_in", inner).join(offsets, [key, *names]).withColumn("pos", F.col("_offset") + F.col("_in")).drop(*names, "_in", "_offset")
 
 
 def islands(rows: DataFrame, new: Column) -> DataFrame:
@@ -110,9 +178,10 @@ def islands(rows: DataFrame, new: Column) -> DataFrame:
 
 
 def previous(rows: DataFrame, *columns: str) -> DataFrame:
-    """Add ``prev_<column>`` from the row before, by an equi-join on idx."""
-    before = rows.select((F.col("idx") + 1).alias("idx"), *[F.col(c).alias(f"prev_{c}") for c in columns])
-    return rows.join(before, "idx", "left")
+    """Add ``prev_<column>`` from the row of the position before, null where there is none."""
+    there = F.lag("idx").over(by_block()) == F.col("idx") - 1
+    dealt = halo(rows, 1).withColumns({f"prev_{c}": F.when(there, F.lag(c).over(by_block())) for c in columns})
+    return dealt.where("_own").drop("_b", "_own")
 
 
 def position_index_by(rows: DataFrame, order: str, block: int = 65536) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .core import small
 from .overlap import coverage, grid, joint, overlap
 
 
@@ -29,7 +30,8 @@ def match_static(matrix: DataFrame, labels: Sequence[str], threshold: float = 0.
 
 def match_greedy(pairs: DataFrame, labels: Sequence[str], w: int = 0) -> DataFrame:
     """(k, j, rank, merged): the prefix of labels, by falling IoU, whose merged IoU is largest."""
-    m = overlap(pairs, labels, "iou", w, symmetric=True).join(joint(pairs, labels, w, symmetric=True), ["k", "j"]).join(F.broadcast(grid(pairs.sparkSession, labels)), ["k", "j"])
+    cells = small(joint(pairs, labels, w, symmetric=True))
+    m = overlap(pairs, labels, "iou", cells=cells).join(cells, ["k", "j"]).join(F.broadcast(grid(pairs.sparkSession, labels)), ["k", "j"])
     c1, c2 = coverage(pairs, labels, "m1").withColumnRenamed("coverage", "c1"), coverage(pairs, labels, "m2").select(F.col("k").alias("j"), F.col("coverage").alias("c2"))
     m = m.join(F.broadcast(c1), "k").join(F.broadcast(c2), "j")
     order = Window.partitionBy("k").orderBy(F.col("value").desc_nulls_last(), "j_at")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import neighbours, size
+from .core import by_block, halo, shown, size
 
 
 def label_frame(spark: SparkSession, labels: Sequence[str], name: str = "k") -> DataFrame:
@@ -41,13 +41,15 @@ def joint(pairs: DataFrame, labels: Sequence[str], w: int = 0, symmetric: bool =
     if w == 0:
         counts = pairs.groupBy(F.col("m1").alias("k"), F.col("m2").alias("j")).agg(F.count("*").cast("double").alias("c"))
     elif not symmetric:
-        seen = neighbours(pairs, "m2", w, n=n).groupBy("idx").agg(F.collect_set("m2").alias("seen"))
-        counts = pairs.select("idx", "m1").join(seen, "idx").select(F.col("m1").alias("k"), F.explode("seen").alias("j")).groupBy("k", "j").agg(F.count("*").cast("double").alias("c"))
+        counts = shown(pairs, "m2", w, "m1").select(F.col("m1").alias("k"), F.explode("seen").alias("j")).groupBy("k", "j").agg(F.count("*").cast("double").alias("c"))
     else:
-        one = neighbours(pairs, "m1", w, n=n).groupBy("idx", F.col("m1").alias("k")).agg(F.count("*").alias("c1"))
-        two = neighbours(pairs, "m2", w, n=n).groupBy("idx", F.col("m2").alias("j")).agg(F.count("*").alias("c2"))
-        shown = F.least(F.col("idx") + w, F.lit(n - 1)) - F.greatest(F.lit(0), F.col("idx") - w)
-        counts = one.join(two, "idx").groupBy("k", "j").agg(F.sum(F.col("c1") * F.col("c2") / (shown * shown)).alias("c"))
+        window = by_block().rowsBetween(-w, w - 1)
+        own = {f"_{m}_{i}": F.count(F.when((F.col(m) == x) & (F.col("idx") < n - 1), 1)).over(window) for m in ("m1", "m2") for i, x in enumerate(labels)}
+        dealt = halo(pairs.select("idx", "m1", "m2"), w).withColumns(own).where("_own")
+        size_ = F.least(F.col("idx") + w, F.lit(n - 1)) - F.greatest(F.lit(0), F.col("idx") - w)
+        cells = [(i, j) for i in range(len(labels)) for j in range(len(labels))]
+        sums = dealt.agg(*[F.sum(F.try_divide(F.col(f"_m1_{i}") * F.col(f"_m2_{j}"), size_ * size_)).alias(f"c{i}_{j}") for i, j in cells])
+        counts = sums.select(F.explode(F.array(*[F.struct(F.lit(labels[i]).alias("k"), F.lit(labels[j]).alias("j"), F.col(f"c{i}_{j}").alias("c")) for i, j in cells])).alias("r")).select("r.*")
     return grid(pairs.sparkSession, labels).join(counts, ["k", "j"], "left").select("k", "j", (F.coalesce("c", F.lit(0.0)) / n).alias("joint"))
 
 
@@ -58,9 +60,11 @@ def soft_joint(pairs: DataFrame, labels: Sequence[str]) -> DataFrame:
     return means.select(F.explode(F.array(*[F.struct(F.lit(labels[i]).alias("k"), F.lit(labels[j]).alias("j"), F.col(f"c{i}_{j}").alias("joint")) for i, j in cells])).alias("r")).select("r.*")
 
 
-def overlap(pairs: DataFrame, labels: Sequence[str], kind: str = "iou", w: int = 0, symmetric: bool = False, soft: bool = False) -> DataFrame:
-    """(k, j, value): iou, coefficient, f1, kappa, enrichment, conditional or joint."""
-    if soft and w == 0:
+def overlap(pairs: DataFrame, labels: Sequence[str], kind: str = "iou", w: int = 0, symmetric: bool = False, soft: bool = False, cells: DataFrame | None = None) -> DataFrame:
+    """(k, j, value): iou, coefficient, f1, kappa, enrichment, conditional or joint; ``cells``: the joint matrix, if it is known."""
+    if cells is not None:
+        m, c1, c2 = cells, coverage(pairs, labels, "m1"), coverage(pairs, labels, "m2")
+    elif soft and w == 0:
         m, c1, c2 = soft_joint(pairs, labels), soft_coverage(pairs, labels, "p1"), soft_coverage(pairs, labels, "p2")
     else:
         m, c1, c2 = joint(pairs, labels, w, symmetric), coverage(pairs, labels, "m1"), coverage(pairs, labels, "m2")

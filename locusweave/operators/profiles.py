@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import islands, previous, ranked
+from .core import by_block, celled, halo, islands, previous, ranked
 from .overlap import grid
 from .ranges import overlap_join
 
@@ -66,9 +66,18 @@ def saturation(rows: DataFrame, n_labels: int) -> DataFrame:
     return rows.agg((1 - F.sum(F.when(F.col("p") == 1, length).otherwise(0)) * n_labels / F.sum(length)).alias("qc"))
 
 
-def average_ranks(rows: DataFrame, key: str, by: str, tie: str, name: str) -> DataFrame:
-    """Add a column: the mean 1-based rank of rows with an equal value within ``key``."""
-    ends = ranked(rows, key, by, tie).groupBy(F.col(key).alias("_k"), F.col(by).alias("_v")).agg(((F.min("pos") + F.max("pos")) / 2 + 1).alias(name))
+def average_ranks(rows: DataFrame, key: str, by: str, name: str) -> DataFrame:
+    """Add a column: the mean 1-based rank of rows with an equal value within ``key``.
+
+    Distinct values are counted first, and the counts summed up to each value by cells; no row is ranked by itself.
+    """
+    counts = rows.groupBy(F.col(key).alias("_k"), F.col(by).alias("_v")).agg(F.count("*").alias("_count"))
+    place, names = celled(counts, "_k", "_v", None)
+    per = place(counts).groupBy("_k", *names).agg(F.sum("_count").alias("_n"))
+    offsets = per.select("_k", *names, (F.sum("_n").over(Window.partitionBy("_k").orderBy(*names)) - F.col("_n")).alias("_offset"))
+    upto = F.sum("_count").over(Window.partitionBy("_k", *names).orderBy("_v"))
+    ends = place(counts).withColumn("_upto", upto).join(offsets, ["_k", *names])
+    ends = ends.select("_k", "_v", (F.col("_offset") + F.col("_upto") - (F.col("_count") - 1) / 2).alias(name))
     return rows.join(ends, (F.col(key) == F.col("_k")) & (F.col(by) == F.col("_v"))).drop("_k", "_v")
 
 
@@ -92,7 +101,7 @@ def confident_contrast(rows: DataFrame, alpha: float = 0.9) -> DataFrame:
     """One row: sizes, difference of mean log expression, Welch's t and the rank-sum z of confident rows against others."""
     v = F.ln(F.col("tpm") + 1e-19)
     split = rows.select("idx", F.lit(0).alias("all"), v.alias("v"), (F.col("r_value") >= alpha).alias("sure"))
-    facts = average_ranks(split, "all", "v", "idx", "rank")
+    facts = average_ranks(split, "all", "v", "rank")
     of = lambda c, s: F.when(F.col("sure") == s, c)
     sums = [f(of(F.col("v"), s)).alias(f"{n}{int(s)}") for s in (True, False) for n, f in (("n", F.count), ("mean", F.avg), ("var", F.variance))]
     one = facts.agg(*sums, F.sum(of(F.col("rank"), True)).alias("ranks"))
@@ -154,8 +163,8 @@ def lengths_by_chromosome(segments: DataFrame) -> DataFrame:
 
 def boundary_rows(pairs: DataFrame) -> DataFrame:
     """(idx, m1) of rows whose next row has another label."""
-    after = pairs.select((F.col("idx") - 1).alias("idx"), F.col("m1").alias("_next"))
-    return pairs.select("idx", "m1").join(after, "idx").where("m1 <> _next").select("idx", "m1")
+    after = halo(pairs.select("idx", "m1"), 1).withColumn("_next", F.lead("m1").over(by_block()))
+    return after.where("_own and m1 <> _next").select("idx", "m1")
 
 
 def within_segments(pairs: DataFrame) -> DataFrame:

@@ -64,3 +64,9 @@ def body_share(segments: DataFrame, genes: DataFrame) -> DataFrame:
     total = segments.groupBy("label").agg(F.sum(F.col("end") - F.col("start")).alias("length"))
     met = overlap_join(segments, genes).groupBy("label", F.col("b_gene_type").alias("gene_type")).agg(F.sum(overlap_length(F.col("start"), F.col("end"), F.col("b_start"), F.col("b_end"))).alias("bp"))
     return met.join(F.broadcast(total), "label").select("label", "gene_type", (F.col("bp") / F.col("length")).alias("share"))
+
+
+def first_of(rows: DataFrame, facts: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """(key, value): of each row's facts the first by ``order``; rows without any are left out."""
+    first = facts.groupBy(key).agg(F.min_by(value, order).alias(value))
+    return rows.join(first, key).select(key, value)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import calibrate
-from .core import neighbours
+from .core import shown
 from .overlap import information, overlap
 from .spatial import reproduced
 
@@ -29,9 +29,9 @@ def overlap_contour(pairs: DataFrame, labels: Sequence[str], thresholds: Sequenc
     """
     out = []
     for w in windows:
-        matrix = F.broadcast(overlap(pairs, labels, "iou", w).select("k", "j", "value"))
-        seen = pairs.select("idx", F.col("m1").alias("k")).join(neighbours(pairs, "m2", w).select("idx", F.col("m2").alias("j")), "idx", "left")
-        best = seen.join(matrix, ["k", "j"], "left").groupBy("idx", "k").agg(F.max("value").alias("value"))
+        cells = [x for r in overlap(pairs, labels, "iou", w).collect() for x in (F.lit(f"{r['k']}\0{r['j']}"), F.lit(r["value"]).cast("double"))]
+        values = F.create_map(*cells)
+        best = shown(pairs, "m2", w, "m1").select(F.col("m1").alias("k"), F.array_max(F.transform("seen", lambda j: values[F.concat_ws("\0", "m1", j)])).alias("value"))  # noqa: B023
         counted = best.groupBy(F.col("k").alias("label"), "value").agg(F.count("*").alias("n"))
         out.append(_thresholds(counted, thresholds, lambda v, t: v > t).select(F.lit(w).alias("w"), "t", "label", "share"))
     return reduce(DataFrame.unionByName, out)

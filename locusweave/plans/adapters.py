@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.core import with_map
+from ..operators.core import by_block, halo, with_map
 
+_HELD: WeakKeyDictionary[SparkSession, DataFrame] = WeakKeyDictionary()
 LABELS = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -18,32 +21,32 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(idx, chr, start, end, p1, p2, m1, m2): two posterior matrices over the same bins.
 
-    A bin's posteriors are shares of event types among its neighbours. Each event is sent to the seven bins that it can
-    count in, so the frames cost one hash aggregation and no window over all rows.
+    A bin's posteriors are shares of event types among its neighbours, from windows over blocks of events.
     """
-    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("at"), "event_type", (F.col("user_id") % 5 != 0).alias("counts"))
-    n = e.agg(F.max("at")).first()[0]
-    spread = e.withColumn("o", F.explode(F.array(*[F.lit(o) for o in range(-3, 4)]))).withColumn("idx", F.col("at") + F.col("o")).where(f"idx >= 0 and idx <= {n}")
-    one, two = F.col("o") >= -2, F.col("o") <= 2
-    sums = [F.count_if(one).alias("n1"), F.count_if(two).alias("n2")]
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), "event_type", (F.col("user_id") % 5 != 0).alias("counts"))
+    one, two = by_block().rowsBetween(-3, 2), by_block().rowsBetween(-2, 3)
+    sums = {"n1": F.count("*").over(one), "n2": F.count("*").over(two)}
     for k, label in enumerate(LABELS):
         of = F.col("event_type") == label
-        sums += [F.count_if(one & of).alias(f"a{k}"), F.count_if(two & of & F.col("counts")).alias(f"b{k}")]
-    bins = spread.groupBy("idx").agg(*sums)
+        sums |= {f"a{k}": F.count(F.when(of, 1)).over(one), f"b{k}": F.count(F.when(of & F.col("counts"), 1)).over(two)}
+    bins = halo(e, 3).withColumns(sums).where("_own")
     p1 = F.array(*[F.col(f"a{k}") / F.col("n1") for k in range(5)])
     p2 = F.array(*[F.col(f"b{k}") / F.col("n2") for k in range(5)])
     chrom = F.concat(F.lit("chr"), (1 + F.floor(F.col("idx") / 4000)).cast("string"))
     start = (F.col("idx") % 4000) * 200
     pairs = with_map(bins.select("idx", chrom.alias("chr"), start.alias("start"), (start + 200).alias("end"), p1.alias("p1"), p2.alias("p2")), LABELS)
-    # every operator reads it several times; what memory can't hold goes to disk, what is lost is computed again
-    return pairs.persist(StorageLevel.MEMORY_AND_DISK)
+    # every operator reads it several times; what memory can't hold goes to disk, what is lost is computed again; one copy is held
+    if held := _HELD.pop(spark, None):
+        held.unpersist()
+    _HELD[spark] = pairs.persist(StorageLevel.MEMORY_AND_DISK)
+    return pairs
 
 
-def intervals(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Annotation intervals (rid, chr, start, end) from orders: from all (``whole``), or from each tenth key."""
+def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotation intervals (rid, chr, start, end) from orders."""
     key = F.col("o_orderkey")
     start = (key * 7919) % 780000
-    return read(spark, sf_dir, "orders").where(F.lit(True) if whole else key % 10 == 0).select(key.alias("rid"), F.concat(F.lit("chr"), (1 + key % 3).cast("string")).alias("chr"), start.alias("start"), (start + 100 + (key % 17) * 90).alias("end"))
+    return read(spark, sf_dir, "orders").select(key.alias("rid"), F.concat(F.lit("chr"), (1 + key % 3).cast("string")).alias("chr"), start.alias("start"), (start + 100 + (key % 17) * 90).alias("end"))
 
 
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +15,11 @@ Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, plain: bool = False):
     def add(f: Callable) -> Callable:
         Q[name] = f
         if sql is not None:
-            SQL[name] = WITH + sql
+            SQL[name] = sql if plain else WITH + sql
         return f
 
     return add
@@ -61,12 +60,7 @@ def _(spark, d):
     return paired(spark, d).select("idx", "chr", "start", "end", "m1", "m2")
 
 
-@query("logit_posterior", "SELECT idx, round(CASE WHEN p1[1] < 1e-16 THEN -36.84136 WHEN p1[1] > 1 - 1e-16 THEN 36.84136 ELSE ln(p1[1] / nullif(1 - p1[1], 0)) END, 6) AS logit0, round(list_max(p1), 6) AS top FROM t")
-def _(spark, d):
-    return paired(spark, d).select("idx", F.round(core.logit("p1")[0], 6).alias("logit0"), F.round(F.array_max("p1"), 6).alias("top"))
-
-
-@query("logit_posterior_labels", "SELECT idx, k, round(CASE WHEN p1[la + 1] < 1e-16 THEN -36.84136 WHEN p1[la + 1] > 1 - 1e-16 THEN 36.84136 ELSE ln(p1[la + 1] / nullif(1 - p1[la + 1], 0)) END, 6) AS logit FROM t, l")
+@query("logit_posterior", "SELECT idx, k, round(CASE WHEN p1[la + 1] < 1e-16 THEN -36.84136 WHEN p1[la + 1] > 1 - 1e-16 THEN 36.84136 ELSE ln(p1[la + 1] / nullif(1 - p1[la + 1], 0)) END, 6) AS logit FROM t, l")
 def _(spark, d):
     p = paired(spark, d).withColumn("l", core.logit("p1"))
     return r6(p.select("idx", F.explode(F.array(*[F.struct(F.lit(x).alias("k"), F.col("l")[i].alias("logit")) for i, x in enumerate(LABELS)])).alias("c")).select("idx", "c.*"), "logit")
@@ -278,16 +272,9 @@ def _(spark, d):
     return r6(spatial.area(_granularity(spark, d)), "auc", "max_auc")
 
 
-@query("corr_curve", ", rk AS (SELECT idx, row_number() OVER (ORDER BY p1[1] DESC, idx) - 1 AS r1, row_number() OVER (ORDER BY p2[1] DESC, idx) - 1 AS r2 FROM t) SELECT g / 100.0::DOUBLE AS t, round((SELECT count(*) FROM rk WHERE greatest(r1, r2) <= g * (SELECT n FROM n) // 100) / (SELECT CAST(n AS DOUBLE) FROM n), 6) AS psi FROM range(0, 101) r(g)")
+@query("corr_curve", ", rk AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY p1[la + 1] DESC, idx) - 1 AS r1, row_number() OVER (PARTITION BY k ORDER BY p2[la + 1] DESC, idx) - 1 AS r2 FROM t, l) SELECT k, g / 100.0::DOUBLE AS t, round(count(*) FILTER (greatest(r1, r2) <= g * (SELECT n FROM n) // 100) / (SELECT CAST(n AS DOUBLE) FROM n), 6) AS psi FROM rk, range(0, 101) r(g) GROUP BY k, g")
 def _(spark, d):
-    return r6(spatial.correspondence_curve(paired(spark, d), 0), "psi")
-
-
-@query("corr_curve_labels", ", rk AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY p1[la + 1] DESC, idx) - 1 AS r1, row_number() OVER (PARTITION BY k ORDER BY p2[la + 1] DESC, idx) - 1 AS r2 FROM t, l) SELECT k, g / 100.0::DOUBLE AS t, round(count(*) FILTER (greatest(r1, r2) <= g * (SELECT n FROM n) // 100) / (SELECT CAST(n AS DOUBLE) FROM n), 6) AS psi FROM rk, range(0, 101) r(g) GROUP BY k, g")
-def _(spark, d):
-    p = paired(spark, d)
-    curves = [spatial.correspondence_curve(p, i).select(F.lit(x).alias("k"), "t", "psi") for i, x in enumerate(LABELS)]
-    return r6(reduce(DataFrame.unionByName, curves), "psi")
+    return r6(spatial.correspondence_curve(paired(spark, d), LABELS), "psi")
 
 
 _STRATA = ", sj AS (SELECT l.k, (row_number() OVER (PARTITION BY l.k ORDER BY p1[la + 1], idx) - 1) // greatest(1, (SELECT n // 50 FROM n)) AS b, m2 FROM t, l) "
@@ -301,9 +288,7 @@ def _(spark, d):
     return core.ranked(long, "k", "p", "idx").groupBy("k", F.floor(F.col("pos") / calibrate.strata_count(n, 50)).alias("b"), "m2").agg(F.count("*").alias("n"))
 
 
-_IV = ", iv AS (SELECT o_orderkey AS rid, 'chr' || (1 + o_orderkey % 3) AS chr, (o_orderkey * 7919) % 780000 AS s, (o_orderkey * 7919) % 780000 + 100 + (o_orderkey % 17) * 90 AS e FROM orders WHERE o_orderkey % 10 = 0)"
-#: The same of every order.
-_IA = _IV.replace(" WHERE o_orderkey % 10 = 0", "")
+_IV = ", iv AS (SELECT o_orderkey AS rid, 'chr' || (1 + o_orderkey % 3) AS chr, (o_orderkey * 7919) % 780000 AS s, (o_orderkey * 7919) % 780000 + 100 + (o_orderkey % 17) * 90 AS e FROM orders)"
 _GE = ", ge AS (SELECT p_partkey AS gene_id, 'chr' || (1 + p_partkey % 3) AS chr, (p_partkey * 3571) % 790000 AS s, (p_partkey * 3571) % 790000 + p_size * 60 AS e, p_retailprice AS tpm, 't' || (p_partkey % 3) AS gene_type FROM part)"
 _TS = ", ts AS (SELECT s_suppkey AS tss_id, 'chr' || (1 + s_suppkey % 3) AS chr, (s_suppkey * 7877 + 57) % 790000 AS coord FROM supplier)"
 
@@ -318,16 +303,6 @@ def _(spark, d):
     return ranges.overlap_join(paired(spark, d).select("idx", "chr", "start", "end"), intervals(spark, d), "left_anti").select("idx")
 
 
-@query("interval_overlap_all", _IA + " SELECT t.idx, iv.rid FROM t JOIN iv ON t.chr = iv.chr AND t.s < iv.e AND iv.s < t.e")
-def _(spark, d):
-    return ranges.overlap_join(paired(spark, d).select("idx", "chr", "start", "end"), intervals(spark, d, True)).select("idx", F.col("b_rid").alias("rid"))
-
-
-@query("interval_anti_all", _IA + " SELECT t.idx FROM t WHERE NOT EXISTS (SELECT 1 FROM iv WHERE t.chr = iv.chr AND t.s < iv.e AND iv.s < t.e)")
-def _(spark, d):
-    return ranges.overlap_join(paired(spark, d).select("idx", "chr", "start", "end"), intervals(spark, d, True), "left_anti").select("idx")
-
-
 @query("bin_gene_endpoint", _GE + " SELECT idx, m1, round(arg_max(tpm, gene_id), 6) AS tpm FROM t JOIN ge ON t.chr = ge.chr AND ((t.s BETWEEN ge.s AND ge.e) OR (t.e BETWEEN ge.s AND ge.e)) GROUP BY idx, m1")
 def _(spark, d):
     return r6(ranges.endpoint_join(paired(spark, d), genes(spark, d)).select("idx", "m1", "tpm"), "tpm")

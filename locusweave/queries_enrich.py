@@ -56,12 +56,6 @@ def _(spark, d):
     return r6(enrich.contiguous_overlap(active, LABELS, W), "joint", "iou")
 
 
-@query("contiguous_iou_all", base.SQL["contiguous_iou"].removeprefix(base.WITH).replace(base._IV, base._IA))
-def _(spark, d):
-    active = ranges.overlap_join(paired(spark, d), intervals(spark, d, True), "left_semi")
-    return r6(enrich.contiguous_overlap(active, LABELS, W), "joint", "iou")
-
-
 _PERMUTED = " AND ".join(f"o{a}.ja <> o{b}.ja" for a in range(5) for b in range(a))
 
 

@@ -74,8 +74,8 @@ def _(spark, d):
 def _(spark, d):
     p = paired(spark, d)
     both = ranges.endpoint_join(p, genes(spark, d)).select("idx", "tpm", F.lit(0).alias("all"))
-    x = profiles.average_ranks(profiles.by_label(p.join(both.select("idx"), "idx"), LABELS, "idx"), "k", "p", "idx", "rank_p")
-    y = profiles.average_ranks(both, "all", "tpm", "idx", "rank_t")
+    x = profiles.average_ranks(profiles.by_label(p.join(both.select("idx"), "idx"), LABELS, "idx"), "k", "p", "rank_p")
+    y = profiles.average_ranks(both, "all", "tpm", "rank_t")
     return r6(x.join(y, "idx").groupBy("k").agg(F.corr("rank_p", "rank_t").alias("spearman")), "spearman")
 
 

@@ -102,12 +102,55 @@ def test_nearest(track):
 
 def test_ranks_with_ties(spark):
     rows = [(i % 2, (i * 7 % 5) / 4, i) for i in range(100)]
-    got = {r.i: r.pos for r in core.ranked(spark.createDataFrame(rows, "k int, p double, i int"), "k", "p", "i", cells=3).collect()}
+    got = {r.i: r.pos for r in core.ranked(spark.createDataFrame(rows, "k int, p double, i int"), "k", "p", "i", part=3).collect()}
     for k in (0, 1):
         for at, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2]))):
             assert got[i] == at
 
 
+@pytest.mark.parametrize("kind", ["ties", "piled", "nulls"])
+def test_ranks_of_piled_values(spark, kind):
+    """Nine tenths of the rows at one value, or within a millionth of the range: no cell holds more than an eighth of the rows."""
+    r = np.random.default_rng(6)
+    values = {"ties": lambda i: 1.0 if i % 10 else float(r.random()), "piled": lambda i: float(r.random()) * (1e-6 if i % 10 else 1.0), "nulls": lambda i: None if i % 10 else float(r.random())}[kind]
+    rows = [(0, values(i), i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k int, p double, i long")
+    place, names = core.celled(df, "k", "p", "i", part=500)
+    assert place(df).groupBy(*names).count().agg({"count": "max"}).first()[0] <= 500
+    got = {x.i: x.pos for x in core.ranked(df, "k", "p", "i", part=500).collect()}
+    assert [got[i] for _, _, i in sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0.0, x[2]))] == list(range(4000))
+
+
+def test_position_index_over_blocks(spark):
+    rows = sorted({(f"chr{1 + i % 3}", i * 7919 % 100_000, i * 7919 % 100_000 + 5) for i in range(500)})
+    got = core.position_index(spark.createDataFrame(rows[::-1], "chr string, start long, end long"), block=4096).orderBy("idx").collect()
+    assert [(x.idx, x.chr, x.start, x.end) for x in got] == [(i, *x) for i, x in enumerate(rows)]
+
+
+def test_windows_across_blocks(spark, monkeypatch):
+    """Blocks with halos against plain slices, with blocks of a few rows."""
+    monkeypatch.setattr(core.halo, "__defaults__", (4,))
+    r = np.random.default_rng(8)
+    m1, m2 = (["abc"[i] for i in r.integers(0, 3, 50)] for _ in range(2))
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(zip(m1, m2, strict=True))], "idx long, m1 string, m2 string")
+    for w in (0, 1, 3, 9):
+        got = {x.idx: set(x.seen) for x in core.shown(df, "m2", w).collect()}
+        assert got == {i: set(m2[max(0, i - w) : min(i + w, 49)]) if w else {m2[i]} for i in range(50)}
+    matches = {"a": ["a"], "b": ["b", "c"], "c": []}
+    for x in spatial.sides(df, matches, 6).collect():
+        left = next((d for d in range(1, 7) if x.idx - d >= 0 and m2[x.idx - d] in matches[x.m1]), None)
+        right = next((d for d in range(7) if x.idx + d < 50 and m2[x.idx + d] in matches[x.m1]), None)
+        assert (x.left, x.right) == (left, right)
+    for both in (False, True):
+        got = {(x.m1, x.d): x.share for x in spatial.correspondence_by_offset(df, matches, 5, both).collect()}
+        for k in "abc":
+            for d in range(6):
+                hit = [(all if both else any)(m2[min(49, max(0, i + s * d))] in matches[k] for s in (-1, 1)) for i in range(50) if m1[i] == k]
+                assert got[k, d] == pytest.approx(np.mean(hit))
+    before = {x.idx: x.prev_m1 for x in core.previous(df, "m1").collect()}
+    assert before == {i: m1[i - 1] if i else None for i in range(50)}
+
+
 def test_interval_joins(spark):
     r = np.random.default_rng(2)
     def make(n):
@@ -159,11 +202,11 @@ def test_every_order_is_an_interval(spark, tmp_path):
     from locusweave.plans.adapters import intervals
 
     spark.range(1, 41).withColumnRenamed("id", "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
-    got = {(x.rid, x.chr, x.start, x.end) for x in intervals(spark, str(tmp_path), True).collect()}
+    got = {(x.rid, x.chr, x.start, x.end) for x in intervals(spark, str(tmp_path)).collect()}
     assert got == {(k, f"chr{1 + k % 3}", k * 7919 % 780000, k * 7919 % 780000 + 100 + k % 17 * 90) for k in range(1, 41)}
 
 
-@pytest.mark.parametrize("name", ["logit_posterior_labels", "corr_curve_labels"])
+@pytest.mark.parametrize("name", ["logit_posterior", "corr_curve"])
 def test_every_label_as_in_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from locusweave import queries

@@ -223,26 +223,53 @@ def exchange(a: Bin, b: Bin, length: int) -> bool:
     return True
 
 
+class Index:
+    """What bins could take in exchange, as intervals of sizes: all at once tells which bins a giver has something for."""
+
+    def __init__(self, bins: list[Bin], length: int):
+        self.bins = bins
+        self.any = self._entries([[t for t, _ in b.sums] for b in bins], length)
+        self.one = self._entries([[t for t, single in b.sums if single] for b in bins], length)
+
+    def _entries(self, sums: list[list[int]], length: int) -> tuple[np.ndarray, ...]:
+        sizes = np.fromiter(map(len, sums), np.int64, len(sums))
+        fill = np.repeat(np.fromiter((b.fill for b in self.bins), np.int64, len(self.bins)), sizes)
+        t = np.fromiter((x for own in sums for x in own), np.int64, int(sizes.sum()))
+        return np.repeat(np.arange(len(sums)), sizes), t, t + length - fill, fill
+
+    def near(self, a: Bin) -> list[Bin]:
+        """Bins with which an exchange exists, the fullest (last) first."""
+        found = np.zeros(len(self.bins), bool)
+        for (owner, t, high, fill), gives in ((self.any, _bits(a.one)), (self.one, _bits(a.two))):
+            low = t + np.maximum(0, a.fill - fill)
+            for g in gives:
+                found[owner[(low < g) & (g <= high)]] = True
+        return [self.bins[i] for i in np.flatnonzero(found)[::-1]]
+
+
 def improve(bins: list[list[int]], sizes: list[int], length: int) -> list[list[int]]:
     """Bins after exchanges between every two underfull ones, the emptiest giving first, until none raises the sum of squares.
 
-    The sum is bounded and grows by integers, so the search ends.
+    The sum is bounded and grows by integers, so the search ends. Two bins that haven't changed since they last met have nothing to
+    exchange; an index of a turn's bins finds partners, but for those that changed since, which are tried each.
     """
     every = [Bin(b, sizes) for b in bins]
     full = [b for b in every if b.fill == length]
     under = [b for b in every if b.fill < length]
     turn, moved = 0, True
-    while moved:  # two bins that haven't changed since they last met have nothing to exchange
+    while moved:
         moved, turn = False, turn + 1
         under.sort(key=lambda b: b.fill)
+        indexes: list[Index] = []
+        changed: dict[int, Bin] = {}
         for a in under:
-            for b in reversed(under):
-                if a is b or b.fill == length or a.changed < turn - 1 and b.changed < turn - 1:
-                    continue
-                while 0 < b.fill < length and exchange(a, b, length):
+            if not indexes or len(changed) > 32:
+                indexes = [Index(under, length), Index([b for b in under if b.changed >= turn - 1], length)]
+                changed = {}
+            for b in [*changed.values(), *indexes[a.changed < turn - 1].near(a)] if a.fill else ():
+                while a is not b and a.fill and 0 < b.fill < length and exchange(a, b, length):
                     moved, a.changed, b.changed = True, turn, turn
-                if not a.fill:
-                    break
+                    changed[id(a)], changed[id(b)] = a, b
         full += [b for b in under if b.fill == length]
         under = [b for b in under if 0 < b.fill < length]
     return [b.items() for b in full + under]
@@ -290,10 +317,11 @@ def pack(documents: DataFrame, length: int = LENGTH, size: int = GROUP, path: st
     rest = every.where(F.col("length") < length)
     count, salt = rest.count(), 1
     while count:
+        number = -(-count // size)
         placed = materialize(_pack_groups(rest, count, length, size, salt), "packed")
         open_ = placed.where("not full").drop("sequence_id", "offset", "full")
-        left = 0 if count <= size else open_.count()
-        if not left or left == count:
+        left = 0 if number == 1 else open_.count()
+        if -(-left // size) in (0, number):  # as many groups again would have no fewer edges
             done.append(placed.drop("full"))
             break
         done.append(placed.where("full").drop("full"))

@@ -169,7 +169,7 @@ def audio_column(documents: DataFrame) -> DataFrame:
 def as_tensors(mel: pa.Array) -> pa.ExtensionArray:
     """Lists of SLOTS x BANDS values as Arrow's fixed-shape tensors."""
     kind = pa.fixed_shape_tensor(pa.float32(), (SLOTS, BANDS), dim_names=["slot", "band"])
-    flat = mel.flatten().cast(pa.float32())
+    flat = pa.array(mel.flatten().cast(pa.float32()).to_numpy(zero_copy_only=False))  # a copy without the slice's offset
     return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, SLOTS * BANDS))
 
 
@@ -186,7 +186,7 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
                 _, payload = from_wav(stored)
                 begin, end, mel = b.column(4)[n].values.flatten()
                 own = as_tensors(mel)
-                digest = zlib.crc32(np.ascontiguousarray(own.to_numpy_ndarray()).tobytes()) if len(own) else 0
+                digest = zlib.crc32(own.to_numpy_ndarray().astype("<f4", order="C").tobytes()) if len(own) else 0
                 spans = zlib.crc32(np.stack([begin.to_numpy(), end.to_numpy()], 1).astype("<i4").tobytes())
                 feature = f"frames={b.column(3)[n]};segments={len(own)};spans={spans:08x};mel={digest:08x}"
                 for key, value in zip(out, (b.column(0)[n].as_py(), b.column(1)[n].as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature), strict=True):

@@ -28,16 +28,21 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
 
 
-def poisson(rate: Column, u: Column) -> Column:
-    """The least k at which the distribution function exceeds u, by summing terms upward; rate at most PART."""
+def distribution(rate: Column) -> Column:
+    """The Poisson distribution function at 0, 1, 2 ... for a rate of at most PART, until 12 deviations and 30 above it."""
     most = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct(F.lit(0).alias("k"), F.exp(-rate).alias("p"), F.exp(-rate).alias("c"))
+    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c"))
 
     def step(acc: Column, j: Column) -> Column:
         p = acc["p"] * rate / j
-        return F.when(acc["c"] > u, acc).otherwise(F.struct(j.alias("k"), p.alias("p"), (acc["c"] + p).alias("c")))
+        return F.struct(p.alias("p"), F.concat(acc["c"], F.array(F.element_at(acc["c"], -1) + p)).alias("c"))
 
-    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda acc: acc["k"])
+    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda acc: acc["c"])
+
+
+def invert(table: Column, u: Column) -> Column:
+    """The least k at which the distribution function exceeds u: as many as its values that don't."""
+    return F.least(F.size(F.filter(table, lambda c: c <= u)), F.size(table) - 1)
 
 
 def repetition_rates(documents: DataFrame, temperature: float = 0.5, targets: dict[str, float] | None = None) -> DataFrame:
@@ -59,13 +64,14 @@ def mix_sources(documents: DataFrame, temperature: float = 0.5, targets: dict[st
     """Every column of ``documents`` in a struct ``doc``, with ``copy`` (from 1), ``copies`` and ``position`` (0 to 1)."""
     rates = repetition_rates(documents.select("source", "text"), temperature, targets)
     # written: both sides of the join are then plain, so a source of a third of all rows can be split among tasks
-    rates = materialize(rates.select(F.col("source").alias("rate_of"), "rate"), "rates")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")
+    rates = rates.select(F.col("source").alias("rate_of"), "rate", parts.alias("parts"), distribution(F.col("rate") / parts).alias("table"))
+    rates = materialize(rates, "rates")
     rows = documents.select(F.col("source").alias("of"), F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("doc"))
     joined = rows.join(rates, F.col("of").eqNullSafe(F.col("rate_of")))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")
-    part = F.col("rate") / parts
-    drawn = F.transform(F.sequence(F.lit(1), parts), lambda i: poisson(part, uniform(F.lit(seed), F.col("doc.doc_id"), F.md5(F.coalesce(F.col("doc.text"), F.lit(""))), i)))
-    counted = joined.withColumn("copies", F.aggregate(drawn, F.lit(0), lambda a, x: a + x)).where("copies > 0")
+    drawn = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda i: uniform(F.lit(seed), F.col("doc.doc_id"), F.md5(F.coalesce(F.col("doc.text"), F.lit(""))), i))
+    numbers = joined.withColumn("u", drawn)
+    counted = numbers.withColumn("copies", F.aggregate("u", F.lit(0), lambda a, u: a + invert(F.col("table"), u))).where("copies > 0")
     copies = counted.select("doc", "copies", "rate", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     placed = copies.withColumn("position", uniform(F.lit(seed + 1), F.col("doc.doc_id"), F.xxhash64(F.col("doc.text")), F.col("copy")))
     return placed.repartition(F.col("position")).sortWithinPartitions("position")

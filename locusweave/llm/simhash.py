@@ -1,8 +1,8 @@
 """SimHash near-duplicates: pigeonhole blocks of fingerprints, verified Hamming distances, components.
 
 Null and empty texts (and texts of white space) have the fingerprint zero; texts of fewer words than a shingle are one
-shingle. Rows without a doc_id take no part. Repeated rows are one document. Extra columns are ignored, whatever their
-names. An empty table gives an empty result.
+shingle. Every row gives a row: repeated rows the same one each time, rows without a doc_id their fingerprint and no component;
+these link nothing. Extra columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def fingerprints_of(texts: list[bytes], words: int, lanes: int = 1, distinct: bo
 
 
 def fingerprint_table(documents: DataFrame, words: int, lanes: int = 1, distinct: bool = False) -> DataFrame:
-    """(doc_id, fp binary) of every document."""
+    """(doc_id, fp binary) of every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +64,7 @@ def fingerprint_table(documents: DataFrame, words: int, lanes: int = 1, distinct
             if b.num_rows:
                 yield to_batch({"doc_id": b.column(0), "fp": fingerprints_of(texts_of(b.column(1)), words, lanes, distinct)}, schema)
 
-    source = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return source.mapInArrow(run, "doc_id long, fp binary")
 
 
@@ -166,12 +166,12 @@ def near_links(distinct: DataFrame, bits: int, radius: int, blocks: int, equal:
 
 
 def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 3, lanes: int = 1, blocks: int = 5, equal: int = 2, sets: bool = False) -> DataFrame:
-    """(doc_id, fp, component_id) of every document; fingerprints within ``radius`` bits are linked.
+    """(doc_id, fp, component_id) of every row; fingerprints within ``radius`` bits are linked.
 
     Copies share a fingerprint and count as one node, so a group of copies costs one row for each task.
     """
-    prints = materialize(fingerprint_table(documents, words, lanes, sets).distinct(), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("owner")), "distinct")
+    prints = materialize(fingerprint_table(documents, words, lanes, sets), "fingerprints")
+    distinct = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("owner")), "distinct")
     # a document id may carry several texts; a node is a fingerprint, named by its smallest doc_id and, on ties, its bytes
     links = near_links(distinct.select(F.xxhash64("fp").alias("node"), "fp"), 64 * lanes, radius, blocks, equal)
     found = components(links)
@@ -180,7 +180,8 @@ def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 3, lanes
     least = named.groupBy("component").agg(F.min("owner").alias("component_id"))
     least = least.select(F.bitwise_not("component").alias("flipped"), "component_id")
     classes = named.withColumn("flipped", F.bitwise_not("component")).join(least, "flipped").select("fp", "component_id")
-    return prints.join(materialize(classes, "classes"), "fp").select("doc_id", "fp", "component_id")
+    found = prints.join(materialize(classes, "classes"), "fp", "left")
+    return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def drop_near_duplicates(documents: DataFrame, similarity: float = 0.8) -> DataFrame:

@@ -25,18 +25,18 @@ from pyspark.sql import functions as F
 
 from .common import materialize, row_key, table, texts_of, to_batch
 
-REACH, EVERY, LONGEST = 2, 4, 64
+REACH, EVERY = 2, 4
 
 
-def chunk_bounds(lines: list[bytes], reach: int = REACH, every: int = EVERY, longest: int = LONGEST) -> list[int]:
-    """Line numbers behind which chunks end; a chunk of ``longest`` lines ends in any case."""
+def chunk_bounds(lines: list[bytes], reach: int = REACH, every: int = EVERY) -> list[int]:
+    """Line numbers behind which chunks end, by the lines there alone, so the same passage is cut alike wherever it stands."""
     hashes = [xxhash.xxh3_64_intdigest(x) for x in lines]
     ends, low, mask = [], 0, (1 << 64) - 1
     for i in range(len(lines)):
         rolled = 0
         for h in hashes[max(0, i - reach + 1) : i + 1]:
             rolled = (rolled * 0x9E3779B97F4A7C15 + h) & mask
-        if (rolled >> 32) % every == 0 and i - low >= 1 or i - low + 1 >= longest:
+        if (rolled >> 32) % every == 0 and i - low >= 1:
             ends.append(i + 1)
             low = i + 1
     if low < len(lines):

@@ -284,8 +284,16 @@ def test_mixing(documents, corpus, empty):
     assert got == +want and mixing.mix_sources(empty).count() == 0
 
 
+def test_inversion_takes_the_least_number(spark):
+    """At and beside the distribution function's values, and where rounding leaves its end below u."""
+    table = [0.25, 0.5, 0.75, 0.9]
+    rows = [(u, min(3, sum(c <= u for c in table))) for u in (0.0, 0.2499, 0.25, 0.5, 0.74, 0.75, 0.9, 0.99)]
+    got = spark.createDataFrame(rows, "u double, want int").select("want", mixing.invert(F.array(*[F.lit(c) for c in table]), F.col("u")).alias("k")).collect()
+    assert all(x.k == x.want for x in got)
+
+
 def test_large_poisson_rates(spark):
-    rows = spark.range(4000).select(mixing.poisson(F.lit(200.0), mixing.uniform(F.col("id"))).alias("k"))
+    rows = spark.range(4000).select(mixing.invert(mixing.distribution(F.lit(200.0)), mixing.uniform(F.col("id"))).alias("k"))
     r = rows.agg(F.avg("k").alias("m"), F.variance("k").alias("v")).first()
     assert abs(r.m - 200) < 1.5 and abs(r.v - 200) < 25
 
@@ -313,8 +321,10 @@ def test_simhash(documents, corpus, empty, tile, monkeypatch):
             if a < b and (prints[a] ^ prints[b]).bit_count() <= 3:
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    got = {r.doc_id: (bytes(r.fp).hex(), r.component_id) for r in simhash.near_duplicates(documents).collect()}
+    rows = simhash.near_duplicates(documents).collect()
+    got = {r.doc_id: (bytes(r.fp).hex(), r.component_id) for r in rows if r.doc_id is not None}
     assert got == {d: (f"{prints[d]:016x}", find(d)) for d in prints}
+    assert Counter(r.doc_id for r in rows) == Counter(d for d, *_ in corpus) and {r.component_id for r in rows if r.doc_id is None} == {None}
     assert simhash.near_duplicates(empty).count() == 0
 
 
@@ -651,3 +661,85 @@ def test_bitmaps_never_exceed_the_difference():
             assert jaccard.differing(jaccard.wide(a), jaccard.wide(b)) <= len(np.setxor1d(a, b))
             if share < 0.5 and min(len(a), len(b)) > jaccard.BITS:
                 assert jaccard.differing(jaccard.wide(a), jaccard.wide(b)) * 9 > len(a) + len(b)
+
+
+def test_registered_queries(spark, corpus, tmp_path):
+    """Each opN query on tables with nulls, empties, repeats and clashing columns: rows, columns, and SQL where there is some."""
+    duckdb = pytest.importorskip("duckdb")
+    from locusweave import llm
+
+    # an oracle of one row a doc_id needs distinct ids
+    rows = {d: (d, t, lang, s, n, 1, "clash", 7) for d, t, lang, s, n, *_ in corpus if d is not None}
+    spark.createDataFrame(list(rows.values()), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    r = np.random.default_rng(1)
+    vectors = [(i, [float(v) for v in r.normal(size=6)], "clash") for i in range(120)] + [(150, None, "clash"), (151, [float("nan")] * 6, "clash")]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>, score string").write.parquet(str(tmp_path / "embeddings.parquet"))
+    db = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    for name, sql in llm.oracle_sql().items():
+        got = llm.queries()[name](spark, str(tmp_path))
+        cursor = db.execute(sql)
+        order = [c[0] for c in cursor.description]
+        assert sorted(order) == sorted(got.columns)
+        assert Counter(tuple(x) for x in got.select(*order).collect()) == Counter(cursor.fetchall())
+    kept = lines.dedup_passages(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    kept = {x.doc_id: x.text or "" for x in kept.collect()}
+    got = {x.doc_id: tuple(x) for x in lines.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {d: (d, len(t or ""), len(t or "") - len(kept[d]), hashlib.sha256(kept[d].encode()).hexdigest()) for d, (_, t, *_) in rows.items()}
+
+
+def test_media_digests(spark, corpus, tmp_path, empty):
+    """Every column of the registered query but the features, which equal texts share."""
+    spark.createDataFrame(corpus, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got, want, seen = audio.op8_media_columns(spark, str(tmp_path)), Counter(), {}
+    assert got.columns == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    for d, t, *_ in corpus:
+        raw = (t or "").encode()
+        payload = raw.ljust(max(192, -(-len(raw) // 192) * 192))
+        media = audio.to_wav(payload)
+        want[d, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest()] += 1
+    rows = got.collect()
+    assert Counter(tuple(x)[:7] for x in rows) == want
+    for x in rows:
+        assert seen.setdefault(x.payload_sha256, x.feature) == x.feature and x.feature.startswith("frames=")
+    assert len(set(seen.values())) > 10 and audio.audio_column(empty).count() == 0
+
+
+def test_stages_on_odd_rows(spark, corpus, tmp_path):
+    """Nulls, empties, long texts, ties and repeats through every stage; toxic documents go, clean ones stay; an empty table."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(21)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    plain = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(200):
+        w = [r.choice(plain) for _ in range(60)]
+        if i % 4 == 0:
+            w[::9] = ["zug" + r.choice(["hal", "mor"]) for _ in w[::9]]
+        rows.append((1000 + i, " ".join(w), "en", f"s{i % 3}", 1))
+        labels.append((1000 + i, 1, int(i % 4 == 0)))
+    odd = [x[:5] for x in corpus]
+    spark.createDataFrame(rows + odd, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "line_dedup", "near_dedup", "mixing", "packing"]
+    clean = stages["toxicity"](spark, docs, str(tmp_path))
+    assert Counter(x.doc_id for x in clean.collect()) == Counter(d for d, *_ in rows + odd if d is None or d < 1000 or (d - 1000) % 4)
+    assert clean.columns == docs.columns
+    seen = stages["line_dedup"](spark, clean, str(tmp_path))
+    assert seen.count() == clean.count() and seen.columns == docs.columns
+    near = stages["near_dedup"](spark, seen, str(tmp_path))
+    texts = Counter(x.text for x in near.where("doc_id is not null").collect() if x.text and len(x.text.split()) > 20)
+    assert near.columns == docs.columns and {d for d, *_ in rows if (d - 1000) % 4} <= {x.doc_id for x in near.collect()} and len(texts) > 150
+    mixed = stages["mixing"](spark, near, str(tmp_path))
+    assert mixed.columns == docs.columns
+    assert {tuple(x) for x in mixed.collect()} <= {tuple(x) for x in near.collect()}
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    placed = stages["packing"](spark, mixed, str(tmp_path))
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert Counter(tuple(x) for x in found.select(*key).collect()) == Counter(tuple(x) for x in placed.select(*key).collect())
+    none = spark.createDataFrame([], schema)
+    for name in stages:
+        assert stages[name](spark, none, str(tmp_path)).count() == 0

@@ -83,7 +83,8 @@ def read_aggregation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     lines = spark.read.csv(path, sep="\t", schema=schema, comment="#").where((F.col("grp") != first) | (F.col("component") != second)).withColumn("at", F.monotonically_increasing_id())
     offset = F.row_number().over(Window.partitionBy("component").orderBy("at")) - 1  # a component has some hundred lines
     cells = F.array(*[F.struct(F.lit(x).alias("label"), F.col(f"c{i}").alias("n")) for i, x in enumerate(names)])
-    return lines.select("component", offset.alias("offset"), F.explode(cells).alias("c")).select("c.label", "component", "offset", "c.n"), bases
+    placed = lines.withColumn("offset", offset)
+    return placed.select("component", "offset", F.explode(cells).alias("c")).select("c.label", "component", "offset", "c.n"), bases
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:

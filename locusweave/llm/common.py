@@ -59,10 +59,10 @@ def row_key(*columns: str):
 def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, most: int = 10_000) -> DataFrame:
     """Inner join where ``right``, one row a key, knows how many of ``left``'s ``total`` rows a key has (column ``n``).
 
-    Keys of more than a ``most``-th of the rows, fewer than ``most`` of them, are sent to where the rows are; the others are joined
-    by key, with no key beyond that share in a task. ``left`` and ``right`` are read more than once, so they should be written tables.
+    Keys of more than a ``most``-th of the rows are fewer than ``most``, whatever the tables' sizes: they are sent to where the rows
+    are. The others are joined by key, with no key beyond that share in a task. ``left`` and ``right`` are read more than once, so they should be written tables.
     """
-    bound = max(most, total / most)
+    bound = total / most
     large = right.where(F.col(n) > bound)
     there = left.join(F.broadcast(large), keys)
     rest = left.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(right.where(F.col(n) <= bound), keys)

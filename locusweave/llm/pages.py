@@ -37,7 +37,7 @@ CONTENT_PAGES, CONTENT_SHARE = 5, 0.2
 SHAPE_PAGES, SHAPE_SHARE, ALL_SHARE = 3, 0.01, 0.001
 #: A host's pages are dealt into parts of about LOT pages, or of a DEALT-th of all pages if that is more; so at most DEALT hosts,
 #: whose names are broadcast, have more than one part.
-LOT, DEALT = 5_000, 50_000
+LOT, DEALT = 500, 50_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

@@ -189,6 +189,51 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     return w
 
 
+class _Lot:
+    """Whole documents of the sample, laid out in a grid, that a step of the fit goes through at a time."""
+
+    def __init__(self, sizes: np.ndarray, weight: np.ndarray, label: np.ndarray, features: list[np.ndarray]):
+        rows = -(-sizes // ROW)
+        place = np.arange(len(label)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        first = np.cumsum(rows) - rows
+        self.cell = (np.repeat(first, sizes) + place // ROW) * ROW + place % ROW
+        self.turn = np.arange(rows.sum()) - np.repeat(first, rows)
+        heavy = np.repeat(weight, rows)
+        self.own_weight, self.label = heavy[self.cell // ROW], label
+        self.at = np.concatenate([np.flatnonzero(f >= 0) for f in features])
+        self.feature = np.concatenate([f[f >= 0] for f in features])
+        self.live = np.zeros((len(self.turn), ROW), bool)
+        self.live.ravel()[self.cell] = True
+        # neighbours: within a row, and from a row's last word to the first of the document's next row
+        self.over = np.flatnonzero(self.turn > 0)
+        pairs = np.concatenate([((self.live[:, :-1] & self.live[:, 1:]) * heavy[:, None]).ravel(), heavy[self.over]])
+        self.used = np.flatnonzero(pairs)
+        self.pairs = pairs[self.used]
+        truth = np.zeros(self.live.shape, bool)
+        truth.ravel()[self.cell] = label
+        y0, y1 = self.before(truth), self.behind(truth)
+        self.real = np.array([[self.pairs[(y0 == i) & (y1 == j)].sum() for j in (False, True)] for i in (False, True)])
+
+    def before(self, z: np.ndarray) -> np.ndarray:
+        return np.concatenate([z[:, :-1].ravel(), z[self.over - 1, -1]])[self.used]
+
+    def behind(self, z: np.ndarray) -> np.ndarray:
+        return np.concatenate([z[:, 1:].ravel(), z[self.over, 0]])[self.used]
+
+    def gradient(self, weights: np.ndarray, bias: float, moves: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        """Sums over the lot: by feature, for the bias, and the transitions that the model expects."""
+        x = np.zeros(self.live.shape, np.float32)
+        x.ravel()[self.cell] = bias + np.bincount(self.at, weights=weights[self.feature], minlength=len(self.label))
+        before, after, own = forward_backward(x, self.live, moves, self.turn)
+        odds = (before * after).ravel()[self.cell]
+        error = (self.label - odds / (1 + odds)) * self.own_weight
+        a = np.exp(moves)
+        r, later = self.before(before), self.behind(own * after)
+        joint = np.stack([np.full(len(r), a[0, 0]), a[0, 1] * later, a[1, 0] * r, a[1, 1] * r * later])
+        joint *= self.pairs / joint.sum(0)
+        return np.bincount(self.feature, weights=error[self.at], minlength=len(weights)), float(error.sum()), joint.sum(axis=1).reshape(2, 2)
+
+
 def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 25) -> Model:
     """Lexicon, CRF and logistic unit; every third document is kept from the CRF for the unit."""
     model = Model(np.zeros(1 << 20, np.float32), share=float((toxic.sum() + 0.5) / (len(toxic) + 1)))
@@ -227,71 +272,43 @@ def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 25) -> Model:
     odds[0] = 0
     # labelled tokens; documents without a known feature only teach the bias and the transitions, so a tenth of them, weighted, does
     rng = np.random.default_rng(3)
-    known = odds != 0
-    sizes, weight, label, at, feature, offset = [], [], [], [], [], 0
-    for features, doc, first, y in tokens:
-        strength = np.max([odds[f] for f in features], axis=0) if len(doc) else np.zeros(0)
-        busy = np.bincount(doc, weights=strength > 0.7, minlength=len(y)) > 0
-        kept = (busy | (rng.random(len(y)) < 0.1)) & (np.diff(first) > 0)
-        mine = np.flatnonzero(kept[doc])
-        for f in features:
-            own = np.flatnonzero(known[f[mine]])
-            at.append(own + offset)
-            feature.append(f[mine][own])
-        label.append((strength >= 1.5)[mine] & (y[doc[mine]] == 1))
-        sizes.append(np.diff(first)[kept])
-        weight.append(np.where(busy, 1.0, 10.0)[kept])
-        offset += len(mine)
-    tokens.clear()
-    if not offset:
+    known = np.flatnonzero(odds)
+    number = np.full(1 << 20, -1, np.int32)
+    number[known] = np.arange(len(known))
+    lots = []
+    while tokens:
+        features, doc, first, y = tokens.pop(0)
+        if len(doc):
+            strength = np.max([odds[f].astype(np.float32) for f in features], axis=0)
+            busy = np.bincount(doc, weights=strength > 0.7, minlength=len(y)) > 0
+            kept = (busy | (rng.random(len(y)) < 0.1)) & (np.diff(first) > 0)
+            mine = np.flatnonzero(kept[doc])
+            if len(mine):
+                label = (strength >= 1.5)[mine] & (y[doc[mine]] == 1)
+                lots.append(_Lot(np.diff(first)[kept], np.where(busy, 1.0, 10.0)[kept], label, [number[f[mine]] for f in features]))
+    if not lots:
         return model
-    sizes, at, feature = np.concatenate(sizes), np.concatenate(at), np.concatenate(feature)
-    label = np.concatenate(label).astype(np.float64)
-    rows = -(-sizes // ROW)
-    place = np.arange(offset) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    row = np.repeat(np.cumsum(rows) - rows, sizes) + place // ROW
-    place %= ROW
-    turn = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
-    heavy = np.repeat(np.concatenate(weight), rows)
-    own_weight = heavy[row]
-    live, truth = np.zeros((len(turn), ROW), bool), np.zeros((len(turn), ROW))
-    live[row, place], truth[row, place] = True, label
-    # neighbours: within a row, and from a row's last word to the first of the document's next row
-    both = (live[:, :-1] & live[:, 1:]) * heavy[:, None]
-    over = np.flatnonzero(turn > 0)
-
-    def across(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate([first[:, :-1].ravel(), first[over - 1, -1]]), np.concatenate([second[:, 1:].ravel(), second[over, 0]])
-
-    pairs = np.concatenate([both.ravel(), heavy[over]])
-    used = np.flatnonzero(pairs)
-    pairs = pairs[used]
-    y0, y1 = (z[used] for z in across(truth, truth))
-    real = np.array([[pairs[(y0 == i) & (y1 == j)].sum() for j in (0, 1)] for i in (0, 1)])
-    total = own_weight.sum()
-    model.bias = float(np.log((label @ own_weight + 1) / (total - label @ own_weight + 1)))
-    slow = [np.zeros(1 << 20), 0.0, np.zeros((2, 2))]
-    x = np.zeros(live.shape, np.float32)
+    total, toxic_words = sum(x.own_weight.sum() for x in lots), sum(x.own_weight[x.label].sum() for x in lots)
+    real, steps = sum(x.real for x in lots), sum(x.pairs.sum() for x in lots)
+    model.bias = float(np.log((toxic_words + 1) / (total - toxic_words + 1)))
+    weights = np.zeros(len(known))
+    slow = [np.zeros(len(known)), 0.0, np.zeros((2, 2))]
     for _ in range(rounds):
-        x[row, place] = model.bias + np.bincount(at, weights=model.weights[feature], minlength=offset)
-        before, after, own = forward_backward(x, live, model.moves, turn)
-        odds_here = (before * after)[row, place]
-        error = (label - odds_here / (1 + odds_here)) * own_weight
-        g = np.where(known, np.bincount(feature, weights=error[at], minlength=1 << 20) - 0.02 * model.weights, 0)
-        a = np.exp(model.moves)
-        r, later = (z[used] for z in across(before, own * after))
-        joint = np.stack([np.full(len(r), a[0, 0]), a[0, 1] * later, a[1, 0] * r, a[1, 1] * r * later])
-        joint *= pairs / joint.sum(0)
-        move = (real - joint.sum(axis=1).reshape(2, 2)) / max(1.0, pairs.sum()) - 0.001 * model.moves
-        for k, (step, rate) in enumerate(((g, 0.5), (error.sum() / total, 0.2), (move, 0.2))):
+        sums = [x.gradient(weights, model.bias, model.moves) for x in lots]
+        g = sum(x[0] for x in sums) - 0.02 * weights
+        bias = sum(x[1] for x in sums) / total
+        move = (real - sum(x[2] for x in sums)) / max(1.0, steps) - 0.001 * model.moves
+        for k, (step, rate) in enumerate(((g, 0.5), (bias, 0.2), (move, 0.2))):
             slow[k] = slow[k] + step**2
             step = rate * step / (np.sqrt(slow[k]) + 1e-8)
             if k == 0:
-                model.weights = (model.weights + step).astype(np.float32)
+                weights = weights + step
             elif k == 1:
                 model.bias += float(step)
             else:
                 model.moves = model.moves + step
+    model.weights[known] = weights
+    lots.clear()
     rest = np.flatnonzero(part == 1)
     inputs = []
     for low, high in slices([texts[i] for i in rest]):
@@ -326,8 +343,9 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: i
             chosen.append((r["id"], r["h"], r["toxic"]))
     wanted = documents.sparkSession.createDataFrame(chosen, "id long, h long, toxic int")
     found = source.withColumn("h", F.xxhash64("text")).join(F.broadcast(wanted), ["id", "h"]).dropDuplicates(["id", "h"]).orderBy(order, "id", "h").select("text", "toxic").toArrow()
-    raw = texts_of(found.column("text").combine_chunks()) if found.num_rows else []
-    return fit(raw, np.asarray(found.column("toxic").to_pylist(), np.int64).clip(0, 1))
+    raw, toxic = texts_of(found.column("text").combine_chunks()) if found.num_rows else [], found.column("toxic").to_pylist()
+    del found
+    return fit(raw, np.asarray(toxic, np.int64).clip(0, 1))
 
 
 _SPAN = pa.struct([("begin", pa.int64()), ("stop", pa.int64()), ("probability", pa.float64())])

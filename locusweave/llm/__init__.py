@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, lines, mixing, packing, pages, secrets, simhash, substrings, topk, toxicity
+from . import audio, lexical, lines, mixing, packing, pages, secrets, simhash, substrings, tokens, topk, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         audio.op8_media_columns,
         pages.op9_html_extraction,
         secrets.op10_secret_scan,
+        whitening.op11_whitening,
+        lexical.op12_lexical_search,
+        tokens.op13_token_counts,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substrings.ORACLE, "op2_exact_topk": topk.ORACLE, "op5_mixing": mixing.ORACLE}
+    return {"op1_substring_dedup": substrings.ORACLE, "op2_exact_topk": topk.ORACLE, "op5_mixing": mixing.ORACLE, "op12_lexical_search": lexical.ORACLE}

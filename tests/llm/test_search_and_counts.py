@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -124,7 +125,7 @@ def test_search_scores_few_blocks(spark):
     docs = [(i, " ".join(r.choice("abcdefghij") for _ in range(30)) + (" rare words stand here" if i % 100 == 0 else "")) for i in range(2000)]
     lot = lexical.Lot([(1, "rare words stand here a")])
     df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
-    index = lexical.forward(df, lot, lexical.statistics(df), f"{shared_dir(spark)}/few-blocks")
+    index = lexical.forward(df, lot, lexical.statistics(df), f"{shared_dir(spark)}/few-blocks-{uuid.uuid4().hex}")
     lot.weigh(lexical.document_counts(index, lot), 2000)
     batch = index.toArrow().combine_chunks().to_batches()[0]
     part = lexical.Part(batch, 0, batch.num_rows)

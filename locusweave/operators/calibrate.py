@@ -57,6 +57,25 @@ def curves(points: DataFrame) -> DataFrame:
     return points.select("k", "b", "x", "y").groupBy("k").applyInPandas(fit, "k string, x double, f double")
 
 
+def interpolation(fits: DataFrame):
+    """A column function of (label, posterior): the value there of the label's curve of (k, x, f) points; null without a curve."""
+    fitted = {}
+    for k, part in fits.toPandas().groupby("k"):
+        part = part.sort_values("x")
+        fitted[k] = (part["x"].to_numpy(), part["f"].to_numpy())
+
+    @F.pandas_udf("double")
+    def at_curve(label: pd.Series, p: pd.Series) -> pd.Series:
+        out = np.full(len(p), np.nan)
+        values = p.to_numpy(float)
+        for k, (x, f) in fitted.items():
+            own = (label == k).to_numpy()
+            out[own] = np.interp(values[own], x, f)
+        return pd.Series(out)
+
+    return at_curve
+
+
 def matches_of(pairs: DataFrame, labels: Sequence[str], w: int, threshold: float) -> dict[str, list[str]]:
     """The correspondence on the driver: at most K x K labels."""
     found: dict[str, list[str]] = {}
@@ -71,19 +90,6 @@ def r_values(pairs: DataFrame, labels: Sequence[str], w: int = 5, threshold: flo
     Curves (at most ``bins`` points or a few more for each label) are the only thing that comes to the driver.
     """
     matches = matches_of(pairs, labels, w, threshold) if matches is None else matches
-    fitted = {}
-    for k, part in curves(strata(pairs, labels, matches, w, bins)).toPandas().groupby("k"):
-        part = part.sort_values("x")
-        fitted[k] = (part["x"].to_numpy(), part["f"].to_numpy())
-
-    @F.pandas_udf("double")
-    def at_curve(label: pd.Series, p: pd.Series) -> pd.Series:
-        out = np.full(len(p), np.nan)
-        values = p.to_numpy(float)
-        for k, (x, f) in fitted.items():
-            own = (label == k).to_numpy()
-            out[own] = np.interp(values[own], x, f)
-        return pd.Series(out)
-
+    at_curve = interpolation(curves(strata(pairs, labels, matches, w, bins)))
     own = F.array_max("p1")
     return pairs.select("idx", "chr", "start", "end", F.col("m1").alias("map"), at_curve("m1", own).alias("r_value"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import queries as base
+from . import queries_enrich as more
+from . import queries_labels as labels
 from . import queries_profiles as profile_queries
-from .operators import concordance, fits, match, overlap
+from .operators import concordance, fits, match, overlap, progress, sweeps
 from .plans.adapters import LABELS, paired
-from .queries import query, r6
+from .queries import BINS, TO, W, query, r6
 
 
 def _orthogonal(source: str, degree: int, key: str = "k") -> str:
@@ -64,3 +66,60 @@ def _(spark, d):
 def _(spark, d):
     rows = profile_queries._rx(spark, d).withColumn("r_value", F.round("r_value", 9))
     return r6(concordance.kendall(rows, "map", "r_value", "tpm"), "tau")
+
+
+_SIDE = """, vi{a} AS (SELECT w, t.idx, t.m{a} AS k, u.m{b} AS j, bool_or(w = 0 OR u.idx < (SELECT n - 1 FROM n)) AS counts FROM wn, t JOIN t u ON u.idx BETWEEN t.idx - w AND t.idx + greatest(w - 1, 0) GROUP BY ALL)
+, jo{a} AS (SELECT wn.w, kj.k, kj.j, ja, count(x.idx) AS o FROM wn, kj LEFT JOIN vi{a} x ON x.w = wn.w AND x.k = kj.k AND x.j = kj.j AND x.counts GROUP BY wn.w, kj.k, kj.j, ja)
+, ma{a} AS (SELECT w, k, j, o / nullif(n1 + n2 - o, 0) AS iou, row_number() OVER (PARTITION BY w, k ORDER BY o / nullif(n1 + n2 - o, 0) DESC NULLS LAST, ja) AS rn FROM jo{a} JOIN (SELECT m{a} AS k, CAST(count(*) AS DOUBLE) AS n1 FROM t GROUP BY 1) USING (k) JOIN (SELECT m{b} AS j, CAST(count(*) AS DOUBLE) AS n2 FROM t GROUP BY 1) USING (j))
+, re{a} AS (SELECT w, idx, max(CASE WHEN rn = 1 THEN 2 ELSE iou END) AS top FROM vi{a} JOIN ma{a} USING (w, k, j) GROUP BY w, idx)"""
+_GRID_SQL = ", wn AS (SELECT CAST(unnest([0, 1, 2, 5, 8]) AS INTEGER) AS w), th AS (SELECT unnest([0.3, 0.5, 0.7, 0.75, 0.8, 0.9])::DOUBLE AS t)" + _SIDE.format(a=1, b=2) + _SIDE.format(a=2, b=1) + """, kp AS (SELECT w, th.t AS t, m1 AS k, m2 AS j, count(*) AS o FROM re1 JOIN re2 USING (w, idx) JOIN t ON t.idx = re1.idx, th WHERE least(re1.top, re2.top) > th.t GROUP BY ALL)
+, kn AS (SELECT w, t, sum(o) AS m FROM kp GROUP BY w, t)
+, ki AS (SELECT w, t, sum(o / m * log2(o / m / (r / m * (c / m)))) AS mi FROM (SELECT *, sum(o) OVER (PARTITION BY w, t, k) AS r, sum(o) OVER (PARTITION BY w, t, j) AS c FROM kp) JOIN kn USING (w, t) GROUP BY w, t)
+, kh AS (SELECT w, t, -sum(c / m * log2(c / m)) AS h FROM (SELECT w, t, j, sum(o) AS c FROM kp GROUP BY ALL) JOIN kn USING (w, t) GROUP BY w, t)
+, ha AS (SELECT k, j, o FROM h0 WHERE o > 0)
+SELECT wn.w, th.t, round(coalesce(m, 0) / CAST(n AS DOUBLE), 6) AS kept, round(""" + more._NMI.format(h="ha") + """, 6) AS before, round(CASE WHEN h > 0 THEN mi / h ELSE CASE WHEN m IS NOT NULL THEN 0 END END, 6) AS after FROM n, wn CROSS JOIN th LEFT JOIN kn ON kn.w = wn.w AND kn.t = th.t LEFT JOIN ki ON ki.w = wn.w AND ki.t = th.t LEFT JOIN kh ON kh.w = wn.w AND kh.t = th.t"""
+
+
+@query("nmi_grid", _GRID_SQL)
+def _(spark, d):
+    return r6(sweeps.nmi_grid(paired(spark, d), LABELS, [0.3, 0.5, 0.7, 0.75, 0.8, 0.9], [0, 1, 2, 5, 8]), "kept", "before", "after")
+
+
+def _merge_steps(steps: int, curve: bool) -> str:
+    """CTEs z1, z2, ...: each has the facts of one number of labels and the groups of labels (a1, a2) after the next merges.
+
+    A step names its own groups' rows ``t`` and reads the tables of every query again, over those.
+    """
+    groups = "list_transform(a{0}, lambda g: list_sum(list_transform(g, lambda i: p{0}[i]))) AS p{0}"
+    names = f"list_transform(a{{0}}, lambda g: array_to_string(list_transform(g, lambda i: ({base._LIST})[i]), '+')) AS n{{0}}"
+    tables = base.WITH[base.WITH.index(" n AS (SELECT count") :]
+    tables = tables.replace(f" l AS (SELECT unnest({base._LIST}) AS k, unnest([0, 1, 2, 3, 4]) AS la),", " l AS (SELECT unnest(n1) AS k, unnest(range(len(n1))) AS la FROM nm), l2 AS (SELECT unnest(n2) AS k, unnest(range(len(n2))) AS la FROM nm),")
+    tables = tables.replace("FROM l a, l b", "FROM l a, l2 b").replace("FROM l LEFT JOIN t ON m2 = k", "FROM l2 LEFT JOIN t ON m2 = k")
+    gain = "(WITH " + labels._GAIN[2:] + " SELECT xa, ya FROM gn ORDER BY g DESC, xa, ya LIMIT 1)"
+    mirror = gain.replace("FROM h0", "FROM ht").replace("mg, h0 GROUP", "mg, ht GROUP").replace("h0.k", "ht.k").replace("FROM l x, l y", "FROM l2 x, l2 y")
+    after = "list_concat(list_filter(a{0}, lambda g, i: i <> b{0}.xa + 1 AND i <> b{0}.ya + 1), [list_concat(a{0}[b{0}.xa + 1], a{0}[b{0}.ya + 1])]) AS a{0}"
+    info = "(SELECT sum(o * log2(o / (r * c))) FROM (SELECT o, sum(o) OVER (PARTITION BY k) AS r, sum(o) OVER (PARTITION BY j) AS c FROM h0) WHERE o > 0)"
+    entropy = "(SELECT -sum(x * log2(x)) FROM (SELECT sum(o) AS x FROM h0 GROUP BY {0}) WHERE x > 0)"
+    shares = ", (SELECT avg(CASE WHEN r >= 0.9 THEN 1.0 ELSE 0.0 END) FROM rv) AS robust, (SELECT avg(r) FROM rv) AS mean_r" if curve else ""
+    out = ", z0 AS (SELECT [[1], [2], [3], [4], [5]] AS a1, [[1], [2], [3], [4], [5]] AS a2)"
+    for i in range(1, steps + 1):
+        out += f", z{i} AS MATERIALIZED (WITH nm AS (SELECT {names.format(1)}, {names.format(2)}, a1, a2 FROM z{i - 1}), tp AS (SELECT idx, chr, s, e, {groups.format(1)}, {groups.format(2)} FROM t, nm), t AS MATERIALIZED (SELECT tp.*, n1[list_position(p1, list_max(p1))] AS m1, n2[list_position(p2, list_max(p2))] AS m2 FROM tp, nm),"
+        out += tables + (base._CURVE if curve else "") + f", ht AS (SELECT j AS k, k AS j, o FROM h0), b1 AS {gain}, b2 AS {mirror}"
+        out += f" SELECT CAST(len(n1) AS INTEGER) AS labels, {entropy.format('k')} AS entropy, {info} AS mi, {info} / {entropy.format('j')} AS nmi, (SELECT sum(x) FROM (SELECT max(o) AS x FROM h0 GROUP BY k)) AS naive{shares}, {after.format(1)}, {after.format(2)} FROM nm, b1, b2)"
+    return out
+
+
+def _progress(curve: bool) -> str:
+    columns = ["entropy", "mi", "nmi", "naive", *(["robust", "mean_r"] if curve else [])]
+    rows = " UNION ALL ".join(f"SELECT * EXCLUDE (a1, a2) FROM z{i}" for i in range(1, 5))
+    return _merge_steps(4, curve) + " SELECT labels, " + ", ".join(f"round({c}, 6) AS {c}" for c in columns) + f" FROM ({rows})"
+
+
+base.SQL["merge_progress"] = base.WITH + _progress(False)
+base.SQL["keep_states"] = base.WITH + _merge_steps(2, False) + f", ks AS (SELECT {', '.join(f'list_transform(a{i}, lambda g: list_sum(list_transform(g, lambda i: p{i}[i]))) AS p{i}, list_transform(a{i}, lambda g: array_to_string(list_transform(g, lambda i: ({base._LIST})[i]), chr(43))) AS n{i}' for i in (1, 2))} FROM t, z2) SELECT n1[list_position(p1, list_max(p1))] AS m1, n2[list_position(p2, list_max(p2))] AS m2, count(*) AS n FROM ks GROUP BY ALL"
+
+
+@query("calibrated_progress", _progress(True))
+def _(spark, d):
+    found = progress.calibrated_progress(paired(spark, d), LABELS, W, TO, BINS)
+    return spark.createDataFrame([(n, *(round(x, 6) for x in rest)) for n, *rest in found], "labels int, entropy double, mi double, nmi double, naive double, robust double, mean_r double")

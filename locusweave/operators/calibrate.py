@@ -93,3 +93,29 @@ def r_values(pairs: DataFrame, labels: Sequence[str], w: int = 5, threshold: flo
     at_curve = interpolation(curves(strata(pairs, labels, matches, w, bins)))
     own = F.array_max("p1")
     return pairs.select("idx", "chr", "start", "end", F.col("m1").alias("map"), at_curve("m1", own).alias("r_value"))
+
+
+def single_point(pairs: DataFrame, labels: Sequence[str], posterior: bool = True, w: int = 5, threshold: float = 0.75, robust: float = 0.9, bins: int = 500, matches: dict[str, list[str]] | None = None, prior: Column | None = None) -> DataFrame:
+    """(idx, m1, r_value, is_repr): which rows are reproduced at one setting, by calibrated posteriors or by MAP labels alone.
+
+    With ``posterior`` a row is reproduced whose r-value is ``robust`` or more. Without, one whose window shows a match of its label, or for which ``prior`` holds
+    already; ``r_value`` is null then. ``matches`` stands for those of the threshold, such as two-way ones.
+    """
+    from .spatial import reproduced
+
+    matches = matches_of(pairs, labels, w, threshold) if matches is None else matches
+    if posterior:
+        r = r_values(pairs, labels, w, threshold, bins, matches)
+        return r.select("idx", F.col("map").alias("m1"), "r_value", (F.round("r_value", 9) >= robust).alias("is_repr"))
+    found = reproduced(pairs, matches, w, hide_last=True, prior=prior)
+    return found.select("idx", "m1", F.lit(None).cast("double").alias("r_value"), "is_repr")
+
+
+def reproduced_by_map(pairs: DataFrame, labels: Sequence[str], w: int, threshold: float) -> DataFrame:
+    """(idx, m1, is_repr) by matches and windows of one width of its own: the best label by IoU at ``w``, or any above the threshold.
+
+    The window shows the table's last row too, as no joint matrix is compared with it.
+    """
+    from .spatial import reproduced
+
+    return reproduced(pairs, matches_of(pairs, labels, w, threshold), w)

@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import islands, previous, ranked, size
+from .core import by_block, halo, ranked, size
 from .match import assignment, to_array
 from .overlap import coverage, label_frame, overlap
 
@@ -38,16 +38,18 @@ def stratified(rows: DataFrame, chosen: DataFrame, bins: int, by_chosen: bool) -
     return total.select("k", "b", "low", "high", F.ln((F.col("t") / m) / (F.col("e") / n)).alias("enrichment"), (F.col("c") / F.col("e")).alias("map_share"), (F.col("s") / F.col("t")).alias("mean_tpm"))
 
 
-def binned_overlap(pairs: DataFrame, labels: Sequence[str], bins: int = 10) -> DataFrame:
+def binned_overlap(pairs: DataFrame, labels: Sequence[str], bins: int = 10, own_cells: bool = False) -> DataFrame:
     """(k, b1, j, b2, overlap, iou): shares of rows with label k's posterior in cell b1 and label j's in b2 of the other track.
 
-    Cells are half-open and of equal width over the base track's range; values outside take no part. Empty cells are left out.
+    Cells are half-open and of equal width over the base track's range, or, with ``own_cells``, over each track's own; values outside take
+    no part. Empty cells are left out.
     """
-    edge = pairs.agg(F.min(F.array_min("p1")), F.max(F.array_max("p1"))).first()
-    low, high = (0.0, 0.0) if edge[0] is None else edge
+    edge = pairs.agg(*[f(g(p)) for p in ("p1", "p2") for f, g in ((F.min, F.array_min), (F.max, F.array_max))]).first()
+    edges = {"p1": edge[:2], "p2": edge[2:] if own_cells else edge[:2]}
     n = pairs.count()
 
     def cells(p: str):
+        low, high = (0.0, 0.0) if edges[p][0] is None else edges[p]
         at = [F.struct(F.lit(x).alias("k"), F.when((F.col(p)[i] >= low) & (F.col(p)[i] < high), F.floor((F.col(p)[i] - low) / (high - low) * bins)).alias("b")) for i, x in enumerate(labels)]
         return F.filter(F.array(*at), lambda c: c["b"].isNotNull())
 
@@ -59,22 +61,40 @@ def binned_overlap(pairs: DataFrame, labels: Sequence[str], bins: int = 10) -> D
     return met.select(F.col("x.k").alias("k"), F.col("x.b").alias("b1"), F.col("y.k").alias("j"), F.col("y.b").alias("b2"), (F.col("o") / n).alias("overlap"), (F.col("o") / (F.col("n1") + F.col("n2") - F.col("o"))).alias("iou"))
 
 
-def contiguous_overlap(pairs: DataFrame, labels: Sequence[str], w: int) -> DataFrame:
-    """(k, j, joint, iou) where a row's window (offsets -w to w - 1) ends at gaps and chromosome ends; each side by itself.
+def contiguous_overlap(pairs: DataFrame, labels: Sequence[str], w: int, together: bool = False) -> DataFrame:
+    """(k, j, joint, iou) where a row's window (offsets -w to w - 1) ends at gaps of coordinates and at ends of chromosomes.
 
-    The last row of a contiguous stretch is in no window, as the table's last row elsewhere. Values are sent to the rows that
-    may see them and join on the position, so a long stretch is no hot key. Cells that nothing shows are left out.
+    Each side shrinks by itself, down to the rows next to the gap; with ``together`` a chromosome that ends within w rows (but for the table's own ends) on either side
+    shrinks both. The last row of a contiguous stretch is in no window, as the table's last row elsewhere. Blocks with a halo carry
+    the beginnings of stretches and each label's last and next place along, so no row is copied for its window. Cells that
+    nothing shows are left out. With ``together`` positions must be without gaps, as rows are counted across stretches.
     """
-    new = F.col("prev_chr").isNull() | (F.col("prev_chr") != F.col("chr")) | (F.col("prev_end") != F.col("start"))
-    rows = islands(previous(pairs.select("idx", "chr", "start", "end", "m1", "m2"), "chr", "end"), new).select("idx", "m1", "m2", "island")
-    after = rows.select((F.col("idx") - 1).alias("idx"), F.col("island").alias("next"))
-    shown = rows.join(after, "idx", "left").where("next = island").select(F.col("idx").alias("at"), F.col("m2").alias("j"), F.col("island").alias("of"))
-    shown = shown.select("j", "of", F.explode(F.sequence(F.col("at") - (w - 1), F.col("at") + w)).alias("idx"))
-    seen = rows.select("idx", "m1", "island").join(shown, "idx").where("of = island").groupBy("idx", F.col("m1").alias("k")).agg(F.collect_set("j").alias("js"))
-    n = pairs.count()
-    c1 = pairs.groupBy(F.col("m1").alias("k")).agg((F.count("*") / n).alias("c1"))
-    c2 = pairs.groupBy(F.col("m2").alias("j")).agg((F.count("*") / n).alias("c2"))
-    met = seen.select("k", F.explode("js").alias("j")).groupBy("k", "j").agg((F.count("*") / n).alias("joint"))
+    at, back = F.col("idx"), Window.partitionBy("_b").orderBy(F.col("idx").desc())
+    upto, earlier, ahead = by_block().rowsBetween(Window.unboundedPreceding, 0), by_block().rowsBetween(Window.unboundedPreceding, -1), back.rowsBetween(Window.unboundedPreceding, 0)
+    dealt = halo(pairs.select("idx", "chr", "start", "end", "m1", "m2"), w + 1)
+    was, then = ({c: f(c).over(by_block()) for c in ("idx", "chr", "start", "end")} for f in (F.lag, F.lead))
+    joined = lambda a, b: (a["idx"] + 1 == b["idx"]) & (a["chr"] == b["chr"]) & (a["end"] == b["start"])
+    own = {c: F.col(c) for c in ("idx", "chr", "start", "end")}
+    ends = {"_first": ~F.coalesce(joined(was, own), F.lit(False)), "_last": ~F.coalesce(joined(own, then), F.lit(False)), "_left": was["chr"] != F.col("chr"), "_right": then["chr"] != F.col("chr")}
+    marks = dealt.withColumns(ends)
+    behind = lambda mark: F.coalesce(F.least(at - F.max(F.when(F.col(mark), at)).over(upto), F.lit(w)), F.lit(w))
+    before = lambda mark: F.coalesce(F.least(F.min(F.when(F.col(mark), at)).over(ahead) - at, F.lit(w)), F.lit(w))
+    reach = {"_up": behind("_first"), "_down": before("_last")}
+    if together:
+        reach = {c: F.least(v, behind("_left"), before("_right")) for c, v in reach.items()}
+    near = {}
+    for i, j in enumerate(labels):
+        place = F.when(F.col("m2") == j, at)
+        near[f"_l{i}"], near[f"_r{i}"] = at - F.max(place).over(earlier), F.min(place).over(ahead) - at
+    if w:
+        sees = [F.when((F.col(f"_l{i}") <= F.col("_up")) | (F.col(f"_r{i}") < F.col("_down")), F.lit(j)) for i, j in enumerate(labels)]
+    else:
+        sees = [F.when(F.col("m2") == j, F.lit(j)) for j in labels]
+    seen = marks.withColumns(reach | near).where("_own").select(F.col("m1").alias("k"), F.explode(F.array_compact(F.array(*sees))).alias("j"))
+    rows = pairs.count()
+    c1 = pairs.groupBy(F.col("m1").alias("k")).agg((F.count("*") / rows).alias("c1"))
+    c2 = pairs.groupBy(F.col("m2").alias("j")).agg((F.count("*") / rows).alias("c2"))
+    met = seen.groupBy("k", "j").agg((F.count("*") / rows).alias("joint"))
     known = met.join(F.broadcast(c1), "k").join(F.broadcast(c2), "j").where(F.col("k").isin(list(labels)))
     return known.select("k", "j", "joint", F.try_divide(F.col("joint"), F.col("c1") + F.col("c2") - F.col("joint")).alias("iou"))
 

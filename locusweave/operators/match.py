@@ -111,21 +111,3 @@ def merging_gain(cells: np.ndarray) -> np.ndarray:
             if h1 != h0:
                 out[a, b] = out[b, a] = 1 - (mi1 - mi0) / (h1 - h0)
     return out
-
-
-def average_linkage(distance: np.ndarray) -> list[tuple[int, int, float]]:
-    """Merges (cluster, cluster, distance) in order; new clusters are numbered from K on."""
-    d = distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    ids, sizes, merges = list(range(len(d))), [1] * len(d), []
-    nxt = len(d)
-    while len(ids) > 1:
-        i, j = sorted(divmod(int(np.argmin(d)), len(ids)))
-        merges.append((ids[i], ids[j], float(d[i, j])))
-        row = (d[i] * sizes[i] + d[j] * sizes[j]) / (sizes[i] + sizes[j])
-        keep = [x for x in range(len(ids)) if x not in (i, j)]
-        d = np.pad(d[np.ix_(keep, keep)], (0, 1), constant_values=np.inf)
-        d[-1, :-1] = d[:-1, -1] = row[keep]
-        ids, sizes = [ids[x] for x in keep] + [nxt], [sizes[x] for x in keep] + [sizes[i] + sizes[j]]
-        nxt += 1
-    return merges

@@ -14,9 +14,12 @@ from .match import merging_gain
 
 
 def best_pair(gain: np.ndarray) -> tuple[int, int]:
-    """The two rows of the largest gain, the first in row-major order among equals."""
+    """The two rows of the largest gain, the first in row-major order among equals; the first two where no pair has a gain.
+
+    Labels without rows have none, as merging them loses nothing.
+    """
     i, j = divmod(int(np.argmax(gain)), gain.shape[1])
-    return min(i, j), max(i, j)
+    return (min(i, j), max(i, j)) if i != j else (0, 1)
 
 
 def merged(groups: Sequence[Sequence[int]], pair: tuple[int, int]) -> list[list[int]]:
@@ -107,6 +110,53 @@ def cut(merges: Sequence[tuple[int, int, float]], count: int, k: int) -> list[li
     return list(groups.values())
 
 
+def k_means(points: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
+    """Cluster numbers of a few points (states by their parameters) by Lloyd's steps, until none moves.
+
+    The first centre is the point farthest from the mean, each next one the point farthest from its nearest centre, the first among equals; clusters
+    are numbered by their first points. A centre that loses all its points takes the point farthest from its own. The fewest of k and the different points are made.
+    """
+    x = np.asarray(points, float)
+    k = min(k, len(np.unique(x, axis=0)))
+    if not k:
+        return np.zeros(0, int)
+    apart = lambda c: ((x[:, None, :] - c[None, :, :]) ** 2).sum(2)
+    chosen = [int(apart(x.mean(0, keepdims=True))[:, 0].argmax())]
+    while len(chosen) < k:
+        chosen.append(int(apart(x[chosen]).min(1).argmax()))
+    centres, own = x[chosen], np.full(len(x), -1)
+    for _ in range(rounds):
+        d = apart(centres)
+        nearest = d.argmin(1)
+        for c in range(k):
+            if not (nearest == c).any():
+                nearest[int(np.where(np.bincount(nearest, minlength=k)[nearest] > 1, d[np.arange(len(x)), nearest], -1.0).argmax())] = c
+        if (nearest == own).all():
+            break
+        own = nearest
+        centres = np.stack([x[own == c].mean(0) for c in range(k)])
+    order = np.unique(own, return_index=True)
+    rank = np.empty(k, int)
+    rank[order[0][np.argsort(order[1])]] = np.arange(k)
+    return rank[own]
+
+
+def clusters(features: DataFrame, k: int, method: str = "kmeans") -> DataFrame:
+    """(label, cluster) of states by their (label, at, x) parameters: k-means, or hierarchical by ``average``, ``complete`` or ``ward``.
+
+    One row a state comes to the driver. Parameters that a state lacks count as zero.
+    """
+    table = features.groupBy("label").pivot("at").agg(F.first("x")).na.fill(0.0).toPandas().sort_values("label")
+    points = table.drop(columns="label").to_numpy(float)
+    if method == "kmeans":
+        found = k_means(points, k).tolist()
+    else:
+        groups = sorted(cut(linkage(np.sqrt(((points[:, None] - points[None]) ** 2).sum(2)), method), len(points), k), key=min)
+        found = [next(c for c, g in enumerate(groups) if i in g) for i in range(len(points))]
+    rows = [(label, int(c)) for label, c in zip(table["label"].tolist(), found, strict=True)]
+    return features.sparkSession.createDataFrame(rows, f"label {features.schema['label'].dataType.simpleString()}, cluster int")
+
+
 def row_similarity(iou: np.ndarray) -> np.ndarray:
     """How much two labels share a partner: sqrt of the largest product of their cells; 1 on the diagonal."""
     out = np.sqrt((np.nan_to_num(iou)[:, None, :] * np.nan_to_num(iou)[None, :, :]).max(2))

@@ -104,6 +104,17 @@ def agreement(pairs: DataFrame, labels: Sequence[str]) -> DataFrame:
     )
 
 
+def label_agreement(pairs: DataFrame, labels: Sequence[str], other: str | None = None) -> DataFrame:
+    """(k, agreed, rows, agreement): of each label's rows, those on which the other track says the same, or says ``other``.
+
+    A label without rows agrees in none of none, and its agreement is null.
+    """
+    same = F.col("m1") == F.col("m2") if other is None else F.col("m2") == other
+    own = pairs.groupBy(F.col("m1").alias("k")).agg(F.count_if(same).alias("agreed"), F.count("*").alias("rows"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return label_frame(pairs.sparkSession, labels).join(own, "k", "left").select("k", zero("agreed"), zero("rows"), F.try_divide("agreed", "rows").alias("agreement"))
+
+
 def general_agreement(pairs: DataFrame, labels: Sequence[str]) -> DataFrame:
     e = 1.0 / len(labels) + 1e-3
     return pairs.agg(F.avg((F.col("m1") == F.col("m2")).cast("double")).alias("agreement")).select("agreement", F.ln(F.col("agreement") / e).alias("log_oe"), ((F.col("agreement") - e) / (1 - e)).alias("kappa"))

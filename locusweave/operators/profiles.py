@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -112,11 +111,6 @@ def confident_contrast(rows: DataFrame, alpha: float = 0.9) -> DataFrame:
     return one.select("n1", "n0", (F.col("mean1") - F.col("mean0")).alias("mean_diff"), t.alias("t"), z.alias("z"))
 
 
-def two_sided(z: float) -> float:
-    """The normal two-sided p-value."""
-    return math.erfc(abs(z) / math.sqrt(2))
-
-
 def heatmap(rows: DataFrame, bins: int = 50) -> DataFrame:
     """(x_bin, y_bin, share): counts of (x, y) on a square grid over their ranges (last cells closed), by row of x."""
     lx, hx, ly, hy = rows.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()

@@ -16,12 +16,12 @@ def matched(matches: dict[str, list[str]], label: Column) -> Column:
     return F.create_map(*known)[label] if known else F.lit(None).cast("array<string>")
 
 
-def sides(pairs: DataFrame, matches: dict[str, list[str]], reach: int) -> DataFrame:
-    """(idx, m1, left, right): how far the nearest match lies before a row, and from the row on; null beyond ``reach``.
+def sides(pairs: DataFrame, matches: dict[str, list[str]], reach: int, *keep: str) -> DataFrame:
+    """(idx, m1, left, right, keep): how far the nearest match lies before a row, and from the row on; null beyond ``reach``.
 
     Blocks with a halo of ``reach`` rows carry each label's last and next place along.
     """
-    dealt = halo(pairs.select("idx", "m1", "m2"), reach).withColumn("_wanted", matched(matches, F.col("m1")))
+    dealt = halo(pairs.select("idx", "m1", "m2", *keep), reach).withColumn("_wanted", matched(matches, F.col("m1")))
     before = by_block().rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("_b").orderBy(F.col("idx").desc()).rowsBetween(Window.unboundedPreceding, 0)
     none = F.lit(None).cast("long")
@@ -32,7 +32,7 @@ def sides(pairs: DataFrame, matches: dict[str, list[str]], reach: int) -> DataFr
         rights.append(F.when(own, F.min(at).over(after)))
     left, right = F.col("idx") - F.greatest(*lefts), F.least(*rights) - F.col("idx")
     found = dealt.withColumns({"left": left.cast("int"), "right": right.cast("int")}).where("_own")
-    return found.select("idx", "m1", *[F.when(F.col(c) <= reach, F.col(c)).alias(c) for c in ("left", "right")])
+    return found.select("idx", "m1", *keep, *[F.when(F.col(c) <= reach, F.col(c)).alias(c) for c in ("left", "right")])
 
 
 def nearest(pairs: DataFrame, matches: dict[str, list[str]], reach: int) -> DataFrame:
@@ -116,10 +116,10 @@ def reproduced(pairs: DataFrame, matches: dict[str, list[str]], w: int, hide_las
     if hide_last and w:
         right = right & (F.col("idx") + F.col("right") < size(pairs) - 1)
     hit = F.coalesce(right, F.lit(False)) | F.coalesce(F.col("left") <= w, F.lit(False))
-    found = sides(pairs, matches, w).select("idx", "m1", hit.alias("is_repr"))
     if prior is None:
-        return found
-    return found.join(pairs.select("idx", prior.alias("_prior")), "idx").select("idx", "m1", (F.col("is_repr") | F.coalesce("_prior", F.lit(False))).alias("is_repr"))
+        return sides(pairs, matches, w).select("idx", "m1", hit.alias("is_repr"))
+    known = F.coalesce("_prior", F.lit(False))
+    return sides(pairs.withColumn("_prior", prior), matches, w, "_prior").select("idx", "m1", (hit | known).alias("is_repr"))
 
 
 def segments(rows: DataFrame, label: str = "m1", chrom: bool = True, gap_aware: bool = False) -> DataFrame:

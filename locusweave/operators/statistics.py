@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .core import ranked
 from .overlap import soft_coverage, soft_joint
 from .profiles import average_ranks
 
@@ -36,6 +38,58 @@ def signed_rank(rows: DataFrame, key: str, difference: str) -> DataFrame:
     return sums.withColumn("z", z).withColumn("p", two_sided_p(F.col("z")))
 
 
+def contrasts(rows: DataFrame, key: str, value: str, sure: Column, order: str) -> DataFrame:
+    """(key, n1, n0, ratio, mean_diff, t, z_mean, p_mean, z_rank, p_rank, z_paired, p_paired): sure rows against the others, of each key.
+
+    ``t`` is Student's with one variance for both, ``z_mean`` the same held against the normal curve; ``z_rank`` is the rank-sum test with ties and
+    a continuity correction; ``z_paired`` is Wilcoxon's test of the i-th sure row against the i-th other one by ``order`` (a unique integer), for keys with as many
+    of both. What a key has no rows for is null.
+    """
+    own = rows.select(F.col(key), F.col(value).alias("_x"), sure.alias("_s"), F.col(order).alias("_o")).where("_x is not null and _s is not null")
+    of = lambda c, s: F.when(F.col("_s") == s, F.col(c))
+    sums = [f(of(c, s)).alias(f"{n}{int(s)}") for s in (True, False) for n, f, c in (("n", F.count, "_x"), ("mean", F.avg, "_x"), ("var", F.variance, "_x"))]
+    facts = average_ranks(own, key, "_x", "_r").groupBy(key).agg(*sums, F.sum(of("_r", True)).alias("ranks"))
+    tie = own.groupBy(key, "_x").agg(F.count("*").cast("double").alias("c")).groupBy(key).agg(F.sum(F.col("c") * (F.col("c") * F.col("c") - 1)).alias("ties"))
+    n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
+    n, diff = n1 + n0, F.col("mean1") - F.col("mean0")
+    # a side of one row has no variance of its own
+    inside = F.coalesce("var1", F.lit(0.0)) * (n1 - 1) + F.coalesce("var0", F.lit(0.0)) * (n0 - 1)
+    t = F.try_divide(diff, F.sqrt(F.try_divide(inside, n - 2) * (1 / F.nullif(n1, F.lit(0.0)) + 1 / F.nullif(n0, F.lit(0.0)))))
+    off = F.col("ranks") - n1 * (n + 1) / 2
+    spread = F.sqrt(n1 * n0 / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
+    z = F.try_divide(F.signum(off) * F.greatest(F.abs(off) - 0.5, F.lit(0.0)), spread)
+    tested = facts.join(F.broadcast(tie), key).withColumns({"t": t, "z_rank": z})
+    placed = ranked(own.withColumn("_k", F.struct(key, "_s")), "_k", "_o", "_o").select(key, "_s", "_x", "pos")
+    both = placed.where("_s").select(key, "pos", F.col("_x").alias("_a")).join(placed.where("not _s").select(key, "pos", F.col("_x").alias("_b")), [key, "pos"])
+    even = facts.where("n1 = n0").select(key)
+    paired = signed_rank(both.join(F.broadcast(even), key).withColumn("_d", F.col("_a") - F.col("_b")), key, "_d").select(key, F.col("z").alias("z_paired"), F.col("p").alias("p_paired"))
+    return tested.join(F.broadcast(paired), key, "left").select(
+        key, "n1", "n0", F.try_divide(n1, n0).alias("ratio"), diff.alias("mean_diff"), "t", F.col("t").alias("z_mean"), two_sided_p(F.col("t")).alias("p_mean"), "z_rank", two_sided_p(F.col("z_rank")).alias("p_rank"), "z_paired", "p_paired"
+    )
+
+
+def student_p(t: float, df: float) -> float:
+    """Student's two-sided p-value, by the continued fraction of the incomplete beta function."""
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    if x >= 1:
+        return 1.0
+    swap = x > (a + 1) / (a + b + 2)
+    if swap:
+        x, a, b = 1 - x, b, a
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d, f = 1.0, 0.0, 1.0
+    for i in range(400):
+        m = i // 2
+        step = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / (1 + step * d)
+        c = 1 + step / c
+        f *= c * d
+        if abs(1 - c * d) < 1e-15:
+            break
+    part = front * (f - 1)
+    return 1 - part if swap else part
+
+
 def soft_information(pairs: DataFrame, labels: Sequence[str]) -> DataFrame:
     """One row (mi, nmi) from posteriors: mutual information, and its share of the other track's entropy."""
     cells = soft_joint(pairs, labels)

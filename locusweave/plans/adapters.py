@@ -5,12 +5,12 @@ from __future__ import annotations
 from weakref import WeakKeyDictionary
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.core import by_block, halo, with_map
 
-_HELD: WeakKeyDictionary[SparkSession, DataFrame] = WeakKeyDictionary()
+_HELD: WeakKeyDictionary[SparkSession, dict[str, DataFrame]] = WeakKeyDictionary()
 LABELS = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -18,6 +18,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hold(df: DataFrame, name: str) -> DataFrame:
+    """Persist a frame that operators read several times; one copy of each name is held.
+
+    What memory can't hold goes to disk, and what is lost with an executor is computed again.
+    """
+    held = _HELD.setdefault(df.sparkSession, {})
+    if name in held:
+        held[name].unpersist()
+    held[name] = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df
+
+
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(idx, chr, start, end, p1, p2, m1, m2): two posterior matrices over the same bins.
 
@@ -35,11 +47,7 @@ def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     chrom = F.concat(F.lit("chr"), (1 + F.floor(F.col("idx") / 4000)).cast("string"))
     start = (F.col("idx") % 4000) * 200
     pairs = with_map(bins.select("idx", chrom.alias("chr"), start.alias("start"), (start + 200).alias("end"), p1.alias("p1"), p2.alias("p2")), LABELS)
-    # every operator reads it several times; what memory can't hold goes to disk, what is lost is computed again; one copy is held
-    if held := _HELD.pop(spark, None):
-        held.unpersist()
-    _HELD[spark] = pairs.persist(StorageLevel.MEMORY_AND_DISK)
-    return pairs
+    return hold(pairs, "pairs")
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,3 +68,16 @@ def tss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tss_id, chr, coord) from suppliers."""
     key = F.col("s_suppkey")
     return read(spark, sf_dir, "supplier").select(key.alias("tss_id"), F.concat(F.lit("chr"), (1 + key % 3).cast("string")).alias("chr"), ((key * 7877 + 57) % 790000).alias("coord"))
+
+
+def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(setting, model, cell, state, coverage, auc, max_auc, p, r2): states of runs, from orders by priority, segment, nation and status.
+
+    A state's coverage is its share of the run's orders.
+    """
+    orders, customers, nations = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    whose = customers.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("c_mktsegment").alias("model"), F.col("n_name").alias("cell"))
+    price = F.col("o_totalprice")
+    states = orders.join(whose, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("o_orderpriority").alias("setting"), "model", "cell", F.col("o_orderstatus").alias("state")).agg(F.count("*").alias("n"), (F.avg(price) / 500000).alias("auc"), (F.max(price) / 500000).alias("max_auc"), (F.min(price) / 1000000).alias("p"), (F.avg(price) / F.max(price)).alias("r2"))
+    total = F.sum("n").over(Window.partitionBy("setting", "model", "cell"))  # a run has three states
+    return states.withColumn("coverage", F.col("n") / total).drop("n")

@@ -8,9 +8,9 @@ from . import queries as base
 from . import queries_enrich as more
 from . import queries_labels as labels
 from . import queries_profiles as profile_queries
-from .operators import concordance, fits, match, overlap, progress, sweeps
-from .plans.adapters import LABELS, paired
-from .queries import BINS, TO, W, query, r6
+from .operators import calibrate, concordance, core, enrich, fits, match, merging, overlap, profiles, progress, ranges, rollups, statistics, sweeps
+from .plans.adapters import LABELS, intervals, paired, read, run_states
+from .queries import BINS, TO, W, matches, query, r6
 
 
 def _orthogonal(source: str, degree: int, key: str = "k") -> str:
@@ -123,3 +123,111 @@ base.SQL["keep_states"] = base.WITH + _merge_steps(2, False) + f", ks AS (SELECT
 def _(spark, d):
     found = progress.calibrated_progress(paired(spark, d), LABELS, W, TO, BINS)
     return spark.createDataFrame([(n, *(round(x, 6) for x in rest)) for n, *rest in found], "labels int, entropy double, mi double, nmi double, naive double, robust double, mean_r double")
+
+
+_TOGETHER = base._IV + f""", a AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS i, chr, s, e, m1, m2 FROM t WHERE EXISTS (SELECT 1 FROM iv WHERE iv.chr = t.chr AND iv.s < t.e AND t.s < iv.e))
+, na AS (SELECT count(*) AS n FROM a)
+, wd AS (SELECT CAST(unnest(range(0, {W} + 1)) AS BIGINT) AS d)
+, rc AS (SELECT a.i, max(d) FILTER (a.chr = lo.chr AND a.chr = hi.chr) AS c FROM a, na, wd JOIN a lo ON lo.i = greatest(0, a.i - d) JOIN a hi ON hi.i = least(n - 1, a.i + d) GROUP BY a.i)
+, ru AS (SELECT a.i, max(d) FILTER (a.s - lo.s = d * 200 AND a.chr = lo.chr) AS u FROM a, wd JOIN a lo ON lo.i = greatest(0, a.i - d) GROUP BY a.i)
+, rd AS (SELECT a.i, max(d) FILTER (hi.s - a.s = d * 200 AND a.chr = hi.chr) AS v FROM a, na, wd JOIN a hi ON hi.i = least(n - 1, a.i + d) GROUP BY a.i)
+, re AS (SELECT i, least(c, u) AS u, least(c, v) AS v FROM rc JOIN ru USING (i) JOIN rd USING (i))
+, ob AS (SELECT a.m1 AS k, b.m2 AS j, count(DISTINCT a.i) AS o FROM a JOIN re USING (i) JOIN a b ON b.i BETWEEN a.i - u AND a.i + v - 1 GROUP BY ALL)
+, ca AS (SELECT m1 AS k, count(*) / (SELECT CAST(n AS DOUBLE) FROM na) AS ca FROM a GROUP BY m1), cb AS (SELECT m2 AS j, count(*) / (SELECT CAST(n AS DOUBLE) FROM na) AS cb FROM a GROUP BY m2)
+SELECT k, j, round(o / n::DOUBLE, 6) AS joint, round(o / n::DOUBLE / (ca + cb - o / n::DOUBLE), 6) AS iou FROM ob JOIN ca USING (k) JOIN cb USING (j), na"""
+
+
+@query("contiguous_iou_together", _TOGETHER)
+def _(spark, d):
+    active = core.position_index_by(ranges.overlap_join(paired(spark, d), intervals(spark, d), "left_semi").withColumnRenamed("idx", "was"), "was")
+    return r6(enrich.contiguous_overlap(active, LABELS, W, together=True), "joint", "iou")
+
+
+_RUNS = "WITH w AS (SELECT c_custkey, c_mktsegment AS model, n_name AS cell FROM customer JOIN nation ON c_nationkey = n_nationkey), rs AS (SELECT o_orderpriority AS setting, model, cell, o_orderstatus AS state, count(*) AS n, avg(o_totalprice) / 500000 AS auc, max(o_totalprice) / 500000 AS max_auc, min(o_totalprice) / 1000000 AS p, avg(o_totalprice) / max(o_totalprice) AS r2 FROM orders JOIN w ON o_custkey = c_custkey GROUP BY ALL), st AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY setting, model, cell) AS DOUBLE) AS coverage FROM rs)"
+
+
+@query("run_areas", _RUNS + ", rt AS (SELECT setting, model, cell, sum(auc * coverage) AS auc, sum(max_auc * coverage) AS max_auc FROM st GROUP BY ALL) SELECT CASE grouping_id(setting, model, cell) WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS level, setting, model, cell, count(*) AS n, round(avg(auc), 6) AS auc, round(avg(auc / max_auc), 6) AS ratio FROM rt GROUP BY GROUPING SETS ((setting, model, cell), (setting, model), (setting))", plain=True)
+def _(spark, d):
+    runs = rollups.run_totals(run_states(spark, d), ["auc", "max_auc"], "coverage")
+    found = rollups.levels(runs, [["setting", "model", "cell"], ["setting", "model"], ["setting"]], {"auc": F.avg("auc"), "ratio": F.avg(F.col("auc") / F.col("max_auc"))})
+    return r6(found, "auc", "ratio")
+
+
+@query("run_states", _RUNS + " SELECT CASE grouping_id(model, setting, state) WHEN 0 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS level, model, setting, state, count(*) AS n, round(avg(-ln(p + 1e-19)), 6) AS minus_log_p, round(max(-ln(p + 1e-19)), 6) AS most, round(sum(r2 * coverage) / sum(coverage), 6) AS r2 FROM st GROUP BY GROUPING SETS ((model, setting, state), (model, state), (state))", plain=True)
+def _(spark, d):
+    states = run_states(spark, d)
+    long = states.select(*rollups.RUN, "state", F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in ("p", "r2", "coverage")])).alias("c")).select(*rollups.RUN, "state", "c.*")
+    wide = rollups.state_metrics(long, {"p": "p", "r2": "r2", "coverage": "coverage"}).withColumn("l", rollups.minus_log_p("p"))
+    weighted = F.sum(F.col("r2") * F.col("coverage")) / F.sum("coverage")
+    found = rollups.levels(wide, [["model", "setting", "state"], ["model", "state"], ["state"]], {"minus_log_p": F.avg("l"), "most": F.max("l"), "r2": weighted})
+    return r6(found, "minus_log_p", "most", "r2")
+
+
+def _lloyd(k: int, rounds: int) -> str:
+    """CTEs of k-means on lists ``e`` by label: farthest-first centres, then rounds of means (more than it takes change nothing)."""
+    out = "WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings), c AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM u GROUP BY ALL), p AS (SELECT label, list(x ORDER BY i) AS e FROM c GROUP BY label), mn AS (SELECT list(x ORDER BY i) AS e FROM (SELECT i, avg(x) AS x FROM c GROUP BY i))"
+    out += ", s0 AS (SELECT p.e FROM p, mn ORDER BY list_distance(p.e, mn.e) DESC, label LIMIT 1)"
+    for i in range(1, k):
+        near = "least(" + ", ".join(f"list_distance(p.e, s{j}.e)" for j in range(i)) + ")"
+        out += f", s{i} AS (SELECT p.e FROM p, {', '.join(f's{j}' for j in range(i))} ORDER BY {near} DESC, label LIMIT 1)"
+    out += ", z0 AS (" + " UNION ALL ".join(f"SELECT {i} AS g, e FROM s{i}" for i in range(k)) + ")"
+    for i in range(rounds):
+        out += f", a{i} AS (SELECT label, g FROM (SELECT label, g, row_number() OVER (PARTITION BY label ORDER BY list_distance(p.e, z{i}.e), g) AS r FROM p, z{i}) WHERE r = 1), z{i + 1} AS (SELECT g, list(x ORDER BY i) AS e FROM (SELECT g, i, avg(x) AS x FROM a{i} JOIN c USING (label) GROUP BY g, i) GROUP BY g)"
+    return out + f" SELECT label, CAST(dense_rank() OVER (ORDER BY first) - 1 AS INTEGER) AS cluster FROM (SELECT label, min(label) OVER (PARTITION BY g) AS first FROM a{rounds - 1})"
+
+
+@query("state_clusters", _lloyd(3, 8), plain=True)
+def _(spark, d):
+    return merging.clusters(profiles.centroids(read(spark, d, "embeddings"), "label", "embedding"), 3)
+
+
+@query("binned_overlap_own", more.base.SQL["binned_overlap"].removeprefix(base.WITH).replace("SELECT min(list_min(p1)) AS lo, max(list_max(p1)) AS hi FROM t", "SELECT min(list_min(p1)) AS lo, max(list_max(p1)) AS hi, min(list_min(p2)) AS lo2, max(list_max(p2)) AS hi2 FROM t").replace("floor((p2[la + 1] - lo) / (hi - lo) * 10)", "floor((p2[la + 1] - lo2) / (hi2 - lo2) * 10)").replace("p2[la + 1] >= lo AND p2[la + 1] < hi)", "p2[la + 1] >= lo2 AND p2[la + 1] < hi2)"))
+def _(spark, d):
+    return r6(enrich.binned_overlap(paired(spark, d), LABELS, own_cells=True), "overlap", "iou")
+
+
+@query("label_agreement", "SELECT k, count(*) FILTER (m1 = m2) AS agreed, count(idx) AS rows, round(count(*) FILTER (m1 = m2) / CAST(nullif(count(idx), 0) AS DOUBLE), 6) AS agreement FROM l LEFT JOIN t ON m1 = k GROUP BY k")
+def _(spark, d):
+    return r6(overlap.label_agreement(paired(spark, d), LABELS), "agreement")
+
+
+_P = labels._NORMAL
+_CONTRASTS = profile_queries._RX + """, rk AS (SELECT map, r >= 0.9 AS sure, idx, ln(tpm + 1e-19) AS v, rank() OVER (PARTITION BY map ORDER BY ln(tpm + 1e-19)) + (count(*) OVER (PARTITION BY map, ln(tpm + 1e-19)) - 1) / 2.0::DOUBLE AS g FROM rx)
+, ag AS (SELECT map, count(*) FILTER (sure)::DOUBLE AS n1, count(*) FILTER (NOT sure)::DOUBLE AS n0, avg(v) FILTER (sure) - avg(v) FILTER (NOT sure) AS diff, coalesce(var_samp(v) FILTER (sure), 0) AS v1, coalesce(var_samp(v) FILTER (NOT sure), 0) AS v0, sum(g) FILTER (sure) AS rs FROM rk GROUP BY map)
+, ti AS (SELECT map, sum(c * (c * c - 1)) AS ties FROM (SELECT map, v, count(*)::DOUBLE AS c FROM rk GROUP BY ALL) GROUP BY map)
+, zt AS (SELECT *, rs - n1 * (n1 + n0 + 1) / 2 AS off, diff / nullif(sqrt((v1 * (n1 - 1) + v0 * (n0 - 1)) / nullif(n1 + n0 - 2, 0) * (1 / nullif(n1, 0) + 1 / nullif(n0, 0))), 0) AS t FROM ag JOIN ti USING (map))
+, zr AS (SELECT *, sign(off) * greatest(abs(off) - 0.5, 0) / nullif(sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1)))), 0) AS z FROM zt)
+SELECT map, CAST(n1 AS BIGINT) AS n1, CAST(n0 AS BIGINT) AS n0, round(n1 / nullif(n0, 0), 6) AS ratio, round(diff, 6) AS mean_diff, round(t, 6) AS t, round(z, 6) AS z_rank, round(pr, 6) AS p_rank FROM (SELECT *, """ + _P + " AS pr FROM (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS u FROM zr))"
+
+
+@query("confident_contrasts", _CONTRASTS)
+def _(spark, d):
+    rows = profile_queries._rx(spark, d)
+    rows = rows.withColumns({"v": F.ln(F.col("tpm") + 1e-19), "sure": F.col("r_value") >= 0.9})
+    found = statistics.contrasts(rows, "map", "v", F.col("sure"), "idx")
+    return r6(found.select("map", "n1", "n0", "ratio", "mean_diff", "t", "z_rank", "p_rank"), "ratio", "mean_diff", "t", "z_rank", "p_rank")
+
+
+_W3 = ", v3 AS (SELECT t.idx, t.m1, u.m2 AS j FROM t JOIN t u ON u.idx BETWEEN t.idx - 3 AND t.idx + 2 AND u.idx < (SELECT n - 1 FROM n) GROUP BY ALL), i3 AS (SELECT kj.k, kj.j, kj.ja, o, o / nullif(c1.c1 + c2.c2 - o, 0) AS iou FROM (SELECT kj.k, kj.j, count(v3.idx) / (SELECT CAST(n AS DOUBLE) FROM n) AS o FROM kj LEFT JOIN v3 ON v3.m1 = kj.k AND v3.j = kj.j GROUP BY ALL) JOIN kj USING (k, j) JOIN c1 USING (k) JOIN c2 USING (j)), q3 AS (SELECT k, j FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY iou DESC NULLS LAST, ja) AS rn FROM i3) WHERE iou > 0.6 OR rn = 1)"
+
+
+@query("reproduced_by_map", _W3 + ", z AS (SELECT DISTINCT t.idx FROM t JOIN q3 ON q3.k = t.m1 JOIN t u ON u.m2 = q3.j AND u.idx BETWEEN t.idx - 3 AND t.idx + 2) SELECT m1, count(z.idx) AS reproduced, count(*) AS n FROM t LEFT JOIN z USING (idx) GROUP BY m1")
+def _(spark, d):
+    return calibrate.reproduced_by_map(paired(spark, d), LABELS, 3, 0.6).groupBy("m1").agg(F.count_if("is_repr").alias("reproduced"), F.count("*").alias("n"))
+
+
+_ONE = ", z AS (SELECT DISTINCT t.idx FROM t JOIN q ON q.k = t.m1 JOIN v ON v.idx = t.idx AND v.j = q.j), sp AS (SELECT true AS posterior, map AS m1, r, round(r, 9) >= 0.9 AS ok FROM rv UNION ALL SELECT false, m1, NULL, z.idx IS NOT NULL FROM t LEFT JOIN z USING (idx))"
+
+
+@query("single_point", base._CURVE + _ONE + " SELECT posterior, m1, count(*) FILTER (ok) AS reproduced, count(*) AS n, round(avg(r), 6) AS mean_r FROM sp GROUP BY posterior, m1")
+def _(spark, d):
+    p = paired(spark, d)
+    own = matches(p)
+    both = [calibrate.single_point(p, LABELS, kind, W, TO, 0.9, BINS, own).withColumn("posterior", F.lit(kind)) for kind in (True, False)]
+    counted = both[0].unionByName(both[1]).groupBy("posterior", "m1").agg(F.count_if("is_repr").alias("reproduced"), F.count("*").alias("n"), F.avg("r_value").alias("mean_r"))
+    return r6(counted, "mean_r")
+
+
+@query("runs_in_order", _RUNS + ", d AS (SELECT DISTINCT model, setting FROM st), o AS (SELECT *, CASE setting WHEN '2-HIGH' THEN 0 WHEN '1-URGENT' THEN 1 END AS p FROM d) SELECT model, setting, CAST(CASE WHEN p IS NULL THEN 1 + dense_rank() OVER (PARTITION BY p IS NULL ORDER BY setting) ELSE p END AS INTEGER) AS place FROM o", plain=True)
+def _(spark, d):
+    return rollups.in_order(run_states(spark, d).select("model", "setting").distinct(), "setting", ["2-HIGH", "1-URGENT"])

@@ -64,6 +64,32 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col(f"`{first}`").alias("row"), F.explode(cells).alias("c")).select("row", "c.*")
 
 
+def read_state_parameters(spark: SparkSession, path: str) -> DataFrame:
+    """(state, parameter, value) of a comma-separated block of a learned model's parameters, states down, numbers from 0.
+
+    A first column without a name is the states' own; without one they count from 0 in the file's order.
+    """
+    df = spark.read.csv(path, header=True, inferSchema=False)
+    first, *rest = df.columns
+    if first not in ("_c0", "Unnamed: 0"):
+        rest, df = df.columns, df.withColumn("_state", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1)  # a model has tens of states
+        first = "_state"
+    cells = F.array(*[F.struct(F.lit(c).alias("parameter"), F.col(f"`{c}`").try_cast("double").alias("value")) for c in rest])
+    return df.select(F.col(f"`{first}`").cast("int").alias("state"), F.explode(cells).alias("c")).select("state", "c.*")
+
+
+def state_features(lengths: DataFrame, parameters: DataFrame, scale: bool = True) -> DataFrame:
+    """(state, at, x): each state's length statistics (moved to 0 .. 1 over the states with ``scale``) beside its parameters.
+
+    ``lengths``: (state, mean, stdev); ``parameters``: (state, parameter, value).
+    """
+    long = lengths.select("state", F.explode(F.array(*[F.struct(F.lit(f"length:{c}").alias("at"), F.col(c).cast("double").alias("x")) for c in ("mean", "stdev")])).alias("c")).select("state", "c.*")
+    if scale:
+        edges = long.groupBy("at").agg(F.min("x").alias("_a"), F.max("x").alias("_b"))
+        long = long.join(F.broadcast(edges), "at").select("state", "at", F.coalesce(F.try_divide(F.col("x") - F.col("_a"), F.col("_b") - F.col("_a")), F.lit(0.0)).alias("x"))
+    return long.unionByName(parameters.select("state", F.col("parameter").alias("at"), F.col("value").alias("x")))
+
+
 def read_lengths(spark: SparkSession, path: str) -> DataFrame:
     """(label, segments, mean, bases) of a table of segment sizes with a header."""
     df = spark.read.csv(path, sep="\t", header=True)
@@ -93,6 +119,40 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("run"), "key", "value")
 
 
+def track_summary(spark: SparkSession, path: str) -> DataFrame:
+    """(cell, experiment, biosample, files): two rows for each track of files ``<cell>/<track>/track_files_metadata.csv``.
+
+    Those tables have a property in each row and a column for each file; ``files`` joins a replicate's alignment and signal.
+    """
+    df = spark.read.csv(f"{path}/*/*/track_files_metadata.csv", header=True)
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    rows = df.select(F.element_at(parts, -3).alias("cell"), F.element_at(parts, -2).alias("track"), F.col(f"`{df.columns[0]}`").alias("property"), *[F.col(f"`{c}`") for c in df.columns[1:]])
+    of = lambda name, c: F.max(F.when(F.col("property") == name, F.col(c)))
+    out = []
+    for i in (1, 2):
+        files = F.concat_ws(", ", of("accession", f"rep{i}_alig"), of("accession", f"rep{i}_fcoc"))
+        out.append(rows.groupBy("cell", "track").agg(of("assay", f"rep{i}_alig").alias("experiment"), F.concat(of("biosample", f"rep{i}_alig"), F.lit(f" (rep. {i})")).alias("biosample"), files.alias("files")))
+    return out[0].unionByName(out[1]).select("cell", "experiment", "biosample", "files")
+
+
+def track_assays(spark: SparkSession, path: str) -> DataFrame:
+    """(track, assay) of the same tables, as the file that names a run's tracks lists them."""
+    df = spark.read.csv(f"{path}/*/track_files_metadata.csv", header=True)
+    first, second = df.columns[0], df.columns[1]
+    return df.where(F.col(f"`{first}`") == "assay").select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("track"), F.col(f"`{second}`").alias("assay"))
+
+
+def read_metrics(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(setting, model, cell, state, metric, value) of lines ``state|metric = value`` of every run's file of that name.
+
+    Files lie in ``<setting>/<model>/<cell>/``; lines that don't read so, or hold no number, are left out.
+    """
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    places = [F.element_at(parts, at).alias(c) for c, at in (("setting", -4), ("model", -3), ("cell", -2))]
+    lines = spark.read.text(f"{path}/*/*/*/{name}").select(*places, F.regexp_extract("value", r"^([^|=]+)\|([^=|]+?)\s*=\s*(\S+)\s*$", 0).alias("all"), *[F.regexp_extract("value", r"^([^|=]+)\|([^=|]+?)\s*=\s*(\S+)\s*$", i).alias(c) for i, c in ((1, "state"), (2, "metric"), (3, "value"))])
+    return lines.where(F.col("all") != "").withColumn("value", F.col("value").try_cast("double")).where("value is not null").drop("all")
+
+
 def read_results(spark: SparkSession, path: str, name: str) -> DataFrame:
     """One report of every run: files ``<setting>/<model>/<cell>/<name>`` below a folder, with those three as columns."""
     df = spark.read.csv(f"{path}/*/*/*/{name}", sep="\t", header=True)

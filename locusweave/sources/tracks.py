@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,15 +16,48 @@ def read_posterior(spark: SparkSession, path: str, format: str = "bed") -> tuple
     return df.select(F.regexp_replace("chr", "_[12]$", "").alias("chr"), F.col("start").cast("long"), F.col("end").cast("long"), F.array(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)) for c in labels]).alias("p")), labels
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, line): the lines of text files with their 0-based number in the file; large files are read by many tasks.
+
+    A task reads byte ranges of files from their first line to their last, one after the other. The ranges' numbers of lines give where each begins;
+    a line's place in its range is its place among the task's lines less that of the range's first line. Only ranges are summed
+    up, about one for each 128 MB.
+    """
+    found = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_from")
+    lines = spark.read.text(path).select("value", *found).withColumn("_id", F.monotonically_increasing_id())
+    ranges = lines.groupBy("file", "_from").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("file").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return lines.join(ranges, ["file", "_from"]).select("value", "file", (F.col("_offset") + F.col("_id") - F.col("_first")).alias("line"))
+
+
 def read_state_directory(spark: SparkSession, path: str, resolution: int = 200) -> DataFrame:
     """(chr, start, end, p) of files ``..._<chr>_posterior.txt``: a line of names, a header, then a row for each bin.
 
-    Files are read whole, as a bin's place is its line number; a file is one chromosome.
+    A bin's place is its line's number (see ``numbered_lines``); an empty line has a place and gives no bin.
     """
-    files = spark.read.text(f"{path}/*_posterior.txt", wholetext=True).select("value", F.element_at(F.split(F.col("_metadata.file_name"), "_"), -2).alias("chr"))
-    lines = files.select("chr", F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")).alias("at", "line")).where("at >= 2")
-    start = (F.col("at") - 2).cast("long") * resolution
-    return lines.select("chr", start.alias("start"), (start + resolution).alias("end"), F.transform(F.split("line", "\t"), lambda x: x.cast("double")).alias("p"))
+    lines = numbered_lines(spark, f"{path}/*_posterior.txt").where(F.col("line") >= 2).where(F.trim("value") != "")
+    start = (F.col("line") - 2) * resolution
+    p = F.transform(F.split("value", "\t"), lambda x: x.cast("double"))
+    return lines.select(F.element_at(F.split("file", "_"), -2).alias("chr"), start.alias("start"), (start + resolution).alias("end"), p.alias("p"))
+
+
+def ids_from_zero(labels: list[str]) -> list[str]:
+    """State names ``posterior<i>`` whose ids start at 1 (or later) moved down to start at 0; other names stay."""
+    ids = [int(x.removeprefix("posterior")) for x in labels if x.removeprefix("posterior").isdigit() and x.startswith("posterior")]
+    if len(ids) != len(labels) or not ids:
+        return labels
+    return [f"posterior{i - min(ids)}" for i in ids]
+
+
+def read_pair(spark: SparkSession, one: str, two: str, format: str = "bed") -> tuple[DataFrame, DataFrame, list[str]]:
+    """Two posterior tables and their common labels; where only one of them counts states from 1, it is counted from 0 as the other."""
+    (a, la), (b, lb) = (read_posterior(spark, path, format) for path in (one, two))
+    if la != lb and ids_from_zero(la) == ids_from_zero(lb):
+        la = lb = ids_from_zero(la)
+    names = [x for x in la if x in lb]
+    pick = lambda df, own: df.withColumn("p", F.array(*[F.col("p")[own.index(x)] for x in names]))
+    return pick(a, la), pick(b, lb), names
 
 
 def read_bedgraph(spark: SparkSession, path: str, scale: float = 100.0) -> DataFrame:
@@ -72,8 +105,6 @@ def read_mnemonics(spark: SparkSession, path: str) -> dict[int, str]:
 
 def read_genes(spark: SparkSession, path: str, plus_only: bool = True, drop_overlapping: bool = True) -> DataFrame:
     """(chr, start, end, strand, gene_id ...); of consecutive genes that overlap the shorter goes."""
-    from pyspark.sql import Window
-
     df = spark.read.csv(path, header=True)
     df = df.drop(df.columns[0]).withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
     if plus_only:

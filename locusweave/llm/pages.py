@@ -8,12 +8,13 @@ counts on how many pages of the host each hash occurs, and what recurs is the ho
 * the shape hash of a hinted subtree on SHAPE_PAGES pages and SHAPE_SHARE of them, so menus, adverts and notices go although their
   words differ from page to page. Hosts of fewer than CONTENT_PAGES pages also use the shapes found on ALL_SHARE of all pages.
 
-A hint alone deletes nothing inside an <article> or <main>: there it only lowers the number of pages that recurrence takes. Inside
-them, content hashes spare paragraphs, headings, lists, quotations, code and tables, so that text which a host's articles have in
-common is kept. What no count has reached goes as a last resort: elements that are furniture by their tag (nav, aside, footer),
-and outside articles those with a hint. A page that has text in an <article>
-or <main> is that text alone. Always deleted are scripts, styles, forms and their like, what is hidden, and reader comments, whose words
-and number never recur.
+Inside an <article> or <main>, content hashes spare paragraphs, headings, lists, quotations, code and tables, so that text which a host's
+articles have in common is kept; a hint there only lowers the number of pages that recurrence takes. Always deleted are scripts, styles,
+forms and their like, what is hidden, furniture by its tag (nav, aside, footer, and a header outside articles), and reader comments, whose words and number never recur.
+
+On hosts of CONTENT_PAGES pages and more that is all: what the counts leave is the text. Hosts of fewer pages have too few to count, so
+there, and after the counts, two guesses follow, each only if it takes less text than it leaves: elements outside
+articles with a hint go, and text outside of <article> and <main> goes.
 
 A null html gives an empty text, null urls share one host. Null ids and repeated rows are kept, each as it is. Extra columns are
 ignored, whatever their names. An empty table gives an empty result. Pages of any length are read whole; <br> is white space
@@ -52,7 +53,7 @@ _WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor
 _COMMENTS = frozenset("comment comments disqus".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_DIGITS = str.maketrans("123456789", "0" * 9)
+_DIGITS, _ZEROS = str.maketrans("123456789", "0" * 9), re.compile("00+")
 
 
 def _reading(tag: str, attributes: str) -> tuple[bool, bool, str]:
@@ -98,7 +99,7 @@ class Page:
         if end > begin and not self.drop[element]:
             self.text.append((element, begin, end))
             if body := "".join(self.source[begin:end].translate(_DIGITS).split()):
-                self.parts[element].append(body)
+                self.parts[element].append(_ZEROS.sub("0", body) if "00" in body else body)
 
     def _break(self, tag: str) -> None:
         if tag in _BLOCK:
@@ -177,8 +178,11 @@ class Page:
                 out.append((e, own, shape[e] if self.hint[e] else 0))
         return out
 
-    def main_text(self, contents: set[int], shapes: set[int]) -> tuple[str, int]:
-        """The text, and how many subtrees went because their host has them as template (outermost ones count)."""
+    def main_text(self, contents: set[int], shapes: set[int], counted: bool) -> tuple[str, int]:
+        """The text, and how many subtrees went because their host has them as template (outermost ones count).
+
+        ``counted``: whether the host has pages enough for its counts alone to decide.
+        """
         drop = list(self.drop)
         found = {e for e, c, s in self.subtrees() if c in contents or s in shapes} if contents or shapes else set()
         took = 0
@@ -188,13 +192,20 @@ class Page:
             elif not drop[e] and e in found:
                 drop[e] = True
                 took += 1
-        for e in range(1, len(drop)):  # the last resort
-            drop[e] = drop[e] or drop[self.up[e]] or self.hint[e] and (not self.inside[e] or self.tag[e] in _FURNITURE)
-        within = any(e >= 0 and self.inside[e] and not drop[e] and not self.source[i:j].isspace() for e, i, j in self.text)
+            elif self.hint[e] and self.tag[e] in _FURNITURE:
+                drop[e] = True
+        if not counted:
+            hinted = list(drop)
+            for e in range(1, len(drop)):
+                hinted[e] = hinted[e] or hinted[self.up[e]] or self.hint[e] and not self.inside[e]
+            for guess in (hinted, [x or not y for x, y in zip(drop, self.inside, strict=True)]):
+                left = self._size([x or y for x, y in zip(drop, guess, strict=True)])
+                if left and 2 * left >= self._size(drop):
+                    drop = [x or y for x, y in zip(drop, guess, strict=True)]
         blocks, held = [], []
         for e, i, j in self.text:
             if e >= 0:
-                if not drop[e] and (self.inside[e] or not within):
+                if not drop[e]:
                     held.append(self.source[i:j])
             elif e == -2:
                 held.append(" ")
@@ -205,6 +216,10 @@ class Page:
         clean = (" ".join(html.unescape(b).split()) for b in blocks)
         return "\n".join(b for b in clean if b), took
 
+    def _size(self, drop: list[bool]) -> int:
+        """Characters of the text that stays, without white space."""
+        return sum(len("".join(self.source[i:j].split())) for e, i, j in self.text if e >= 0 and not drop[e])
+
 
 def _host() -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
@@ -266,14 +281,15 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     templates = host_templates(counts).join(F.broadcast(large), "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[set[int], set[int]]] = {}
+        known: dict[str, tuple[set[int], set[int], bool]] = {}
         for b in batches:
             texts, took = [], []
             if len(known) > 1000:
                 known.clear()
             for source, host, pages_, contents, shapes in zip(*[b.column(c).to_pylist() for c in (2, 3, 4)], b.column(5), b.column(6), strict=True):
                 if host not in known:
-                    known[host] = (set(contents.as_py() or ()), set(shapes.as_py() or ()) | (everywhere if pages_ < CONTENT_PAGES else set()))
+                    counted = pages_ >= CONTENT_PAGES
+                    known[host] = (set(contents.as_py() or ()), set(shapes.as_py() or ()) | (set() if counted else everywhere), counted)
                 text, n = Page(source or "").main_text(*known[host])
                 texts.append(text)
                 took.append(n)

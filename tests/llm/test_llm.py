@@ -486,6 +486,40 @@ def test_pages(spark):
     assert len(pages.extract_pages(long).first()["text"]) == 5 * 400_000 + 4
 
 
+@pytest.mark.parametrize("size", [4, 5, 40])
+def test_template_decides(spark, size):
+    """Texts that are known without any parser, on hosts of pages enough and of one page less; without its template a host's texts are others."""
+    r = random.Random(size)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows, want = [], {}
+    for i in range(size):
+        body = [" ".join(word() for _ in range(40)) for _ in range(3)]
+        wrap = ["<article><h2>{}</h2><p>{}</p><p>{}</p></article>", "<main><p>{}</p><div>{}<p>{}</div></main>", "<div class=text><p>{}</p><p>{}</p>{}</div>"][i % 3]
+        menu = "<div class='top'><ul>" + "".join(f"<li><a href='{word()}'>{x}</a></li>" for x in ("Home", "News", "About us")) + "</ul></div>"
+        advert = f"<div class='advert wide'><b>{word()} {word()}</b></div>"
+        below = f"<section>All rights of texts are with {7 * i} people<p>Write to us</p></section>"
+        rows.append((i, f"http://site.example/{i}", f"<body>{menu}{advert}{wrap.format(*body)}{below}</body>"))
+        want[i] = "\n".join(body)
+    got = {x.page_id: (x.text, x.n_template) for x in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    parsed = {i: pages.Page(h) for i, _, h in rows}
+    if size >= pages.CONTENT_PAGES:
+        assert {i: t for i, (t, _) in got.items()} == want and all(n == 3 for _, n in got.values())
+        assert all(p.main_text(set(), set(), True)[0] != want[i] for i, p in parsed.items())
+    else:  # too few pages to count contents: articles are chosen, and elsewhere what no class names stays
+        for i in got:
+            menu_and_below = "" if i % 3 < 2 else "Home"
+            assert want[i] in got[i][0] and (menu_and_below in got[i][0]) and (got[i][0] == want[i]) == (i % 3 < 2)
+
+
+def test_guesses_take_less_than_they_leave():
+    text = lambda h: pages.Page(h).main_text(set(), set(), False)[0]
+    assert text("<body><article><h2>Teaser</h2></article><div><p>The long main story here.</p></div></body>") == "Teaser\nThe long main story here."
+    assert text('<div id="main-banner-story"><p>Only text of page</p></div>') == "Only text of page"
+    assert text("<article>The long main story here.</article><div>Teaser</div>") == "The long main story here."
+    assert text("<div class=promo>Buy</div><p>A story of some words</p>") == "A story of some words"
+    assert text("<nav>Menu</nav><p>x</p><footer>of the site</footer>") == "x"
+
+
 @pytest.mark.parametrize("lot", [5_000, 3])
 def test_templates_against_plain_counts(spark, tmp_path, lot, monkeypatch):
     """The registered query against counts of every subtree in plain Python; small parts deal a host over several."""
@@ -510,7 +544,7 @@ def test_templates_against_plain_counts(spark, tmp_path, lot, monkeypatch):
     for (h, p), (i, url, _) in zip(parsed, rows, strict=True):
         contents = {c for (x, c), n in content.items() if x == h and n >= max(5, 0.2 * sizes[h])}
         shapes = {s for (x, s), n in shape.items() if x == h and n >= max(3, 0.01 * sizes[h])} | {s for s, n in common.items() if n >= 5 and sizes[h] < 5}
-        text, took = p.main_text(contents, shapes)
+        text, took = p.main_text(contents, shapes, sizes[h] >= 5)
         want[i] = (i, url, text, len(text), took)
     got = pages.op9_html_extraction(spark, str(tmp_path))
     assert got.columns == ["page_id", "url", "text", "n_chars", "n_template"]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import by_block, halo, shown, size
+from .core import by_block, halo, shown, size, small
 
 
 def label_frame(spark: SparkSession, labels: Sequence[str], name: str = "k") -> DataFrame:
@@ -122,7 +122,7 @@ def general_agreement(pairs: DataFrame, labels: Sequence[str]) -> DataFrame:
 
 def information(matrix: DataFrame, value: str = "joint") -> DataFrame:
     """One row: row and column entropies, conditional entropy, mutual information, and its share of the column entropy."""
-    v = F.col(value)
+    matrix, v = small(matrix), F.col(value)
     log = lambda x: F.when(x > 0, F.log2(x)).otherwise(F.lit(0.0))
     rows, cols = matrix.groupBy("k").agg(F.sum(v).alias("r")), matrix.groupBy("j").agg(F.sum(v).alias("c"))
     cells = matrix.join(F.broadcast(rows), "k").join(F.broadcast(cols), "j")

@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Words, components, groups, materialize, mix, slices, table, texts_of, to_batch
@@ -165,6 +165,11 @@ def near_links(distinct: DataFrame, bits: int, radius: int, blocks: int, equal:
     return dealt.mapInArrow(compare, "u long, v long").distinct()
 
 
+def node_of(lanes: int) -> Column:
+    """A fingerprint's number among the links: its own 64 bits; a hash of wider ones."""
+    return F.conv(F.hex("fp"), 16, -10).cast("long") if lanes == 1 else F.xxhash64("fp")
+
+
 def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 3, lanes: int = 1, blocks: int = 5, equal: int = 2, sets: bool = False) -> DataFrame:
     """(doc_id, fp, component_id) of every row; fingerprints within ``radius`` bits are linked.
 
@@ -172,10 +177,10 @@ def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 3, lanes
     """
     prints = materialize(fingerprint_table(documents, words, lanes, sets), "fingerprints")
     distinct = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("owner")), "distinct")
-    # a document id may carry several texts; a node is a fingerprint, named by its smallest doc_id and, on ties, its bytes
-    links = near_links(distinct.select(F.xxhash64("fp").alias("node"), "fp"), 64 * lanes, radius, blocks, equal)
+    # a document id may carry several texts; a node is a fingerprint
+    links = near_links(distinct.select(node_of(lanes).alias("node"), "fp"), 64 * lanes, radius, blocks, equal)
     found = components(links)
-    named = distinct.withColumn("node", F.xxhash64("fp")).join(found, "node", "left").select("fp", "owner", F.coalesce("component", "node").alias("component"))
+    named = distinct.withColumn("node", node_of(lanes)).join(found, "node", "left").select("fp", "owner", F.coalesce("component", "node").alias("component"))
     named = materialize(named, "named")
     least = named.groupBy("component").agg(F.min("owner").alias("component_id"))
     least = least.select(F.bitwise_not("component").alias("flipped"), "component_id")

@@ -328,6 +328,12 @@ def test_simhash(documents, corpus, empty, tile, monkeypatch):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_nodes_are_the_fingerprints_own_bits(spark):
+    prints = [bytes(8), b"\x7f" + b"\xff" * 7, b"\x80" + bytes(7), b"\xff" * 8, bytes(range(8))]
+    df = spark.createDataFrame([(p,) for p in prints], "fp binary")
+    assert [r.n for r in df.select(simhash.node_of(1).alias("n")).collect()] == [int.from_bytes(p, "big", signed=True) for p in prints]
+
+
 def test_pigeonhole_masks_meet():
     masks, r = [int.from_bytes(m, "big") for m in simhash.block_masks(64, 5, 2)], random.Random(1)
     for _ in range(500):

@@ -10,7 +10,7 @@ anything but white space are compared across all documents: candidates by a 128-
 occurrence, by doc_id and place, stays; others are removed with their line feeds.
 
 A null text stays null, an empty one empty. Rows without a doc_id pass through unchanged and remove nothing elsewhere.
-Repeated rows (same doc_id and text) are one document: nothing is removed from one for the other's sake. Every other column
+Texts of any length are read whole. Repeated rows (same doc_id and text) are one document: nothing is removed from one for the other's sake. Every other column
 is kept, whatever its name. An empty table gives an empty result.
 """
 
@@ -99,7 +99,7 @@ def _digest(body: bytes) -> tuple[int, int]:
 
 
 def repeated_chunks(documents: DataFrame, bodies: Callable[[bytes], list[bytes | None]] = chunk_bodies, apart: int = 1) -> DataFrame:
-    """(row, gone): numbers of the pieces (see ``bodies``) that each document loses.
+    """(doc_id, row, gone): numbers of the pieces (see ``bodies``) that each document loses.
 
     ``apart``: least distance of a piece from its first occurrence in the same text, so that none is removed that overlaps it.
     """
@@ -124,7 +124,7 @@ def repeated_chunks(documents: DataFrame, bodies: Callable[[bytes], list[bytes |
     known = known.select(F.xxhash64("h1", "h2").alias("key"), F.col("h1").alias("k1"), F.col("h2").alias("k2"), "least")
     # joined on a derived key, whose exchange is plain on both sides: a skewed one is split
     again = hashed.withColumn("key", F.xxhash64("h1", "h2")).join(known, "key").where("h1 = k1 and h2 = k2")
-    wanted = again.groupBy("row").agg(F.collect_list(F.struct("i", "key", (place == F.col("least")).alias("first"))).alias("wanted"))
+    wanted = again.groupBy("doc_id", "row").agg(F.collect_list(F.struct("i", "key", (place == F.col("least")).alias("first"))).alias("wanted"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,11 +137,11 @@ def repeated_chunks(documents: DataFrame, bodies: Callable[[bytes], list[bytes |
                         out[name].append(value)
             yield to_batch(out, _CANDIDATES)
 
-    found = docs.join(wanted, "row").select("doc_id", "row", "text", "wanted")
+    found = docs.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "wanted")
     found = materialize(found.mapInArrow(candidates, "doc_id long, row long, i int, h1 long, first boolean, body binary").distinct(), "line-candidates")
-    firsts = found.where("first").select("h1", F.col("body").alias("kept"), F.col("row").alias("at"), F.col("i").alias("from"))
-    same = found.where("not first").select("row", "i", "h1", "body").join(firsts, "h1").where(f"body = kept and (row <> at or i - from >= {apart})")
-    return same.groupBy("row").agg(F.collect_set("i").alias("gone"))
+    firsts = found.where("first").select("h1", F.col("body").alias("kept"), F.col("doc_id").alias("of"), F.col("row").alias("at"), F.col("i").alias("from"))
+    same = found.where("not first").select("doc_id", "row", "i", "h1", "body").join(firsts, "h1").where(f"body = kept and (doc_id <> of or row <> at or i - from >= {apart})")
+    return same.groupBy("doc_id", "row").agg(F.collect_set("i").alias("gone"))
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
@@ -155,10 +155,10 @@ def dedup_passages(documents: DataFrame) -> DataFrame:
 
 
 def _cut(documents: DataFrame, repeated: DataFrame, rest: Callable[[bytes, set[int]], bytes]) -> DataFrame:
-    gone = repeated.select(F.col("row").alias("__row"), F.col("gone").alias("__gone"))
+    gone = repeated.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("gone").alias("__gone"))
     names = documents.columns
     whole = documents.select(F.struct(*[documents[f"`{c}`"] for c in names]).alias("__doc"))
-    whole = whole.withColumn("__row", F.when(F.col("__doc.doc_id").isNotNull(), row_key("__doc.doc_id", "__doc.text")))
+    whole = whole.withColumns({"__id": F.col("__doc.doc_id").cast("long"), "__row": F.when(F.col("__doc.doc_id").isNotNull(), row_key("__doc.doc_id", "__doc.text"))})
     schema = documents.schema
 
     def cut(texts: pa.Array, gone_: pa.Array) -> list:
@@ -174,7 +174,7 @@ def _cut(documents: DataFrame, repeated: DataFrame, rest: Callable[[bytes, set[i
 
         return pd.Series(cut(pa.array(text, pa.string()), pa.array(gone_, pa.list_(pa.int32()), from_pandas=True)), dtype=object)
 
-    joined = whole.join(gone, "__row", "left")
+    joined = whole.join(gone, ["__id", "__row"], "left")
     text = F.when(F.col("__gone").isNull(), F.col("__doc.text")).otherwise(without(F.col("__doc.text"), F.col("__gone")))
     joined = joined.select("__doc", text.alias("__text"))
     columns = []

@@ -692,6 +692,35 @@ def test_repeated_passages_go_whole(spark, documents, corpus, empty):
     assert all(x["text"] == want[x["doc_id"]] and x["n_chars"] == len(x["text"]) for x in got.collect() if x["doc_id"] in want)
 
 
+def test_pivots_leave_few_pairs(spark, monkeypatch):
+    """A group of near copies that its least node leaves in many parts: pivots link them, without all pairs, and the result is the same."""
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for i in range(300):  # each copy changes a few words, so that two of them are mostly just above or below 0.8
+        own = list(base)
+        for at in r.sample(range(160), 4):
+            own[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen, across = [], jaccard.across_components
+    monkeypatch.setattr(jaccard, "across_components", lambda *a: seen.append(across(*a)) or seen[-1])
+    out = []
+    for pivots in (3, 0):
+        monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+        out.append({x.doc_id: x.component_id for x in jaccard.similar_documents(docs).collect()})
+    sets = [set(s.tolist()) for s in jaccard.shingle_sets([t.encode() for _, t in rows])]
+    least = list(range(300))
+    find = lambda i: i if least[i] == i else find(least[i])
+    for i in range(300):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                least[max(a, b)] = min(a, b)
+    assert out[0] == out[1] == {i: find(i) for i in range(300)}
+    assert seen[0].count() <= seen[1].count()
+
+
 def test_bitmaps_never_exceed_the_difference():
     r = np.random.default_rng(9)
     for n in (5, 900, 1100, 2000, 2100, 9000):

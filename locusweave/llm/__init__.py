@@ -29,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substrings.ORACLE, "op2_exact_topk": topk.ORACLE, "op5_mixing": mixing.ORACLE, "op12_lexical_search": lexical.ORACLE}
+    return {"op1_substring_dedup": substrings.ORACLE, "op2_exact_topk": topk.ORACLE, "op3_line_dedup": lines.ORACLE, "op5_mixing": mixing.ORACLE, "op12_lexical_search": lexical.ORACLE}

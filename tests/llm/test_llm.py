@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -692,6 +693,35 @@ def test_repeated_passages_go_whole(spark, documents, corpus, empty):
     assert all(x["text"] == want[x["doc_id"]] and x["n_chars"] == len(x["text"]) for x in got.collect() if x["doc_id"] in want)
 
 
+def test_repeated_lines_against_sql(spark, tmp_path):
+    """Short texts of few lines, white ones among them: chunks, pairs and white lines meet in every order; repeated rows and other doc_ids' nulls."""
+    r = random.Random(1)
+    line = lambda: r.choice(["a", "b", "c", "", " ", "\t\x0b", "é", "d", "e f"])
+    rows = [(i, None if r.random() < 0.05 else "\n".join(line() for _ in range(r.randint(0, 14))) + r.choice(["", "\n", "\n\n"])) for i in range(1200)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = Counter(tuple(x) for x in lines.op3_line_dedup(spark, str(tmp_path)).collect())
+    assert got == Counter(con.execute(lines.ORACLE).fetchall())
+    texts = {d: t.encode() for d, t in rows if t}
+    for t in texts.values():
+        pieces = list(lines.pieces_of(t, True))
+        assert [b for *_, pair, b in pieces if pair] == [b for b in lines.pair_bodies(t) if b is not None]
+        assert [b for *_, pair, b in pieces if not pair] == [b for c in lines.chunks_of(t) if (b := lines._body(c)) is not None]
+
+
+def test_chunks_settle_long_passages(spark):
+    """Of a passage of many lines only the pairs at its edges are left to be compared."""
+    r = random.Random(3)
+    new = lambda k: [str(r.random()) for _ in range(k)]
+    passage = new(400)
+    rows = [(d, "\n".join(new(5) + passage + new(5))) for d in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    by_chunks = {x.doc_id: len(x.text.split("\n")) for x in lines.dedup_lines(df).collect()}
+    assert by_chunks[0] == 410 and all(10 <= by_chunks[d] <= 40 for d in range(1, 20))
+    assert all(len(x.text.split("\n")) == (410 if x.doc_id == 0 else 10) for x in lines.dedup_passages(df).collect())
+
+
 def test_pivots_leave_few_pairs(spark, monkeypatch):
     """A group of near copies that its least node leaves in many parts: pivots link them, without all pairs, and the result is the same."""
     r = random.Random(11)
@@ -734,7 +764,6 @@ def test_bitmaps_never_exceed_the_difference():
 
 def test_registered_queries(spark, corpus, tmp_path):
     """Each opN query on tables with nulls, empties, repeats and clashing columns: rows, columns, and SQL where there is some."""
-    duckdb = pytest.importorskip("duckdb")
     from locusweave import llm
 
     # an oracle of one row a doc_id needs distinct ids
@@ -743,8 +772,10 @@ def test_registered_queries(spark, corpus, tmp_path):
     r = np.random.default_rng(1)
     vectors = [(i, [float(v) for v in r.normal(size=6)], "clash") for i in range(120)] + [(150, None, "clash"), (151, [float("nan")] * 6, "clash")]
     spark.createDataFrame(vectors, "vec_id long, embedding array<double>, score string").write.parquet(str(tmp_path / "embeddings.parquet"))
+    items = [(i, t, "clash") for i, (_, t, *_) in enumerate(list(rows.values())[::6])] + [(90, None, "clash"), (91, "", "clash"), (92, "no such term zzzz", "clash")]
+    spark.createDataFrame(items, "item_id long, text string, score string").write.parquet(str(tmp_path / "benchmark.parquet"))
     db = duckdb.connect()
-    for name in ("documents", "embeddings"):
+    for name in ("documents", "embeddings", "benchmark"):
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
     for name, sql in llm.oracle_sql().items():
         got = llm.queries()[name](spark, str(tmp_path))

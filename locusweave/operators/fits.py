@@ -85,7 +85,8 @@ def smoothing_spline(x: np.ndarray, y: np.ndarray, smoothing: float | None = Non
     the curve keeps its value there.
     """
     x, y = np.asarray(x, float), np.asarray(y, float)
-    low, width = float(x.min()), float(np.ptp(x)) or 1.0
+    low, high = float(x.min()), float(x.max())
+    width = high - low or 1.0  # at a single x the curve is its mean everywhere
     bound = len(x) if smoothing is None else smoothing
     u = (x - low) / width
     basis = cubic_basis(u, pieces)
@@ -99,13 +100,13 @@ def smoothing_spline(x: np.ndarray, y: np.ndarray, smoothing: float | None = Non
 
     power = np.linalg.lstsq(np.vander(2 * u - 1, 4), y, rcond=None)[0]
     if float(((y - np.vander(2 * u - 1, 4) @ power) ** 2).sum()) <= bound:
-        return lambda v: np.polyval(power, 2 * np.clip((np.asarray(v, float) - low) / width, 0, 1) - 1)
+        return lambda v: np.polyval(power, 2 * (np.clip(np.asarray(v, float), low, high) - low) / width - 1)
     least, most = -12.0, 12.0
     for _ in range(60):
         middle = (least + most) / 2
         least, most = (middle, most) if misfit(weights(10**middle)) <= bound else (least, middle)
     c = weights(10**least)
-    return lambda v: cubic_basis((np.asarray(v, float) - low) / width, pieces) @ c
+    return lambda v: cubic_basis((np.clip(np.asarray(v, float), low, high) - low) / width, pieces) @ c
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, method: str, smoothing: float | None = None, degree: int = 3) -> Curve:

@@ -1,18 +1,19 @@
 """Secret scans: rules for well-known forms, and a character convolutional network over every other candidate.
 
-Base findings are regular expressions. What they leave of every maximal run of ``[A-Za-z0-9+/_=-]`` is a candidate if it has
-SHORTEST characters or more, one of them behind the first not a lower-case letter, or LETTERS characters of any kind: shorter runs
-of lower-case letters are words, which nothing in their characters could tell from a password. The network reads a candidate and
-the characters around it, in overlapping windows of INNER characters where it is longer, so all of it is seen; the windows whose
-calibrated probability passes a threshold are findings, neighbours as one. The threshold is the highest that keeps a recall of
-RECALL on held-out findings.
+Base findings are regular expressions. Of what they leave, every maximal run of ``[A-Za-z0-9+/_=-]``, of any length, is a candidate.
+The network has two parts: one reads a candidate, in overlapping windows of INNER characters where it is longer, so all of it is
+seen, the other the AROUND characters on both sides. The second can move the sum by SWAY at most, so a window whose own part stays
+more than that below the threshold is decided without its surroundings, and the own part of a frequent word is held by the task;
+both only save work. Windows whose sum passes the threshold are findings, neighbours as one. The threshold is the highest that
+keeps a recall of RECALL on held-out findings.
 
 The network is trained in numpy on labelled findings: credentials of common shapes, alone and inside paths, assignments and
-addresses, and what resembles them (words of several languages in any case, numbers, identifiers, paths, dates ...), drawn from a
-seed, so training needs no corpus and is the same everywhere.
+addresses, and what resembles them (words of several languages in any case and of any length, numbers, identifiers, paths, dates
+...), drawn from a seed, so training needs no corpus and is the same everywhere.
 
-Null texts are empty. Null ids and repeated rows are kept, each as it is. Extra columns are ignored, whatever their names. An empty
-table gives an empty result.
+Null texts are empty. Null ids and repeated rows are kept, each as it is. Texts of any length are read whole, in lots of bounded
+size; one of more than a lot is a lot of its own. Findings of one start come in order of kind; those of different kinds may overlap, but
+for the network's. Extra columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,12 +30,13 @@ from pyspark.sql import functions as F
 from .common import runs, slices, table, texts_of, to_batch
 
 _WORD = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
-ASSIGN = re.compile(rf"({_WORD})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+ASSIGN = re.compile(rf"({_WORD})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)".encode())
 ACCESS, HEX = re.compile(rb"AKIA[A-Z0-9]+"), re.compile(rb"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "network")
 
-SHORTEST, LETTERS, AROUND, INNER, RECALL = 10, 16, 12, 44, 0.99
-_SIZE = 2 * AROUND + INNER
+AROUND, INNER, SWAY, RECALL = 12, 44, 4.0, 0.99
+#: Windows whose own part a task holds.
+KNOWN = 1 << 18
 
 _CHARS = np.zeros(256, bool)
 for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-":
@@ -48,14 +50,22 @@ _SYMBOL[32:127] = np.arange(1, 96)
 _SYMBOL[10] = 96
 
 
+def symbols_of(pieces: list[bytes], size: int) -> np.ndarray:
+    """Symbols (pieces, size), 0 behind a piece's end."""
+    grid = np.frombuffer(b"".join([p.ljust(size, b"\0") for p in pieces]), np.uint8).reshape(-1, size)
+    return np.where(grid == 0, 0, _SYMBOL[grid])
+
+
+def surroundings(before: list[bytes], after: list[bytes]) -> np.ndarray:
+    """Symbols of AROUND characters on each side, those behind with numbers of their own and a gap that no filter spans."""
+    left = symbols_of([b[-AROUND:].rjust(AROUND, b"\0") for b in before], AROUND)
+    right = symbols_of([a[:AROUND] for a in after], AROUND)
+    return np.concatenate((left, np.zeros((len(left), Tower.WIDTH - 1), np.int64), np.where(right > 0, right + 98, 0)), axis=1)
+
+
 def encode(before: list[bytes], inner: list[bytes], after: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols (windows, _SIZE) and the mask of the window's own places; no window is longer than INNER."""
-    raw = b"".join(b[-AROUND:].rjust(AROUND, b"\0") + i.ljust(INNER, b"\0") + a[:AROUND].ljust(AROUND, b"\0") for b, i, a in zip(before, inner, after, strict=True))
-    grid = np.frombuffer(raw, np.uint8).reshape(-1, _SIZE)
-    symbols = np.where(grid == 0, 0, _SYMBOL[grid])
-    sizes = np.fromiter(map(len, inner), np.int64, len(inner))
-    place = np.arange(_SIZE)[None, :]
-    return symbols, (place >= AROUND) & (place < AROUND + sizes[:, None])
+    """Symbols of windows and of their surroundings; no window is longer than INNER."""
+    return symbols_of(inner, INNER), surroundings(before, after)
 
 
 def windows(begin: int, end: int) -> list[tuple[int, int]]:
@@ -65,89 +75,118 @@ def windows(begin: int, end: int) -> list[tuple[int, int]]:
     return [(i, i + INNER) for i in [*range(begin, end - INNER, INNER // 2), end - INNER]]
 
 
-class Network:
-    """Embedding, one convolution, maxima and means over the candidate, means around it, one hidden layer."""
+class Tower:
+    """Embedding, one convolution, maxima and means over places with a symbol, one hidden layer, one number."""
 
     WIDTH, EMBED, FILTERS, HIDDEN = 5, 8, 24, 24
 
-    def __init__(self, seed: int = 5):
-        r = np.random.default_rng(seed)
+    def __init__(self, symbols: int, r: np.random.Generator):
         f, e, w, h = self.FILTERS, self.EMBED, self.WIDTH, self.HIDDEN
         self.p = {
-            "embed": r.normal(0, 0.5, (99, e)), "conv": r.normal(0, (w * e) ** -0.5, (w * e, f)), "cb": np.zeros(f),
-            "w1": r.normal(0, (3 * f) ** -0.5, (3 * f, h)), "b1": np.zeros(h), "w2": r.normal(0, h**-0.5, h), "b2": np.zeros(1),
+            "embed": r.normal(0, 0.5, (symbols, e)), "conv": r.normal(0, (w * e) ** -0.5, (w * e, f)), "cb": np.zeros(f),
+            "w1": r.normal(0, (2 * f) ** -0.5, (2 * f, h)), "b1": np.zeros(h), "w2": r.normal(0, h**-0.5, h), "b2": np.zeros(1),
         }
         # characters of a kind begin alike: lower case, upper case, digits, all else
         kind = np.array([0 if chr(c).islower() else 1 if chr(c).isupper() else 2 if chr(c).isdigit() else 3 for c in range(32, 127)])
-        self.p["embed"][1:96, :4] = np.eye(4)[kind] + 0.1 * self.p["embed"][1:96, :4]
+        for low in range(1, symbols - 97, 98):
+            self.p["embed"][low : low + 95, :4] = np.eye(4)[kind] + 0.1 * self.p["embed"][low : low + 95, :4]
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
-        self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
 
-    def _forward(self, symbols: np.ndarray, mask: np.ndarray):
+    def forward(self, symbols: np.ndarray):
         p, w = self.p, self.WIDTH
         n, size = symbols.shape
+        live = (symbols > 0)[:, :, None]
         x = np.zeros((n, size + w - 1, self.EMBED), np.float32)
-        x[:, w // 2 : w // 2 + size] = p["embed"][symbols] * (symbols > 0)[:, :, None]
+        x[:, w // 2 : w // 2 + size] = p["embed"][symbols] * live
         cols = np.lib.stride_tricks.sliding_window_view(x, w, axis=1).transpose(0, 1, 3, 2).reshape(n * size, w * self.EMBED)
-        z = (cols @ p["conv"] + p["cb"]).reshape(n, size, -1)
-        a = np.maximum(z, 0)
-        inside = mask[:, :, None]
-        n_in = np.maximum(1, mask.sum(1))[:, None]
-        out = (~mask & (symbols > 0))[:, :, None]
-        n_out = np.maximum(1, out.sum(1))
-        masked = np.where(inside, a, -1)
-        top = masked.argmax(1)
-        pooled = np.concatenate((np.take_along_axis(masked, top[:, None], 1)[:, 0], (a * inside).sum(1) / n_in, (a * out).sum(1) / n_out), 1)
+        a = np.maximum((cols @ p["conv"] + p["cb"]).reshape(n, size, -1), 0) * live
+        count = np.maximum(1, live.sum(1))
+        top = a.argmax(1)
+        pooled = np.concatenate((np.take_along_axis(a, top[:, None], 1)[:, 0], a.sum(1) / count), 1)
         hid = np.maximum(pooled @ p["w1"] + p["b1"], 0)
-        return hid @ p["w2"] + p["b2"][0], (cols, z, inside, n_in, out, n_out, top, pooled, hid)
+        return hid @ p["w2"] + p["b2"][0], (symbols, cols, a, count, top, pooled, hid)
 
-    def scores(self, symbols: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Calibrated probabilities."""
-        logits = np.concatenate([self._forward(symbols[i : i + 512], mask[i : i + 512])[0] for i in range(0, len(symbols), 512)]) if len(symbols) else np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(logits * self.scale + self.shift, -30, 30)))
-
-    def train(self, symbols: np.ndarray, mask: np.ndarray, label: np.ndarray, epochs: int = 8, batch: int = 192, seed: int = 6) -> None:
-        r = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        t = 0
-        for epoch in range(epochs):
-            order = r.permutation(len(label))
-            for low in range(0, len(order), batch):
-                at = order[low : low + batch]
-                g = self._gradient(symbols[at], mask[at], label[at])
-                t += 1
-                rate = 0.005 * (1 - epoch / epochs)
-                for k in self.p:
-                    m[k] = 0.9 * m[k] + 0.1 * g[k]
-                    v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-                    self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
-
-    def _gradient(self, symbols, mask, label):
-        p, w, e = self.p, self.WIDTH, self.EMBED
-        logit, (cols, z, inside, n_in, out, n_out, top, pooled, hid) = self._forward(symbols, mask)
+    def gradient(self, held, d: np.ndarray) -> dict[str, np.ndarray]:
+        """Of a loss that changes by ``d`` with each row's number; ``held`` is what forward gave besides."""
+        symbols, cols, a, count, top, pooled, hid = held
+        p, w, e, f = self.p, self.WIDTH, self.EMBED, self.FILTERS
         n, size = symbols.shape
-        d = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label) / n).astype(np.float32)
         g = {"w2": hid.T @ d, "b2": d.sum(keepdims=True)}
         dh = d[:, None] * p["w2"] * (hid > 0)
         g["w1"], g["b1"] = pooled.T @ dh, dh.sum(0)
         dp = dh @ p["w1"].T
-        f = self.FILTERS
-        da = (dp[:, None, f : 2 * f] / n_in[:, :, None]) * inside + (dp[:, None, 2 * f :] / n_out[:, None, :]) * out
+        da = np.repeat((dp[:, f:] / count)[:, None], size, axis=1)
         np.put_along_axis(da, top[:, None], np.take_along_axis(da, top[:, None], 1) + dp[:, None, :f], 1)
-        dz = (da * (z > 0)).reshape(n * size, f)
+        dz = (da * (a > 0)).reshape(n * size, f)
         g["conv"], g["cb"] = cols.T @ dz, dz.sum(0)
         dx = (dz @ p["conv"].T).reshape(n, size, w, e)
         padded = np.zeros((n, size + w - 1, e), np.float32)
         for k in range(w):
             padded[:, k : k + size] += dx[:, :, k]
         live = (padded[:, w // 2 : w // 2 + size] * (symbols > 0)[:, :, None]).reshape(-1, e)
-        at = symbols.ravel()
-        de = np.stack([np.bincount(at, weights=live[:, k], minlength=len(p["embed"])) for k in range(e)], axis=1).astype(np.float32)
-        g["embed"] = de
+        g["embed"] = np.stack([np.bincount(symbols.ravel(), weights=live[:, k], minlength=len(p["embed"])) for k in range(e)], axis=1).astype(np.float32)
         return g
 
 
+class Network:
+    """A tower over the window, and one over its surroundings that moves the sum by SWAY at most."""
+
+    def __init__(self, seed: int = 5):
+        r = np.random.default_rng(seed)
+        self.own, self.around = Tower(99, r), Tower(197, r)
+        self.scale, self.shift, self.threshold, self.cut = 1.0, 0.0, 0.5, 0.0
+        self.known: dict[bytes, float] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
+
+    def sway(self, around: np.ndarray) -> np.ndarray:
+        return SWAY * np.concatenate([np.tanh(self.around.forward(around[i : i + 512])[0]) for i in range(0, len(around), 512)]) if len(around) else np.zeros(0)
+
+    def logits(self, symbols: np.ndarray, around: np.ndarray) -> np.ndarray:
+        own = [self.own.forward(symbols[i : i + 512])[0] for i in range(0, len(symbols), 512)]
+        return np.concatenate(own) + self.sway(around) if own else np.zeros(0)
+
+    def scores(self, symbols: np.ndarray, around: np.ndarray) -> np.ndarray:
+        """Calibrated probabilities."""
+        return 1 / (1 + np.exp(-np.clip(self.logits(symbols, around) * self.scale + self.shift, -30, 30)))
+
+    def alone(self, pieces: list[bytes]) -> np.ndarray:
+        """The windows' own part of the sum."""
+        rest = sorted(set(pieces).difference(self.known), key=lambda p: (len(p), p))
+        if len(self.known) + len(rest) > KNOWN:
+            self.known.clear()
+            rest = sorted(set(pieces), key=lambda p: (len(p), p))
+        for low in range(0, len(rest), 512):
+            lot = rest[low : low + 512]
+            self.known.update(zip(lot, self.own.forward(symbols_of(lot, len(lot[-1])))[0].tolist(), strict=True))
+        return np.fromiter(map(self.known.__getitem__, pieces), float, len(pieces))
+
+    def train(self, symbols: np.ndarray, around: np.ndarray, label: np.ndarray, epochs: int = 8, batch: int = 192, seed: int = 6) -> None:
+        r = np.random.default_rng(seed)
+        towers = (self.own, self.around)
+        m, v = ([{k: np.zeros_like(x) for k, x in t.p.items()} for t in towers] for _ in range(2))
+        t = 0
+        for epoch in range(epochs):
+            order = r.permutation(len(label))
+            rate = 0.005 * (1 - epoch / epochs)
+            for low in range(0, len(order), batch):
+                at = order[low : low + batch]
+                t += 1
+                for i, g in enumerate(self._gradients(symbols[at], around[at], label[at])):
+                    for k in g:
+                        m[i][k] = 0.9 * m[i][k] + 0.1 * g[k]
+                        v[i][k] = 0.99 * v[i][k] + 0.01 * g[k] ** 2
+                        towers[i].p[k] = (towers[i].p[k] - rate * (m[i][k] / (1 - 0.9**t)) / (np.sqrt(v[i][k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+
+    def _gradients(self, symbols: np.ndarray, around: np.ndarray, label: np.ndarray) -> list[dict[str, np.ndarray]]:
+        one, held1 = self.own.forward(symbols)
+        two, held2 = self.around.forward(around)
+        moved = np.tanh(two)
+        d = ((1 / (1 + np.exp(-np.clip(one + SWAY * moved, -30, 30))) - label) / len(label)).astype(np.float32)
+        return [self.own.gradient(held1, d), self.around.gradient(held2, d * SWAY * (1 - moved**2))]
+
+
 def labelled_findings(count: int, seed: int) -> tuple[list[tuple[bytes, bytes, bytes]], np.ndarray]:
     """(before, window, after) and whether it holds a credential: random ones of common shapes, and look-alikes."""
     r = np.random.default_rng(seed)
@@ -191,7 +230,9 @@ def labelled_findings(count: int, seed: int) -> tuple[list[tuple[bytes, bytes, b
             lambda: word(1, 3).upper() + "_" + word().upper() + "_" + word().upper(), lambda: "-".join([word(), pick(num, 1), pick(num, 1), pick(num, 1)]), lambda: word(2, 4).capitalize() + word(2, 4).upper(),
             lambda: letters(int(r.integers(10, 20))).upper(), lambda: letters(int(r.integers(10, 20))).upper(), lambda: letters(int(r.integers(16, 24))), lambda: letters(int(r.integers(15, 20))).capitalize(),
             lambda: (word() + letters(int(r.integers(2, 8))) + word()).upper(), lambda: (letters(int(r.integers(2, 5))) + word(3, 5)).upper(), lambda: pick(num, int(r.integers(13, 20))),
-        ][r.integers(0, 30)]()
+            lambda: word(1, 4), lambda: letters(int(r.integers(1, 10))), lambda: pick(num, int(r.integers(1, 10))), lambda: word(1, 4).capitalize(), lambda: letters(int(r.integers(1, 7))).upper(),
+            lambda: word(1, 3) + pick(num, int(r.integers(1, 4))), lambda: pick("=-_/+", 1) * int(r.integers(1, 10)), lambda: pick(low + up + num, int(r.integers(1, 6))),
+        ][r.integers(0, 38)]()
 
     found, label = [], []
     lead = ["token = \"", "password: ", "secret=", "api_key=", "key ", "Authorization: Bearer ", "export KEY=", "\n", " ", " (", "\"", "id: ", "see ", "http://x/", "= ", ": "]
@@ -202,8 +243,6 @@ def labelled_findings(count: int, seed: int) -> tuple[list[tuple[bytes, bytes, b
         lead_in, lead_out = inside() if good else ("", "")
         body = secret() if good else other()
         text = lead_in + body + lead_out
-        while not good and (len(text) < SHORTEST or len(text) < LETTERS and text[1:].islower()):
-            text = other()
         # words go on in letters beyond ASCII, which end a run
         close = not good and r.random() < 0.3
         before = prose(3) + (pick(accents + accents.upper(), 1) if close else " " + lead[r.integers(0, len(lead))])
@@ -221,11 +260,11 @@ def labelled_findings(count: int, seed: int) -> tuple[list[tuple[bytes, bytes, b
 def trained(count: int = 8000, seed: int = 29) -> Network:
     """The network, fitted on 4 of 6 parts, calibrated (by a logistic scale) on one, its threshold set on the last."""
     found, label = labelled_findings(count, seed)
-    symbols, mask = encode([x[0] for x in found], [x[1] for x in found], [x[2] for x in found])
+    symbols, around = encode([x[0] for x in found], [x[1] for x in found], [x[2] for x in found])
     part = np.arange(count) // 2 % 6
     net = Network()
-    net.train(symbols[part < 4], mask[part < 4], label[part < 4])
-    raw, y = np.concatenate([net._forward(symbols[i : i + 512], mask[i : i + 512])[0] for i in range(0, count, 512)]), label
+    net.train(symbols[part < 4], around[part < 4], label[part < 4])
+    raw, y = net.logits(symbols, around), label
     scale, shift = 1.0, 0.0
     x = raw[part == 4]
     for _ in range(50):  # Newton's steps, a little ridge on the scale
@@ -235,15 +274,14 @@ def trained(count: int = 8000, seed: int = 29) -> Network:
         step = np.linalg.solve(np.array([[h @ (x * x) + 0.1, h @ x], [h @ x, h.sum()]]), g)
         scale, shift = scale - step[0], shift - step[1]
     net.scale, net.shift = float(scale), float(shift)
-    good = np.sort(net.scores(symbols[part == 5], mask[part == 5])[y[part == 5] == 1])
-    net.threshold = float(good[int((1 - RECALL) * len(good))])  # the highest at which the recall holds
+    if net.scale <= 0:
+        raise ValueError("the network's scores fall with its sums")
+    good = np.sort(raw[(part == 5) & (y == 1)])
+    net.cut = float(good[int((1 - RECALL) * len(good))])  # the highest at which the recall holds
+    net.threshold = float(1 / (1 + np.exp(-np.clip(net.cut * net.scale + net.shift, -30, 30))))
     return net
 
 
-def _assigned(text: str) -> list[tuple[int, int, int]]:
-    return [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-
-
 def scan(texts: list[bytes], net: Network) -> list[list[tuple[int, int, int]]]:
     """Of each text its findings (start, kind, end), in code points, by start and kind."""
     out: list[list[tuple[int, int, int]]] = []
@@ -252,45 +290,38 @@ def scan(texts: list[bytes], net: Network) -> list[list[tuple[int, int, int]]]:
         joined = b"\n".join(lot) + b"\n"
         raw = np.frombuffer(joined, np.uint8)
         begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in lot])))
-        begin, end = runs(_CHARS[raw])
-        odd = np.concatenate(([0], np.cumsum((raw < 97) | (raw > 122))))  # up to each place: bytes that aren't lower-case letters
-        keep = (end - begin >= LETTERS) | (end - begin >= SHORTEST) & (odd[end] > odd[begin + 1])
-        begin, end = begin[keep], end[keep]
+        free = _CHARS[raw]
+        begin, end = runs(free)
+        long = end - begin >= 20
+        base = [(b + m.start(), 1, b + m.end()) for b, e in zip(begin[long].tolist(), end[long].tolist(), strict=True) for m in ACCESS.finditer(joined[b:e]) if m.end() - m.start() >= 20]
+        base += [(b + m.start(), 2, b + m.end()) for b, e in zip(begin[long].tolist(), end[long].tolist(), strict=True) for m in HEX.finditer(joined[b:e]) if m.end() - m.start() >= 24]
+        for at, t in zip(begins.tolist(), lot, strict=False):
+            if b"=" in t or b":" in t:
+                base += [(at + m.start(), 0, at + m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+        for s, _, e in base:
+            free[s:e] = False
+        begin, end = runs(free) if base else (begin, end)
+        short = end - begin <= INNER
+        cut = [w for b, e in zip(begin[~short].tolist(), end[~short].tolist(), strict=True) for w in windows(b, e)]
+        begin, end = (np.concatenate((x[short], np.array([c[i] for c in cut], np.int64))) for i, x in enumerate((begin, end)))
+        own = net.alone([joined[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)])
+        begin, end, own = (x[own + SWAY >= net.cut] for x in (begin, end, own))
         owner = np.searchsorted(begins, begin, "right") - 1
-        points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80))) if len(begin) else None
+        first, last = begins[owner].tolist(), (begins[owner + 1] - 1).tolist()
+        spans = list(zip(begin.tolist(), end.tolist(), strict=True))
+        around = surroundings([joined[max(f, b - AROUND) : b] for f, (b, _) in zip(first, spans, strict=True)], [joined[e : min(z, e + AROUND)] for z, (_, e) in zip(last, spans, strict=True)])
+        for b, e in sorted(spans[i] for i in np.flatnonzero(own + net.sway(around) >= net.cut).tolist()):
+            if base and base[-1][1] == 3 and base[-1][2] >= b:  # windows of one candidate that overlap
+                base[-1] = (base[-1][0], 3, e)
+            else:
+                base.append((b, 3, e))
         found: list[list[tuple[int, int, int]]] = [[] for _ in lot]
-        for d, t in enumerate(lot):
-            if b"=" in t or b":" in t:
-                found[d] = _assigned(t.decode())
-        assigned = [len(f) for f in found]
-        cands = []  # text, first byte, end, start in code points
-        for b, e, d in zip(begin.tolist(), end.tolist(), owner.tolist(), strict=True):
-            start = int(points[b]) - int(points[begins[d]])
-            hit = []
-            if e - b >= 20:
-                piece = joined[b:e]
-                hit = [(start + m.start(), 1, start + m.end()) for m in ACCESS.finditer(piece) if m.end() - m.start() >= 20]
-                hit += [(start + m.start(), 2, start + m.end()) for m in HEX.finditer(piece) if m.end() - m.start() >= 24]
-            found[d] += hit
-            at = b
-            taken = sorted([(s - start + b, z - start + b) for s, _, z in (*found[d][: assigned[d]], *hit) if s < start + e - b and z > start])
-            for s, z in [*taken, (e, e)]:
-                s = min(s, e)
-                if s - at >= LETTERS or s - at >= SHORTEST and odd[s] > odd[at + 1]:
-                    cands += [(d, x, y, start + x - b) for x, y in windows(at, s)]
-                at = max(at, z)
-        if cands:
-            first, last = begins[:-1].tolist(), (begins[1:] - 1).tolist()
-            symbols, mask = encode([joined[max(first[d], x - AROUND) : x] for d, x, _, _ in cands], [joined[x:y] for _, x, y, _ in cands], [joined[y : min(last[d], y + AROUND)] for d, _, y, _ in cands])
-            good = net.scores(symbols, mask) >= net.threshold
-            for n in np.flatnonzero(good).tolist():
-                d, x, y, start = cands[n]
-                own = found[d]
-                if own and own[-1][1] == 3 and own[-1][2] >= start:  # windows of one candidate that overlap
-                    own[-1] = (own[-1][0], 3, start + y - x)
-                else:
-                    own.append((start, 3, start + y - x))
-        out += [sorted(f) for f in found]
+        if base:
+            points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+            for s, kind, e in sorted(base):
+                d = int(np.searchsorted(begins, s, "right")) - 1
+                found[d].append((int(points[s] - points[begins[d]]), kind, int(points[e] - points[begins[d]])))
+        out += found
     return out
 
 

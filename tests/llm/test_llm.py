@@ -588,6 +588,53 @@ def test_every_character_of_a_candidate_is_seen():
     assert [f[1] for f in secrets.scan([both.encode()], net)[0]] == [1, 3]
 
 
+def test_every_run_is_a_candidate(monkeypatch):
+    """Held parts and early decisions change nothing: each run of any length is decided as by the whole network."""
+    net = secrets.trained()
+    r = random.Random(4)
+    chars = "abcXYZ0189+/_=-"
+    texts = ["".join(r.choice(chars + " .é\n") if r.random() < 0.9 else "".join(r.choice(chars) for _ in range(r.randint(1, 40))) for _ in range(400)) for _ in range(20)] + ["a", "hunter2ab", "x" * 15, ""]
+    monkeypatch.setattr(secrets, "KNOWN", 50)
+    for text, found in zip(texts, secrets.scan([t.encode() for t in texts], net), strict=True):
+        free = list(text)
+        for s, kind, e in found:
+            if kind < 3:
+                free[s:e] = " " * (e - s)
+        want = set()
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]+", "".join(free)):
+            for b, e in secrets.windows(m.start(), m.end()):
+                before, after = text[:b].encode(), text[e:].encode()
+                if net.logits(*secrets.encode([before], [text[b:e].encode()], [after]))[0] >= net.cut:
+                    want |= set(range(b, e))
+        assert want == {i for s, kind, e in found if kind == 3 for i in range(s, e)}
+    assert any(f[1] == 3 for f in secrets.scan([("see " + "q8Zr2LmX0vT7bNcY5kHs9WdF").encode()], net)[0])
+
+
+def test_network_gradient():
+    """Against differences of the loss."""
+    net = secrets.Network(3)
+    found, label = secrets.labelled_findings(40, 2)
+    x, around = secrets.encode(*[[f[i] for f in found] for i in range(3)])
+    for t in (net.own, net.around):
+        t.p = {k: v.astype(np.float64) for k, v in t.p.items()}
+
+    def loss():
+        z = net.logits(x, around)
+        return float(np.mean(np.logaddexp(0, z) - label * z))
+
+    for t, g in zip((net.own, net.around), net._gradients(x, around, label), strict=True):
+        for k in ("embed", "conv", "cb", "w1", "b1", "w2", "b2"):
+            at = int(np.abs(g[k]).argmax())
+            p = t.p[k].reshape(-1)
+            held, step = p[at], 1e-3
+            p[at] = held + step
+            up = loss()
+            p[at] = held - step
+            down = loss()
+            p[at] = held
+            assert abs((up - down) / (2 * step) - g[k].ravel()[at]) < 0.02 * abs(g[k].ravel()[at]) + 1e-5, k
+
+
 def test_secret_query_columns(spark, tmp_path):
     """Every column of the registered query, base findings by plain regular expressions."""
     texts = ['é token = "abcdef" ' + "f" * 24, "password: abc AKIA" + "Z9" * 10, None, "", "x " * 50_000 + "secret=" + "Ab1" * 9, "API_KEY=abcdef" * 3, "API_KEY=abcdef" * 3]

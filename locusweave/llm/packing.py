@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import groups, materialize, table, to_batch
+from .common import groups, materialize, released, table, to_batch
 
 LENGTH, END, GROUP = 1024, 2, 8192
 TOKENIZER = "byte_bpe_50k.json"
@@ -39,7 +39,7 @@ class Encoder:
     hold, or with a special token's string, go to that library whole.
     """
 
-    def __init__(self, path: str | None = None, most: int = 600_000):
+    def __init__(self, path: str | None = None, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
@@ -113,7 +113,7 @@ def pieces(documents: DataFrame, length: int = LENGTH, path: str | None = None)
             if out["piece"]:
                 yield to_batch(out, _PIECE)
 
-    return source.mapInArrow(run, _PIECES)
+    return source.mapInArrow(released(run), _PIECES)
 
 
 def best_fit(sizes: list[int], length: int) -> list[list[int]]:
@@ -305,7 +305,7 @@ def _pack_groups(items: DataFrame, count: int, length: int, size: int, salt: int
                 columns = {f.name: taken[f.name].combine_chunks() for f in _PIECE}
                 yield to_batch(columns | {"sequence_id": name, "offset": offset, "full": full}, _PLACED)
 
-    return dealt.repartitionById(number, "g").sortWithinPartitions("g", "doc_id", "copy", "piece").mapInArrow(run, _PLACES)
+    return dealt.repartitionById(number, "g").sortWithinPartitions("g", "doc_id", "copy", "piece").mapInArrow(released(run), _PLACES)
 
 
 def pack(documents: DataFrame, length: int = LENGTH, size: int = GROUP, path: str | None = None) -> DataFrame:

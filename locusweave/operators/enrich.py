@@ -25,11 +25,11 @@ def stratified(rows: DataFrame, chosen: DataFrame, bins: int, by_chosen: bool) -
     ``rows``: (idx, k, p, m1) of all bins, ``chosen``: (idx, tpm) of annotated ones. Strata are of the chosen bins' posteriors
     (``by_chosen``) or of all. A stratum's closed range counts every bin with a posterior in it: enrichment is ln of the range's
     share of chosen bins over its share of all; strata without chosen bins are left out. Rows are summed by distinct posterior
-    first, so that what meets the (few) ranges doesn't grow with the table.
+    first, so that what meets the (few) ranges doesn't grow with the table. Every bin has one row for each label.
     """
     marked = rows.join(chosen.select("idx", "tpm", F.lit(1).alias("own")), "idx", "left")
     own = marked.where("own = 1") if by_chosen else marked
-    n, m = rows.select("idx").distinct().count(), chosen.count()
+    n, m = rows.groupBy("k").count().agg(F.max("count")).first()[0] or 0, chosen.count()
     ranges = strata_ranges(own.select("idx", "k", "p"), m if by_chosen else n, bins)
     hit = F.coalesce("own", F.lit(0))
     sums = marked.groupBy("k", "p").agg(F.count("*").alias("e"), F.sum(hit).alias("t"), F.sum((F.col("m1") == F.col("k")).cast("long")).alias("c"), F.sum("tpm").alias("s"))

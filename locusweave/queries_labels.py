@@ -218,18 +218,24 @@ def _(spark, d):
     return r6(_long(paired(spark, d).select("idx", core.sigmoid(core.logit("p1")).alias("p1")), "p1"), "p")
 
 
+def _both(rows, one, two):
+    """(idx, k, one, two): two arrays by label, one row for each label."""
+    cells = F.explode(F.array(*[F.struct(F.lit(x).alias("k"), F.col(one)[i].alias(one), F.col(two)[i].alias(two)) for i, x in enumerate(LABELS)]))
+    return rows.select("idx", cells.alias("c")).select("idx", "c.*")
+
+
 @query("capped_minus_log", _LONG + "SELECT idx, k, round(-ln(greatest(least(p, 1 - 1e-6), 1e-6)), 6) AS p, round(-ln(1 - greatest(least(p, 1 - 1e-6), 1e-6)), 6) AS q FROM lg")
 def _(spark, d):
     safe = paired(spark, d).select("idx", labels.capped("p1", 1e-6).alias("p1"))
-    both = _long(safe.select("idx", labels.minus_log("p1").alias("p1")), "p1").join(_long(safe.select("idx", labels.minus_log("p1", complement=True).alias("p1")), "p1").withColumnRenamed("p", "q"), ["idx", "k"])
-    return r6(both, "p", "q")
+    p, q = labels.minus_log("p1"), labels.minus_log("p1", complement=True)
+    return r6(_both(safe.select("idx", p.alias("p"), q.alias("q")), "p", "q"), "p", "q")
 
 
 @query("rescaled_posterior", _LONG + "SELECT idx, k, round((p - min(p) OVER ()) / (max(p) OVER () - min(p) OVER ()), 6) AS whole, round((p - min(p) OVER (PARTITION BY k)) / nullif(max(p) OVER (PARTITION BY k) - min(p) OVER (PARTITION BY k), 0), 6) AS own FROM lg")
 def _(spark, d):
-    p = paired(spark, d).select("idx", "p1")
-    one, two = (_long(labels.rescaled(p, "p1", LABELS, own), "p1") for own in (False, True))
-    return r6(one.withColumnRenamed("p", "whole").join(two.withColumnRenamed("p", "own"), ["idx", "k"]), "whole", "own")
+    p = paired(spark, d).select("idx", F.col("p1").alias("whole"), F.col("p1").alias("own"))
+    scaled = labels.rescaled(labels.rescaled(p, "whole", LABELS, False), "own", LABELS, True)
+    return r6(_both(scaled, "whole", "own"), "whole", "own")
 
 
 @query("not_overconfident", "SELECT idx, m1 FROM t WHERE list_max(p1) < 1 AND list_max(p2) < 1")

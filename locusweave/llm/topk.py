@@ -71,7 +71,7 @@ class Queries:
 
 
 def histograms(rows: DataFrame, queries: Queries, base: np.ndarray, shift: np.ndarray) -> DataFrame:
-    """(q, bin, n): how many rows' scores lie in each bin of ``2 ** shift`` values from a query's ``base`` up."""
+    """(q, bin, n): how many rows' scores lie in each bin of ``2 ** shift`` values from a query's ``base`` up; bin BINS has all beyond."""
     schema = pa.schema([("q", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])
     n = len(queries)
 
@@ -84,36 +84,34 @@ def histograms(rows: DataFrame, queries: Queries, base: np.ndarray, shift: np.nd
             np.clip(s, -1, BINS, out=s)
             s += offset
             count += np.bincount(s.ravel(), minlength=len(count))
-        inside = count.reshape(n, BINS + 2)[:, 1:-1]
+        inside = count.reshape(n, BINS + 2)[:, 1:]
         q, bin_ = np.nonzero(inside)
         yield to_batch({"q": q, "bin": bin_, "n": inside[q, bin_]}, schema)
 
     return rows.mapInArrow(run, "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
 
 
-def locate(counts: DataFrame, need: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(query, bin, scores above the bin, scores in it) where the ``need``-th largest score lies; one row a query."""
+def locate(counts: DataFrame, k: int) -> list[tuple[int, int, int]]:
+    """(query, bin, scores in and above it) where the k-th largest score lies; one row a query."""
     down = Window.partitionBy("q").orderBy(F.col("bin").desc())
-    needs = counts.sparkSession.createDataFrame(list(zip(range(len(need)), need.tolist())), "q int, need long")
-    ranked = counts.withColumn("upto", F.sum("n").over(down)).join(F.broadcast(needs), "q")
-    reached = ranked.where("upto >= need").groupBy("q").agg(F.max(F.struct("bin", (F.col("upto") - F.col("n")).alias("above"), "n")).alias("b"))
-    return [(r["q"], r["b"]["bin"], r["b"]["above"], r["b"]["n"]) for r in reached.collect()]
+    reached = counts.withColumn("upto", F.sum("n").over(down)).where(F.col("upto") >= k)
+    return [(r["q"], r["b"]["bin"], r["b"]["upto"]) for r in reached.groupBy("q").agg(F.max(F.struct("bin", "upto")).alias("b")).collect()]
 
 
 def floors(rows: DataFrame, queries: Queries, k: int, norm: float) -> np.ndarray:
     """Of each query a score that at least k rows reach (if there are so many), and no more than FEW but for ties."""
     reach = (np.sqrt((queries.vectors.astype(np.float64) ** 2).sum(axis=1)) * norm * (1 + 1e-9)).astype(np.int64) + 1
-    base, need = -reach, np.full(len(queries), k, np.int64)
+    base = -reach
     shift = np.asarray([max(0, int(2 * r).bit_length() - 10) for r in reach], np.int64)
     active = np.arange(len(queries))
     while len(active):
-        found = locate(histograms(rows, queries.take(active), base[active], shift[active]), need[active])
+        # bins reach beyond the last pass's one where that had less than BINS values, so every pass counts from the top
+        found = locate(histograms(rows, queries.take(active), base[active], shift[active]), k)
         more = []
-        for q, bin_, above, inside in found:  # where there are fewer than k rows, all are kept
+        for q, bin_, upto in found:  # where there are fewer than k rows, all are kept
             at = active[q]
             base[at] += bin_ << shift[at]
-            need[at] -= above
-            if shift[at] and (k - need[at]) + inside > max(FEW, k):
+            if shift[at] and upto > max(FEW, k):
                 shift[at] = max(0, shift[at] - 10)
                 more.append(at)
         active = np.asarray(sorted(more), np.int64)

@@ -142,6 +142,18 @@ def test_top_k(spark, few, monkeypatch):
         topk.top_k(spark.createDataFrame([(0, [1e30])], "vec_id long, embedding array<double>"), spark.createDataFrame([(50, [1e30])], "vec_id long, embedding array<double>"))
 
 
+def test_top_k_of_crowded_scores(spark):
+    """Over FEW scores in a bin of fewer than BINS values: the next pass's bins reach beyond it, and no score counts twice."""
+    r = np.random.default_rng(0)
+    centre = r.normal(size=16)
+    data = (centre / np.linalg.norm(centre) + r.normal(size=(2000, 16)) * 0.002).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<float>")
+    v = np.floor(256 * data.astype(np.float64)).astype(np.int64)
+    best = {q: sorted((-int(s), i) for i, s in enumerate(v @ v[q]) if i != q)[:5] for q in range(0, 2000, 50)}
+    want = sorted((q, n + 1, i, -s) for q, found in best.items() for n, (s, i) in enumerate(found))
+    assert sorted(tuple(x) for x in topk.top_k(df, df.where("vec_id % 50 = 0")).collect()) == want
+
+
 def test_histograms_count_every_score(spark):
     """Not only the best: the counts of all bins are those of all rows."""
     r = np.random.default_rng(3)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, components, groups, materialize, mix, slices, table, texts_of, to_batch
+from .common import Words, components, groups, materialize, mix, released, row_key, slices, table, texts_of, to_batch
 from .jaccard import similar_documents
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -56,16 +56,16 @@ def fingerprints_of(texts: list[bytes], words: int, lanes: int = 1, distinct: bo
 
 
 def fingerprint_table(documents: DataFrame, words: int, lanes: int = 1, distinct: bool = False) -> DataFrame:
-    """(doc_id, fp binary) of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary())])
+    """(doc_id, row, fp binary) of every row; ``row`` is its key."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield to_batch({"doc_id": b.column(0), "fp": fingerprints_of(texts_of(b.column(1)), words, lanes, distinct)}, schema)
+                yield to_batch({"doc_id": b.column(0), "row": b.column(1), "fp": fingerprints_of(texts_of(b.column(2)), words, lanes, distinct)}, schema)
 
-    source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(run, "doc_id long, fp binary")
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(released(run), "doc_id long, row long, fp binary")
 
 
 def block_masks(bits: int, blocks: int, equal: int) -> list[bytes]:
@@ -171,7 +171,7 @@ def node_of(lanes: int) -> Column:
 
 
 def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 3, lanes: int = 1, blocks: int = 5, equal: int = 2, sets: bool = False) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; fingerprints within ``radius`` bits are linked.
+    """(doc_id, row, fp, component_id) of every row; fingerprints within ``radius`` bits are linked.
 
     Copies share a fingerprint and count as one node, so a group of copies costs one row for each task.
     """
@@ -186,11 +186,23 @@ def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 3, lanes
     least = least.select(F.bitwise_not("component").alias("flipped"), "component_id")
     classes = named.withColumn("flipped", F.bitwise_not("component")).join(least, "flipped").select("fp", "component_id")
     found = prints.join(materialize(classes, "classes"), "fp", "left")
-    return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return found.select("doc_id", "row", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def drop_linked(documents: DataFrame) -> DataFrame:
+    """The rows, with all their columns, of one document (the smallest doc_id) of each group of linked fingerprints; rows without doc_id stay.
+
+    A row goes by its own text: another text under its doc_id stays if nothing smaller links to it.
+    """
+    gone = near_duplicates(documents).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
+    names = documents.columns
+    whole = documents.select(F.struct(*[documents[f"`{c}`"] for c in names]).alias("__doc"))
+    whole = whole.withColumns({"__id": F.col("__doc.doc_id").cast("long"), "__row": row_key("__doc.doc_id", "__doc.text")})
+    return whole.join(gone, ["__id", "__row"], "left_anti").select(*[F.col("__doc")[c].alias(c) for c in names])
 
 
 def drop_near_duplicates(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The rows, with all their columns, of one document (the smallest doc_id) of each group of similar sets of shingles; rows without doc_id stay."""
+    """Like ``drop_linked`` by similar sets of shingles instead of fingerprints (see ``jaccard``), and by doc_id; no registered query uses it."""
     names = documents.columns
     classes = similar_documents(documents, similarity)
     gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()

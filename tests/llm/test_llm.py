@@ -362,6 +362,20 @@ def test_near_documents_keep_one(documents, corpus):
     assert base in ids and len(group & set(ids)) == 1 and kept.columns == documents.columns
 
 
+def test_pipeline_drops_what_fingerprints_link(spark, documents, empty):
+    """The stage keeps the rows that are their group's smallest doc_id, by op6's groups; another text under a dropped id stays."""
+    import corpus_pipeline
+
+    again = documents.unionByName(spark.createDataFrame([(900, "alpha beta gamma delta", "en", "s0", 22, 1, "clash", 7), (901, "alpha beta gamma delta", "en", "s0", 22, 1, "clash", 7), (901, "quite another text", "en", "s0", 18, 1, "clash", 7)], SCHEMA))
+    found = simhash.near_duplicates(again).collect()
+    want = Counter((r.doc_id, bytes(r.fp)) for r in found if r.doc_id is None or r.doc_id == r.component_id)
+    kept = corpus_pipeline.dedup_near(spark, again, "")
+    rows = kept.collect()
+    assert Counter((r.doc_id, simhash.fingerprints_of([(r.text or "").encode()], 3)[0]) for r in rows) == want
+    assert [r.text for r in rows if r.doc_id in (900, 901)].count("alpha beta gamma delta") == 1 and "quite another text" in {r.text for r in rows}
+    assert kept.columns == again.columns and corpus_pipeline.dedup_near(spark, empty, "").count() == 0
+
+
 def test_marginals_are_those_of_whole_documents(monkeypatch):
     """Documents over several rows of the grid against the sum over all labellings."""
     from itertools import product

@@ -39,7 +39,8 @@ def endpoint_join(bins: DataFrame, genes: DataFrame, width: int = CELL) -> DataF
     right = right.withColumn("_bcell", F.explode(F.sequence(F.floor(F.col("g0") / width), F.floor(F.col("g1") / width))))
     ends = bins.withColumn("_point", F.explode(F.array("start", "end"))).withColumn("_cell", F.floor(F.col("_point") / width))
     met = ends.join(right, (F.col("chr") == F.col("g_chr")) & (F.col("_cell") == F.col("_bcell")) & (F.col("_point") >= F.col("g0")) & (F.col("_point") <= F.col("g1")))
-    return met.groupBy("idx").agg(F.first("chr").alias("chr"), F.first("start").alias("start"), F.first("end").alias("end"), F.first("m1").alias("m1"), F.max_by("tpm", "gene_id").alias("tpm"))
+    # strings are keys, not aggregates: these would sort every pair
+    return met.groupBy("idx", "chr", "start", "end", "m1").agg(F.max_by("tpm", "gene_id").alias("tpm"))
 
 
 def point_join(bins: DataFrame, points: DataFrame, width: int = CELL) -> DataFrame:

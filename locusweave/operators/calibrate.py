@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import ranked, shown, size
+from .core import shown_bits, shows, size
+from .edges import Edges, edges, hits
 from .match import match_static
 from .overlap import overlap
 
@@ -32,37 +35,28 @@ def strata_count(n: int, bins: int) -> int:
     return max(1, n // bins)
 
 
-def strata(pairs: DataFrame, labels: Sequence[str], matches: dict[str, list[str]], w: int, bins: int) -> DataFrame:
-    """(k, b, x, y, n): of each label's strata by posterior, the middle and the share of rows that show a match."""
+def strata(pairs: DataFrame, labels: Sequence[str], matches: dict[str, list[str]], w: int, bins: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """(x, y) of each label's strata by posterior: the middle and the share of rows that show a match."""
     n = size(pairs)
+    others = sorted({j for js in matches.values() for j in js}) or list(labels)
+    found = edges(pairs, range(len(labels)), strata_count(n, bins), n)
+    return points(shown_bits(pairs, "m2", others, w, "p1", n=n), labels, others, found, matches, n)
 
-    def cells(hit) -> Column:
-        return F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("p1")[i].alias("p"), *hit(k)) for i, k in enumerate(labels)])).alias("c")
 
-    shows = lambda k: [F.coalesce(F.arrays_overlap("seen", F.array(*[F.lit(x) for x in matches[k]])), F.lit(False)).alias("hit") if matches.get(k) else F.lit(False).alias("hit")]
-    long = shown(pairs, "m2", w, "p1").select("idx", cells(shows)).select("idx", "c.*")
-    basis = pairs.select("idx", cells(lambda k: [])).select("idx", "c.*")
-    placed = ranked(long, "k", "p", "idx", basis=basis).withColumn("b", F.floor(F.col("pos") / strata_count(n, bins)))
-    return placed.groupBy("k", "b").agg(((F.min("p") + F.max("p")) / 2).alias("x"), F.avg(F.col("hit").cast("double")).alias("y"), F.count("*").alias("n"))
+def points(seen: DataFrame, labels: Sequence[str], others: Sequence[str], found: dict[int, Edges], matches: dict[str, list[str]], n: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """(x, y) of strata whose edges are known; ``seen`` has the windows' labels as bits by ``others``."""
+    hit = {i: reduce(or_, [shows(others.index(j)) for j in matches[labels[i]]]) for i in found if matches.get(labels[i])}
+    counted = hits(seen, found, hit, n)
+    return {labels[i]: ((e.low + e.high) / 2, counted[i] / e.n) for i, e in found.items()}
 
 
-def curves(points: DataFrame) -> DataFrame:
-    """(k, x, f): isotonic curves; each label has as many points as strata."""
+def curves(found: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """(x, f): isotonic curves of strata; each label has as many points as strata."""
+    return {k: isotonic(x[order := np.argsort(x, kind="stable")], y[order]) for k, (x, y) in found.items()}
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "b"])
-        x, f = isotonic(pdf["x"].to_numpy(), pdf["y"].to_numpy())
-        return pd.DataFrame({"k": pdf["k"].iloc[0], "x": x, "f": f})
 
-    return points.select("k", "b", "x", "y").groupBy("k").applyInPandas(fit, "k string, x double, f double")
-
-
-def interpolation(fits: DataFrame):
-    """A column function of (label, posterior): the value there of the label's curve of (k, x, f) points; null without a curve."""
-    fitted = {}
-    for k, part in fits.toPandas().groupby("k"):
-        part = part.sort_values("x")
-        fitted[k] = (part["x"].to_numpy(), part["f"].to_numpy())
+def interpolation(fitted: dict[str, tuple[np.ndarray, np.ndarray]]):
+    """A column function of (label, posterior): the value there of the label's curve; null without a curve."""
 
     @F.pandas_udf("double")
     def at_curve(label: pd.Series, p: pd.Series) -> pd.Series:
@@ -84,15 +78,19 @@ def matches_of(pairs: DataFrame, labels: Sequence[str], w: int, threshold: float
     return found
 
 
+def calibration(pairs: DataFrame, labels: Sequence[str], w: int = 5, threshold: float = 0.75, bins: int = 500, matches: dict[str, list[str]] | None = None):
+    """The column function of (label, posterior) that ``r_values`` puts on every row, for some of them."""
+    matches = matches_of(pairs, labels, w, threshold) if matches is None else matches
+    return interpolation(curves(strata(pairs, labels, matches, w, bins)))
+
+
 def r_values(pairs: DataFrame, labels: Sequence[str], w: int = 5, threshold: float = 0.75, bins: int = 500, matches: dict[str, list[str]] | None = None) -> DataFrame:
     """(idx, chr, start, end, map, r_value): the calibrated chance that a row's label is reproduced.
 
     Curves (at most ``bins`` points or a few more for each label) are the only thing that comes to the driver.
     """
-    matches = matches_of(pairs, labels, w, threshold) if matches is None else matches
-    at_curve = interpolation(curves(strata(pairs, labels, matches, w, bins)))
-    own = F.array_max("p1")
-    return pairs.select("idx", "chr", "start", "end", F.col("m1").alias("map"), at_curve("m1", own).alias("r_value"))
+    at_curve = calibration(pairs, labels, w, threshold, bins, matches)
+    return pairs.select("idx", "chr", "start", "end", F.col("m1").alias("map"), at_curve("m1", F.array_max("p1")).alias("r_value"))
 
 
 def single_point(pairs: DataFrame, labels: Sequence[str], posterior: bool = True, w: int = 5, threshold: float = 0.75, robust: float = 0.9, bins: int = 500, matches: dict[str, list[str]] | None = None, prior: Column | None = None) -> DataFrame:

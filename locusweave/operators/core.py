@@ -113,6 +113,30 @@ def shown(pairs: DataFrame, value: str, w: int, *keep: str, hide_last: bool = Tr
     return found.where("_own").select("idx", *keep, "seen")
 
 
+#: Labels that a long holds as bits.
+BITS = 62
+
+
+def shown_bits(pairs: DataFrame, value: str, names: Sequence[str], w: int, *keep: str, hide_last: bool = True, n: int | None = None) -> DataFrame:
+    """(idx, keep, seen): as ``shown``, with the values as bits of longs, in the order of ``names`` (see ``shows``); other values have none."""
+    at = F.array_position(F.array(*[F.lit(x) for x in names]), F.col(value)).cast("int") - 1
+    parts = range(-(-len(names) // BITS))
+    numbered = pairs.select("idx", *dict.fromkeys(keep), at.alias("_at"))
+    bit = {c: F.when((F.col("_at") >= c * BITS) & (F.col("_at") < (c + 1) * BITS), F.expr(f"shiftleft(1L, _at - {c * BITS})")) for c in parts}
+    if w == 0:
+        return numbered.select("idx", *keep, F.array(*[F.coalesce(b, F.lit(0).cast("long")) for b in bit.values()]).alias("seen"))
+    n = size(pairs) if n is None else n
+    here = (F.col("idx") < n - 1) if hide_last else F.lit(True)
+    window = by_block().rowsBetween(-w, w - 1)
+    found = halo(numbered, w).withColumns({f"_s{c}": F.coalesce(F.bit_or(F.when(here, b)).over(window), F.lit(0).cast("long")) for c, b in bit.items()})
+    return found.where("_own").select("idx", *keep, F.array(*[f"_s{c}" for c in parts]).alias("seen"))
+
+
+def shows(i: int) -> Column:
+    """Whether ``seen`` of ``shown_bits`` has the name numbered ``i``."""
+    return F.shiftright(F.col("seen")[i // BITS], i % BITS).bitwiseAND(1) == 1
+
+
 def celled(basis: DataFrame, key: str, by: str, tie: str | None, part: int = PART, cells: int = CELLS) -> tuple[Callable[[DataFrame], DataFrame], list[str]]:
     """A function that adds cells, in order of ``by`` within ``key``, none of them with much more than ``part`` rows; and their names.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .core import map_label
@@ -40,9 +40,14 @@ def grouped(pairs: DataFrame, labels: Sequence[str], one: Sequence[Sequence[int]
 
 def cells(pairs: DataFrame, one: Sequence[str], two: Sequence[str]) -> np.ndarray:
     """Shares of rows by both tracks' labels, on the driver: as many cells as pairs of labels."""
+    return shares(pairs.groupBy("m1", "m2").agg(F.count("*").alias("n")).collect(), one, two)
+
+
+def shares(counts: Sequence[Row], one: Sequence[str], two: Sequence[str]) -> np.ndarray:
+    """Cells of counts (m1, m2, n)."""
     at, to = ({x: i for i, x in enumerate(names)} for names in (one, two))
     out = np.zeros((len(one), len(two)))
-    for r in pairs.groupBy("m1", "m2").agg(F.count("*").alias("n")).collect():
+    for r in counts:
         if r["m1"] in at and r["m2"] in to:
             out[at[r["m1"]], to[r["m2"]]] = r["n"]
     return out / max(1.0, out.sum())

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import by_block, halo, shown, size, small
+from .core import by_block, halo, shown_bits, shows, size, small
 
 
 def label_frame(spark: SparkSession, labels: Sequence[str], name: str = "k") -> DataFrame:
@@ -41,7 +41,8 @@ def joint(pairs: DataFrame, labels: Sequence[str], w: int = 0, symmetric: bool =
     if w == 0:
         counts = pairs.groupBy(F.col("m1").alias("k"), F.col("m2").alias("j")).agg(F.count("*").cast("double").alias("c"))
     elif not symmetric:
-        counts = shown(pairs, "m2", w, "m1").select(F.col("m1").alias("k"), F.explode("seen").alias("j")).groupBy("k", "j").agg(F.count("*").cast("double").alias("c"))
+        sums = shown_bits(pairs, "m2", labels, w, "m1").groupBy(F.col("m1").alias("k")).agg(*[F.count_if(shows(i)).cast("double").alias(f"c{i}") for i in range(len(labels))])
+        counts = sums.select("k", F.inline(F.array(*[F.struct(F.lit(x).alias("j"), F.col(f"c{i}").alias("c")) for i, x in enumerate(labels)])))
     else:
         window = by_block().rowsBetween(-w, w - 1)
         own = {f"_{m}_{i}": F.count(F.when((F.col(m) == x) & (F.col("idx") < n - 1), 1)).over(window) for m in ("m1", "m2") for i, x in enumerate(labels)}

@@ -2,78 +2,75 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import calibrate
-from .core import ranked, shown, size
+from .core import shown_bits, shows, size
+from .edges import Edges, edges
 from .match import merging_gain
-from .merging import best_pair, cells, facts, group_names, grouped, merged
-
-
-def strata_numbers(rows: DataFrame, labels: Sequence[str], of: Sequence[int], step: int) -> DataFrame:
-    """(idx, strata): a map from each of the labels numbered ``of`` to the row's stratum by that label's posterior."""
-    long = rows.select("idx", F.explode(F.array(*[F.struct(F.lit(labels[i]).alias("k"), F.col("p1")[i].alias("p")) for i in of])).alias("c")).select("idx", "c.*")
-    placed = ranked(long, "k", "p", "idx").select("idx", F.struct("k", F.floor(F.col("pos") / step).cast("int").alias("b")).alias("e"))
-    return placed.groupBy("idx").agg(F.map_from_entries(F.collect_list("e")).alias("strata"))
+from .merging import best_pair, facts, group_names, grouped, merged, shares
 
 
 def calibrated_progress(pairs: DataFrame, labels: Sequence[str], w: int = 5, threshold: float = 0.75, bins: int = 500, robust: float = 0.9, down_to: int = 2) -> list[tuple]:
     """(labels, entropy, mi, nmi, naive, robust, mean_r) for each number of labels down to ``down_to``.
 
     Both tracks merge their best pair at each step, as in ``merge_progress``. ``robust`` is the share of rows with an r-value of that much or
-    more. A merge changes one posterior of a row, so only the merged label is ranked anew; the other labels keep their strata,
-    and what is counted in them again is which rows see a match. Rows' strata are held between steps; curves and label-by-label
-    cells come to the driver.
+    more. A merge changes one posterior of a row, so only the merged label's strata are found anew; the other labels keep the edges of
+    theirs, and what is counted in them again is which rows see a match. Edges, curves and label-by-label cells come to the driver; no
+    row's stratum is kept.
     """
-    step = calibrate.strata_count(size(pairs), bins)
+    n = size(pairs)
+    step = calibrate.strata_count(n, bins)
     one = two = [[i] for i in range(len(labels))]
     out: list[tuple] = []
-    strata: DataFrame | None = None
+    known: dict[str, Edges] = {}
     while True:
         names, others = group_names(one, labels), group_names(two, labels)
-        rows = grouped(pairs, labels, one, two).persist(StorageLevel.MEMORY_AND_DISK)
-        fresh = strata_numbers(rows, names, range(len(names)) if strata is None else [len(names) - 1], step)
-        if strata is None:
-            held = fresh.persist(StorageLevel.MEMORY_AND_DISK)
-        else:
-            known = strata.join(fresh.withColumnRenamed("strata", "new"), "idx")
-            held = known.select("idx", F.map_concat(F.map_filter("strata", lambda k, _: k.isin(names)), "new").alias("strata")).persist(StorageLevel.MEMORY_AND_DISK)
-        matches = two_way_matches(rows, names, others, w, threshold)
-        seen = shown(rows, "m2", w, "p1", n=size(pairs)).join(held, "idx")
-        hit = lambda k: F.coalesce(F.arrays_overlap("seen", F.array(*[F.lit(x) for x in matches[k]])), F.lit(False)) if matches.get(k) else F.lit(False)  # noqa: B023, E731
-        each = [F.struct(F.lit(k).alias("k"), F.col("strata")[k].alias("b"), F.col("p1")[i].alias("p"), hit(k).alias("hit")) for i, k in enumerate(names)]
-        points = seen.select(F.explode(F.array(*each)).alias("c")).select("c.*").groupBy("k", "b").agg(((F.min("p") + F.max("p")) / 2).alias("x"), F.avg(F.col("hit").cast("double")).alias("y"))
-        at_curve = calibrate.interpolation(calibrate.curves(points))
+        rows = shown_bits(grouped(pairs, labels, one, two), "m2", others, w, "p1", "m1", "m2", n=n).persist(StorageLevel.MEMORY_AND_DISK)
+        counts = counted(rows, others)
+        fresh = edges(rows, [i for i, k in enumerate(names) if k not in known], step, n)
+        known = {k: e for k, e in known.items() if k in names} | {names[i]: e for i, e in fresh.items()}
+        found = calibrate.points(rows, names, others, {i: known[k] for i, k in enumerate(names)}, matched(counts, names, others, n, threshold), n)
+        at_curve = calibrate.interpolation(calibrate.curves(found))
         values = rows.groupBy("m1", F.array_max("p1").alias("p")).agg(F.count("*").alias("n")).select("n", at_curve("m1", "p").alias("r"))
         total = values.agg((F.sum(F.when(F.col("r") >= robust, F.col("n")).otherwise(0)) / F.sum("n")).alias("robust"), (F.sum(F.col("r") * F.col("n")) / F.sum("n")).alias("mean_r")).first()
-        joint = cells(rows, names, others)
+        joint = shares(counts, names, others)
         out.append((len(one), *facts(joint), total["robust"], total["mean_r"]))
         rows.unpersist()
-        if strata is not None:
-            strata.unpersist()
-        strata = held
         if len(one) <= max(2, down_to):
-            strata.unpersist()
             return out
         one, two = merged(one, best_pair(merging_gain(joint))), merged(two, best_pair(merging_gain(joint.T)))
 
 
+def counted(seen: DataFrame, others: Sequence[str]) -> list[Row]:
+    """(m1, m2, n, s0, s1, ...): rows by both labels, and how many of them see each of ``others``; one pass."""
+    return seen.groupBy("m1", "m2").agg(F.count("*").alias("n"), *[F.count_if(shows(j)).alias(f"s{j}") for j in range(len(others))]).collect()
+
+
 def two_way_matches(rows: DataFrame, names: Sequence[str], others: Sequence[str], w: int, threshold: float) -> dict[str, list[str]]:
     """Each label's partners in a track with other labels: those with an IoU above the threshold, else the best; one pass."""
-    n = size(rows)
-    seen = shown(rows, "m2", w, "m1").select("m1", F.explode("seen").alias("j")).groupBy("m1", "j").agg(F.count("*").alias("o"))
-    o = {(r["m1"], r["j"]): r["o"] / n for r in seen.collect()}
-    c1, c2 = ({r["k"]: r["n"] / n for r in rows.groupBy(F.col(m).alias("k")).agg(F.count("*").alias("n")).collect()} for m in ("m1", "m2"))
+    return matched(counted(shown_bits(rows, "m2", others, w, "m1", "m2"), others), names, others, size(rows), threshold)
+
+
+def matched(counts: Sequence[Row], names: Sequence[str], others: Sequence[str], n: int, threshold: float) -> dict[str, list[str]]:
+    """``two_way_matches`` by what is counted."""
+    c1, c2, o = Counter(), Counter(), Counter()
+    for r in counts:
+        c1[r["m1"]] += r["n"]
+        c2[r["m2"]] += r["n"]
+        for i, j in enumerate(others):
+            o[r["m1"], j] += r[f"s{i}"]
     out = {}
     for k in names:
         iou = {}
         for j in others:
-            both = o.get((k, j), 0.0)
-            union = c1.get(k, 0.0) + c2.get(j, 0.0) - both
+            both = o[k, j] / n
+            union = c1[k] / n + c2[j] / n - both
             iou[j] = both / union if union else -1.0
         above = [j for j in others if iou[j] > threshold]
         out[k] = above or [max(others, key=lambda j: iou[j])]

@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from locusweave.operators import calibrate, core, enrich, match, merging, overlap, progress, rollups, spatial, statistics, sweeps
+from locusweave.operators import calibrate, core, edges, enrich, match, merging, overlap, progress, rollups, spatial, statistics, sweeps
 from pyspark.sql import functions as F
 
 LABELS = ["a", "b", "c", "d"]
@@ -38,6 +38,58 @@ def test_calibrated_progress(pairs):
     assert progress.two_way_matches(pairs, LABELS, LABELS, 2, 0.5) == {k: sorted(v) for k, v in calibrate.matches_of(pairs, LABELS, 2, 0.5).items()}
 
 
+@pytest.mark.parametrize("step", [1, 7, 64, 900])
+def test_edges_of_strata(spark, step, monkeypatch):
+    """Against ranks of all rows: values shared by many rows, missing ones, NaN, and values of one row each."""
+    monkeypatch.setattr(edges, "LEAST", 5)
+    r = np.random.default_rng(4)
+    n = 700
+    p = np.stack([r.integers(0, 3, n) / 2, r.random(n), np.where(np.arange(n) < 650, 0.25, r.random(n))], 1)
+    cells = [[None if (i * 7 + k) % 11 == 0 and k < 2 else math.nan if (i + k) % 13 == 0 and k == 0 else float(p[i, k]) for k in range(3)] for i in range(n)]
+    rows = spark.createDataFrame([(i, cells[i], i % 3 == 0) for i in range(n)], "idx long, p1 array<double>, s boolean").repartition(5)
+    found = edges.edges(rows, range(3), step, n)
+    counted = edges.hits(rows, found, {k: F.col("s") for k in range(3)}, n)
+    for k, e in found.items():
+        value = [-math.inf if c[k] is None else math.inf if math.isnan(c[k]) else c[k] for c in cells]
+        order = sorted(range(n), key=lambda i: (value[i], i))  # noqa: B023
+        want = np.empty(n, int)
+        want[order] = np.arange(n) // step
+        assert (edges.stratum(e, np.array(value), np.arange(n), n) == want).all()
+        assert e.n.tolist() == np.bincount(want).tolist()
+        assert counted[k].tolist() == np.bincount(want, weights=np.arange(n) % 3 == 0).astype(int).tolist()
+        for b in range(len(e.n)):
+            own = [cells[i][k] for i in order[b * step : (b + 1) * step] if cells[i][k] is not None] or [math.nan]
+            assert e.low[b] == pytest.approx(own[0], nan_ok=True) and e.high[b] == pytest.approx(own[-1], nan_ok=True)
+
+
+def test_windows_of_many_labels(spark):
+    names = [f"s{i}" for i in range(140)]
+    rows = spark.createDataFrame([(i, names[i * 53 % 140] if i % 9 else None) for i in range(300)], "idx long, m2 string").repartition(3)
+    for w in (0, 4):
+        plain = {r.idx: set(r.seen) for r in core.shown(rows, "m2", w).collect()}
+        bits = core.shown_bits(rows, "m2", names, w).select("idx", F.array_compact(F.array(*[F.when(core.shows(i), F.lit(x)) for i, x in enumerate(names)])).alias("seen"))
+        assert {r.idx: set(r.seen) for r in bits.collect()} == plain
+
+
+def test_calibration_ranks_no_rows(spark, monkeypatch):
+    """What is dealt to cells and sorted are the different posteriors, not the rows."""
+    n = 3000
+    shares = [(i * i % 7 / 6, i % 5 / 6) for i in range(n)]
+    rows = [(i, "c", i * 200, i * 200 + 200, [a, 1 - a], [b, 1 - b]) for i, (a, b) in enumerate(shares)]
+    table = core.with_map(spark.createDataFrame(rows, "idx long, chr string, start long, end long, p1 array<double>, p2 array<double>"), ["a", "b"]).cache()
+    placed, real = [], core.celled
+
+    def watched(basis, *rest):
+        placed.append(basis.count())
+        return real(basis, *rest)
+
+    for module in (core, edges):
+        monkeypatch.setattr(module, "celled", watched, raising=False)
+    progress.calibrated_progress(table, ["a", "b"], 2, 0.5, 20)
+    calibrate.r_values(table, ["a", "b"], 2, 0.5, 20).collect()
+    assert placed and max(placed) <= 14
+
+
 def test_labels_without_rows_merge_too(pairs):
     lone = pairs.withColumn("p1", F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))).withColumn("m1", F.lit("a"))
     facts, one, two = merging.merge_progress(lone, LABELS)

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .core import shown_bits, shows, size
 from .edges import Edges, edges, hits
-from .match import match_static
-from .overlap import overlap
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,12 +69,34 @@ def interpolation(fitted: dict[str, tuple[np.ndarray, np.ndarray]]):
     return at_curve
 
 
+def counted(seen: DataFrame, others: Sequence[str]) -> list[Row]:
+    """(m1, m2, n, s0, s1, ...): rows by both labels, and how many of them see each of ``others``; one pass."""
+    return seen.groupBy("m1", "m2").agg(F.count("*").alias("n"), *[F.count_if(shows(j)).alias(f"s{j}") for j in range(len(others))]).collect()
+
+
+def matched(counts: Sequence[Row], names: Sequence[str], others: Sequence[str], n: int, threshold: float) -> dict[str, list[str]]:
+    """Each label's partners by what is counted: those with an IoU above the threshold, else the best."""
+    c1, c2, o = Counter(), Counter(), Counter()
+    for r in counts:
+        c1[r["m1"]] += r["n"]
+        c2[r["m2"]] += r["n"]
+        for i, j in enumerate(others):
+            o[r["m1"], j] += r[f"s{i}"]
+    out = {}
+    for k in names:
+        iou = {}
+        for j in others:
+            both = o[k, j] / n
+            union = c1[k] / n + c2[j] / n - both
+            iou[j] = both / union if union else -1.0
+        above = [j for j in others if iou[j] > threshold]
+        out[k] = above or [max(others, key=lambda j: iou[j])]
+    return out
+
+
 def matches_of(pairs: DataFrame, labels: Sequence[str], w: int, threshold: float) -> dict[str, list[str]]:
-    """The correspondence on the driver: at most K x K labels."""
-    found: dict[str, list[str]] = {}
-    for r in match_static(overlap(pairs, labels, "iou", w), labels, threshold).collect():
-        found.setdefault(r["k"], []).append(r["j"])
-    return found
+    """The correspondence on the driver, as ``match_static`` gives it: at most K x K labels, from one pass."""
+    return matched(counted(shown_bits(pairs, "m2", labels, w, "m1", "m2"), labels), labels, labels, size(pairs), threshold)
 
 
 def calibration(pairs: DataFrame, labels: Sequence[str], w: int = 5, threshold: float = 0.75, bins: int = 500, matches: dict[str, list[str]] | None = None):

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import calibrate
-from .core import shown_bits, shows, size
+from .calibrate import counted, matched
+from .core import shown_bits, size
 from .edges import Edges, edges
 from .match import merging_gain
 from .merging import best_pair, facts, group_names, grouped, merged, shares
@@ -47,31 +47,6 @@ def calibrated_progress(pairs: DataFrame, labels: Sequence[str], w: int = 5, thr
         one, two = merged(one, best_pair(merging_gain(joint))), merged(two, best_pair(merging_gain(joint.T)))
 
 
-def counted(seen: DataFrame, others: Sequence[str]) -> list[Row]:
-    """(m1, m2, n, s0, s1, ...): rows by both labels, and how many of them see each of ``others``; one pass."""
-    return seen.groupBy("m1", "m2").agg(F.count("*").alias("n"), *[F.count_if(shows(j)).alias(f"s{j}") for j in range(len(others))]).collect()
-
-
 def two_way_matches(rows: DataFrame, names: Sequence[str], others: Sequence[str], w: int, threshold: float) -> dict[str, list[str]]:
     """Each label's partners in a track with other labels: those with an IoU above the threshold, else the best; one pass."""
     return matched(counted(shown_bits(rows, "m2", others, w, "m1", "m2"), others), names, others, size(rows), threshold)
-
-
-def matched(counts: Sequence[Row], names: Sequence[str], others: Sequence[str], n: int, threshold: float) -> dict[str, list[str]]:
-    """``two_way_matches`` by what is counted."""
-    c1, c2, o = Counter(), Counter(), Counter()
-    for r in counts:
-        c1[r["m1"]] += r["n"]
-        c2[r["m2"]] += r["n"]
-        for i, j in enumerate(others):
-            o[r["m1"], j] += r[f"s{i}"]
-    out = {}
-    for k in names:
-        iou = {}
-        for j in others:
-            both = o[k, j] / n
-            union = c1[k] / n + c2[j] / n - both
-            iou[j] = both / union if union else -1.0
-        above = [j for j in others if iou[j] > threshold]
-        out[k] = above or [max(others, key=lambda j: iou[j])]
-    return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +35,28 @@ def overlap_length(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.lit(0), F.least(a1, b1) - F.greatest(a0, b0))
 
 
-def endpoint_join(bins: DataFrame, genes: DataFrame, width: int = CELL) -> DataFrame:
-    """Bins whose start or end lies in a gene's closed interval, with the last such gene's tpm (by gene_id)."""
+def near(bins: DataFrame, genes: DataFrame, width: int = CELL) -> DataFrame:
+    """The bins of which the start or end lies in a cell that a gene's closed interval touches.
+
+    There are no more cells than the genome has, so they are broadcast and bins far from every gene are never moved.
+    """
+    low, high = (F.floor(F.col(c) / width) for c in ("start", "end"))
+    cells = genes.select("chr", F.explode(F.sequence(low, high)).alias("_near")).distinct()
+    found = bins
+    for c in ("start", "end"):
+        touched = cells.select("chr", F.col("_near").alias(f"_{c}"), F.lit(True).alias(f"_by_{c}"))
+        found = found.withColumn(f"_{c}", F.floor(F.col(c) / width)).join(F.broadcast(touched), ["chr", f"_{c}"], "left")
+    return found.where("_by_start or _by_end").select(*bins.columns)
+
+
+def endpoint_join(bins: DataFrame, genes: DataFrame, width: int = CELL, keep: Sequence[str] = ()) -> DataFrame:
+    """Bins whose start or end lies in a gene's closed interval, with the last such gene's tpm (by gene_id); ``keep``: more of a bin's columns."""
     right = genes.select(F.col("chr").alias("g_chr"), F.col("start").alias("g0"), F.col("end").alias("g1"), "gene_id", "tpm")
     right = right.withColumn("_bcell", F.explode(F.sequence(F.floor(F.col("g0") / width), F.floor(F.col("g1") / width))))
-    ends = bins.withColumn("_point", F.explode(F.array("start", "end"))).withColumn("_cell", F.floor(F.col("_point") / width))
+    ends = near(bins, genes).withColumn("_point", F.explode(F.array("start", "end"))).withColumn("_cell", F.floor(F.col("_point") / width))
     met = ends.join(right, (F.col("chr") == F.col("g_chr")) & (F.col("_cell") == F.col("_bcell")) & (F.col("_point") >= F.col("g0")) & (F.col("_point") <= F.col("g1")))
     # strings are keys, not aggregates: these would sort every pair
-    return met.groupBy("idx", "chr", "start", "end", "m1").agg(F.max_by("tpm", "gene_id").alias("tpm"))
+    return met.groupBy("idx", "chr", "start", "end", "m1", *keep).agg(F.max_by("tpm", "gene_id").alias("tpm"))
 
 
 def point_join(bins: DataFrame, points: DataFrame, width: int = CELL) -> DataFrame:

@@ -18,8 +18,10 @@ _SEG = ", cs AS (SELECT idx, chr, s AS start, e AS \"end\", m1 AS label FROM t),
 def _rx(spark, d):
     """(idx, map, r_value, tpm) of bins at a gene."""
     p = paired(spark, d)
-    r = calibrate.r_values(p, LABELS, W, TO, BINS).select("idx", "map", "r_value")
-    return hold(r.join(ranges.endpoint_join(p, genes(spark, d)).select("idx", "tpm"), "idx"), "expression")
+    at_curve = calibrate.calibration(p, LABELS, W, TO, BINS)
+    # the curves are those of all bins; only bins at a gene are put on them
+    met = ranges.endpoint_join(p.withColumn("p", F.array_max("p1")), genes(spark, d), keep=["p"])
+    return hold(met.select("idx", F.col("m1").alias("map"), at_curve("m1", "p").alias("r_value"), "tpm"), "expression")
 
 
 @query("granularity_symmetric", ", rk AS (SELECT k, j AS a, CASE WHEN k = j THEN 0 ELSE row_number() OVER (PARTITION BY k, k = j ORDER BY iou DESC NULLS LAST, ja) END AS r FROM i0), jj AS (SELECT x.k, greatest(x.r, y.r) AS step, sum(h0.o) AS o FROM rk x JOIN rk y ON x.k = y.k JOIN h0 ON h0.k = x.a AND h0.j = y.a GROUP BY ALL), cc AS (SELECT rk.k, rk.r AS step, c1.c1 AS c FROM rk JOIN c1 ON c1.k = rk.a) SELECT k, CAST(step AS INTEGER) AS step, round(sum(c) OVER z, 6) AS coverage, round(sum(o) OVER z / nullif(sum(c) OVER z, 0), 6) AS agreement FROM jj JOIN cc USING (k, step) WINDOW z AS (PARTITION BY k ORDER BY step)")
